@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("secrets", "decontaminate")
+MODULES = ("secrets", "decontaminate", "token_shards")
 
 
 def _modules():

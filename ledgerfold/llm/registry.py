@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("secrets", "decontaminate", "token_shards")
+MODULES = ("secrets", "decontaminate", "token_shards", "media")
 
 
 def _modules():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("secrets", "decontaminate", "token_shards", "media", "chat")
+MODULES = ("secrets", "decontaminate", "token_shards", "media", "chat", "toxicity")
 
 
 def _modules():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("secrets", "decontaminate", "token_shards", "media", "chat", "toxicity", "licenses", "fixity", "mixing")
+MODULES = ("secrets", "decontaminate", "token_shards", "media", "chat", "toxicity", "licenses", "fixity", "mixing", "near_dedup")
 
 
 def _modules():

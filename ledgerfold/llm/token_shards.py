@@ -32,9 +32,12 @@ further columns are ignored.  All rows of one identifier go to one shard.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 from bisect import bisect_right
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -57,7 +60,11 @@ BLOOM_HASHES = 7
 SHARD_CHARS = 24_000_000
 MAX_SHARDS = 20_000
 #: Words whose ids a worker remembers; emptied when full, so its memory is bounded.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_000_000
+GATHER_BYTES = 12 << 20
+
+#: Lower-case letters that every normalisation leaves as they are.
+PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
 
 _TOKENIZERS: dict = {}
 
@@ -73,9 +80,14 @@ class WordMemo:
     """
 
     def __init__(self, path: str, limit: int = MEMO_WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.model = self.tokenizer.model
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if PLAIN.fullmatch(chr(c))}
         self._forget()
 
     def _forget(self):
@@ -85,20 +97,30 @@ class WordMemo:
         self.count, self.size = 0, 0
 
     def _learn(self, words: list[str]):
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for x in got for i in x), np.uint32, int(lengths.sum()))
-            while self.size + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while self.count + len(got) > len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            self.ids[self.size : self.size + len(flat)] = flat
-            self.ends[self.count : self.count + len(got)] = self.size + np.cumsum(lengths)
-            self.index.update(zip(part, range(self.count, self.count + len(got)), strict=True))
-            self.size += len(flat)
-            self.count += len(got)
+        """Remember the ids of new words.  A word of lower-case Latin letters alone
+        is one piece that no normaliser changes, so it goes straight to the
+        vocabulary's model, in the byte alphabet of the model."""
+        is_plain = [PLAIN.fullmatch(w) is not None for w in words]
+        plain = [w for w, p in zip(words, is_plain, strict=True) if p]
+        other = [w for w, p in zip(words, is_plain, strict=True) if not p]
+        model, letters = self.model, self.letters
+        self._keep(plain, [[t.id for t in model.tokenize(w if w.isascii() else w.translate(letters))] for w in plain])
+        for at in range(0, len(other), 4096):
+            part = other[at : at + 4096]
+            self._keep(part, [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)])
+
+    def _keep(self, words: list[str], got: list[list[int]]):
+        lengths = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))
+        while self.size + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.count + len(got) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[self.size : self.size + len(flat)] = flat
+        self.ends[self.count : self.count + len(got)] = self.size + np.cumsum(lengths)
+        self.index.update(zip(words, range(self.count, self.count + len(got)), strict=True))
+        self.size += len(flat)
+        self.count += len(got)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         odd = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
@@ -132,6 +154,19 @@ class WordMemo:
         return out
 
 
+def gathered(batches, most: int = GATHER_BYTES):
+    """Larger batches: more words in common, still bounded."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held and sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -342,7 +377,7 @@ def write_shards(docs: DataFrame, path: str, id_column: str = "doc_id", text_col
         temporary = f"{final}.{TaskContext.get().taskAttemptId()}.tmp"
         memo, out = word_memo(vocabulary), open_binary(temporary, "wb")
         writer, last, sequence, shards = ShardWriter(out), (), 0, set()
-        for batch in batches:
+        for batch in gathered(batches):
             shards.update(batch.column("shard").unique().to_pylist())
             for identifier, ids in zip(batch.column("id").to_pylist(), memo.encode(batch.column("text")), strict=True):
                 sequence = sequence + 1 if (identifier,) == last else 0

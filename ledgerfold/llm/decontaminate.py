@@ -20,7 +20,6 @@ any type, are compared as strings; a null item id is read as the string ``null``
 
 from __future__ import annotations
 
-import hashlib
 import re
 import uuid
 
@@ -113,6 +112,12 @@ def char_spans(text: str, intervals: list[tuple[int, int]]) -> list[tuple[int, i
     return [(at[a][0], at[b - 1][1]) for a, b in intervals]
 
 
+def normalised(texts: pa.Array) -> pa.Array:
+    """``" w1 w2 ... wn "`` for each text, two blanks for one without words."""
+    normal = pc.replace_substring_regex(pc.ascii_lower(texts), BETWEEN, " ")
+    return pc.binary_join_element_wise("", pc.utf8_trim(normal, " "), "", " ")
+
+
 def benchmark_chunks(benchmark: DataFrame, item_column: str, text_column: str, chunk_chars: int):
     """Lists of (item, text), one chunk on the driver at a time."""
     items = benchmark.select(
@@ -154,8 +159,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
             machine = _cached(key, shared.value, window)
             for batch in batches:
                 texts = batch.column("text")
-                normal = pc.replace_substring_regex(pc.ascii_lower(texts), BETWEEN, " ")
-                normal = pc.binary_join_element_wise("", pc.utf8_trim(normal, " "), "", " ")
+                normal = normalised(texts)
                 n_words = pc.subtract(pc.count_substring(normal, " "), 1).to_numpy(zero_copy_only=False).astype("int64")
                 n_words[pc.equal(normal, "  ").to_numpy(zero_copy_only=False)] = 0
                 hits, spans, who = [], [], []
@@ -185,6 +189,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     return out.select(F.col("id").alias(id_column), "n_words", "hits", "spans", "items")
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id",
+                    item_text: str = "text", window: int = WINDOW, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """The rows without any benchmark window, whole."""
+    spark = docs.sparkSession
+    python_ready(spark)
+    at = docs.columns.index(text_column)
+
+    def filter_of(items: list[tuple[str, str]]):
+        shared = spark.sparkContext.broadcast(items)  # at most chunk_chars of text
+        key = uuid.uuid4().hex
+
+        def run(batches):
+            machine = _cached(key, shared.value, window)
+            for batch in batches:
+                normal = normalised(pc.fill_null(batch.column(at), ""))
+                clean = [machine is None or next(machine.iter(t.as_py()), None) is None for t in normal]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return run
+
+    for items in benchmark_chunks(benchmark, item_column, item_text, chunk_chars):
+        docs = docs.mapInArrow(filter_of(items), docs.schema)
+    return docs
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each whole document that benchmark windows cover."""
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm.common import cut, python_ready, shared_path, table, text_of
+from ledgerfold.llm.common import cut, python_ready, table, text_of
 
 WORDS = 4
 SIMILARITY = 80
@@ -466,6 +466,20 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
+    """The documents that represent their components, with their columns; rows
+    that repeat an identifier are one document."""
+    found = cut(near_duplicates(docs, id_column=id_column, **options), "near-duplicates")
+    named = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_and("kept").alias("kept"))
+    named = cut(named.where((F.col("rows") > 1) | ~F.col("kept")), "copies").withColumnRenamed("doc_id", id_column)
+    kept = bounded_join(docs, named.where(~F.col("kept")).select(id_column), "left_anti")
+    again = named.where("kept").select(id_column)
+    if again.isEmpty():
+        return kept
+    single = bounded_join(kept, again, "left_anti")
+    return single.unionByName(bounded_join(kept, again, "left_semi").dropDuplicates([id_column]))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -353,6 +353,19 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     return rows.mapInArrow(run, f"id {id_type}, score double").withColumnRenamed("id", id_column)
 
 
+def keep_clean(docs: DataFrame, model: Model, text_column: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows that score below the threshold, whole."""
+    python_ready(docs.sparkSession)
+    at = docs.columns.index(text_column)
+
+    def run(batches):
+        for batch in batches:
+            texts = pc.fill_null(batch.column(at), "")
+            yield batch.filter(pa.array(model.score(texts) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole document."""
     docs = table(spark, sf_dir, "documents")

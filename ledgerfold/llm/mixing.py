@@ -23,7 +23,8 @@ which lowers the weight of a dominant source.  At most ``max_streams - 1`` sourc
 share one stream.
 
 Defined results: a null source is the empty name, a null text counts one
-character, as an empty one does; repeated rows follow each other in their source;
+character, as an empty one does; rows that repeat an identifier in a source start
+together, where the first of them does;
 a null ``doc_id`` is ordered as the empty text; an empty table gives no rows;
 further columns are ignored.
 """
@@ -127,9 +128,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_column: str
 
     before = W.partitionBy("stream").orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # at most 16 ** 3 rows a stream
     starts = ranges.select("stream", "range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
-    inside = W.partitionBy("stream", "range").orderBy("key", F.col("id").cast("string").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("stream", "range").orderBy("key", "ident", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = (
-        with_stream(ranged).withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        with_stream(ranged).withColumn("ident", F.coalesce(F.col("id").cast("string"), F.lit("")))
+        .withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        .withColumn("inner", F.min("inner").over(W.partitionBy("stream", "range", "key", "ident")))
         .join(starts, ["stream", "range"])
         .withColumn("block", F.floor((F.col("base") + F.col("inner")) / block).cast("bigint"))
     )

@@ -6,6 +6,9 @@ can be written for each query.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpointed(spark: SparkSession) -> None:
+    """Make sure that ``checkpoint()`` has a folder: the session's, or where it has
+    none (tests, a laptop) one of our own."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerfold-"))
+
+
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below the session's shared checkpoint folder."""
+    checkpointed(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{root.removeprefix('file://').rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def literal(value) -> str:
     if value is None:
         return "NULL"

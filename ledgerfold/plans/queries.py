@@ -495,6 +495,7 @@ DEPS = [("orders", "orders_pkey"), ("orders", "seq"), ("orders_pkey", "btree"),
 
 @query(f"WITH RECURSIVE {I.values('d', DEP_COLUMNS, DEPS)}, t AS (SELECT 'orders' AS node UNION SELECT d.target FROM t JOIN d ON d.source = t.node) SELECT node FROM t")
 def r3_dependency_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    I.checkpointed(spark)
     start = spark.createDataFrame([("orders",)], "node string")
     return graph.closure(I.frame(spark, DEP_COLUMNS, DEPS), start)
 
@@ -709,3 +710,26 @@ STATUSES = [("part", T_), ("part", T_), ("part", N_), ("index", T_), ("constrain
 @query(f"WITH {I.values('s', STATUS_COLUMNS, STATUSES)} SELECT kind, count(CASE WHEN completed THEN 1 END) AS done, count(*) AS total FROM s GROUP BY kind")
 def a1_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.frame(spark, STATUS_COLUMNS, STATUSES).groupBy("kind").agg(F.count_if("completed").alias("done"), F.count("*").alias("total"))
+
+
+# --- streaming --------------------------------------------------------------------------
+
+
+@query(FOLD_SQL)
+def y_stream_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change log as a file stream, applied in four micro-batches with
+    exactly-once commits; the state must equal that of ``c2_fold_state``."""
+    from ledgerfold.plans.versioned import VersionedStore
+    from ledgerfold.streaming.apply import change_stream, follow
+
+    folder = I.work_folder(spark, "stream")
+    log = I.changes(spark, sf_dir)
+    span = log.agg(F.max("end_lsn")).first()[0] + 1
+    for i in range(4):
+        log.where((F.col("end_lsn") >= span * i // 4) & (F.col("end_lsn") < span * (i + 1) // 4)).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+    store = VersionedStore(spark, f"{folder}/store")
+    store.commit(store.manifest(), {"customer": store.stage("customer", I.snapshot(spark, sf_dir))})
+    stream = change_stream(spark, f"{folder}/log", log.schema, max_files=1)
+    keys, cols = {"customer": ["c_custkey"]}, {"customer": ["c_acctbal", "c_mktsegment"]}
+    follow(stream, store, keys, cols, "g1", f"{folder}/checkpoint").awaitTermination()
+    return store.read("customer").select("c_custkey", "c_acctbal", "c_mktsegment")

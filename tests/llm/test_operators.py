@@ -1,0 +1,377 @@
+"""Operators against brute force on small fixtures and the smallest tables."""
+
+import base64
+import gzip
+import hashlib
+import json
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+import corpus_pipeline
+from ledgerfold.llm import chat, decontaminate, fixity, licenses, media, mixing, near_dedup, registry, secrets, token_shards, toxicity
+from ledgerfold.llm.common import cut, shared_path, table
+
+
+@pytest.fixture(scope="module")
+def documents(spark, sf_dir):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+
+
+# --- 1 ---------------------------------------------------------------------------
+
+
+def test_license_rules_in_order(spark):
+    s = licenses.SENTENCES
+    texts = [
+        (1, f"{s['apache-grant']} {s['apache-use']} You may obtain a copy of the License at\nhttp://x\n{s['apache-asis']}"),
+        (2, f"MIT License\n\nCopyright me\n\n{s['mit-grant']}\n{s['mit-notice']}"), (3, "released UNDER the mit-license!! No more. All rights reserved."),
+        (4, f"{s['gpl3-work']} {s['ccbync-grant']}"), (5, "A text about the Apache License.")]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(texts, "doc_id int, text string")).collect()}
+    assert got[1].matches == ["Apache-2.0"]
+    # Identifiers, not lines between them, decide: the copyright line is unknown.
+    assert got[2].matches == ["MIT"] and got[2].sentence_ids == ["mit-title", "mit-grant", "mit-notice"]
+    assert got[3].matches == ["MIT", "Proprietary"] and got[4].matches == ["GPL-3.0-only", "CC-BY-NC-4.0"] and got[5].matches == []
+
+
+# --- 2 ---------------------------------------------------------------------------
+
+
+def test_fixity_descends_to_the_damage(spark, sf_dir):
+    records = cut(fixity.warc_records(table(spark, sf_dir, "pages"), archive_records=64), "records")
+    bad = fixity.damaged(records)
+    out = fixity.audit(records, bad, leaf_bytes=4096, fanout=2)
+    check = lambda i: zlib.crc32(str(i).encode())
+    ids = [r.record_id for r in records.select("record_id").collect()]
+    want = {(i, "missing") for i in ids if check(i) % 97 == 5} | {(i, "payload") for i in ids if check(i) % 97 != 5 and check(i) % 89 == 3}
+    assert want and {(r.record_id, r.problem) for r in out["findings"].collect()} == want
+    touched = {r.archive for r in out["findings"].collect()}
+    assert {r.archive for r in out["roots"].collect() if not r.intact} == touched
+    raw = records.orderBy("archive", "offset").collect()
+    at = defaultdict(int)
+    for r in raw:
+        assert r.offset == at[r.archive] and bytes(r.payload).startswith(b"WARC/1.1\r\n") and len(r.payload) == r.length
+        at[r.archive] += r.length
+
+
+# --- 3 ---------------------------------------------------------------------------
+
+PATTERNS = {
+    "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8),
+    "access": (re.compile("AKIA[A-Z0-9]+"), 0, 16), "hex": (re.compile("[0-9a-f]+"), 0, 32)}
+
+
+def brute_spans(text):
+    out = []
+    for i, (kind, (p, group, least)) in enumerate(PATTERNS.items()):
+        out += [(m.start(), i, m.end(), kind) for m in p.finditer(text) if len(m[group]) >= least]
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
+
+
+def test_secret_base_spans(spark):
+    sf = "/root/testdata/sf0.01"
+    documents = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in secrets.op3_secret_scan(spark, sf).collect()}
+    assert len(got) == len(documents) and any(r.n_assign + r.n_access + r.n_hex for r in got.values())
+    for i, text in documents.items():
+        assert got[i].base_sha256 == hashlib.sha256(brute_spans(text).encode()).hexdigest()
+
+
+def test_nested_layers_map_to_the_original():
+    inner = "token = abcdefgh12345678"
+    b64 = base64.b64encode(gzip.compress(inner.encode())).decode()
+    twice = base64.b64encode(base64.b64encode(inner.encode())).decode()
+    url = "".join(f"%{b:02x}" for b in inner.encode())
+    escaped = "".join(f"\\u{ord(c):04x}" for c in inner)
+    for run in (b64, twice):
+        text = f"x {run} y"
+        assert (2, 0, 2 + len(run)) in secrets.find(text)["spans"]
+    assert secrets.find(f"é {url}!")["spans"] == [(2, 0, 2 + len(url))]
+    assert (3, 0, 3 + len(escaped)) in secrets.find(f"é: {escaped}!")["spans"]
+    part = "password=%61bcdefgh%31"  # a secret that is partly escaped
+    assert secrets.find(part)["spans"] == [(0, 0, len(part))]
+    nested = "".join(f"%{b:02x}" for b in f"v={b64} ".encode())
+    found = secrets.find(nested)["spans"]
+    assert found and all(0 <= a < b <= len(nested) for a, _, b in found)
+    bomb = base64.b64encode(zlib.compress(b"a" * 100_000)).decode()
+    assert secrets.find(bomb, max_layer_bytes=1000)["refused"] == 1
+    assert secrets.find("%2525252541")["layers"] == 4  # one layer a decoding, then a fixpoint
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="%41\\u0x{}=aAZ+/ tokenTOKEN:;&#"))
+def test_scan_ends_and_keeps_base(text):
+    found = secrets.find(text)
+    assert set(found["base"]) <= set(found["spans"])
+    assert all(0 <= a <= b <= len(text) for a, _, b in found["spans"])
+
+
+# --- 4 ---------------------------------------------------------------------------
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet="ab:\\#<> \n/turnhlc", max_size=12), st.text(alphabet="ab:\\#<> \n/turnhlc", max_size=20) | st.sampled_from(["</turn>", " </turn>\n### user: x", "\\h\\l\\\\", "###"])), min_size=1, max_size=4))
+def test_chat_round_trip(spark, turns):
+    rows = [(1, i, r, t) for i, (r, t) in enumerate(turns)]
+    got = chat.format_conversations(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).first()
+    assert got.round_trips and [(t.role, t.text) for t in got.parsed] == turns
+    if got.mode == 1:
+        body = got.formatted[3:]
+        assert body.count("###") == body.count("</turn>") == len(turns)
+
+
+# --- 5 ---------------------------------------------------------------------------
+
+
+def test_decontamination_spans_and_chunks(spark, sf_dir, documents):
+    bench = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    windows = defaultdict(set)
+    for i, text in bench.items():
+        for w in decontaminate.windows_of(decontaminate.words_of(text)):
+            windows[w].add(str(i))
+    sizes = {len(w) for w in windows}
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    one = {r.doc_id: r for r in decontaminate.decontaminate(docs, benchmark).collect()}
+    many = {r.doc_id: r for r in decontaminate.decontaminate(docs, benchmark, chunk_chars=5000).collect()}
+    assert one == many and any(r.hits for r in one.values())
+    for i, text in documents.items():
+        words, hit, items = decontaminate.words_of(text), set(), set()
+        for n in sizes:
+            for k in range(len(words) - n + 1):
+                if who := windows.get(tuple(words[k : k + n])):
+                    hit |= set(range(k, k + n))
+                    items |= who
+        r = one[i]
+        assert r.n_words == len(words) and {p for h in r.hits for p in range(h.start, h.end)} == hit and r["items"] == sorted(items)
+        for h, s in zip(r.hits, r.spans, strict=True):
+            assert decontaminate.words_of(text[s.start : s.end]) == words[h.start : h.end]
+
+
+# --- 6 ---------------------------------------------------------------------------
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.text("abcdef", min_size=1, max_size=2), st.floats(0.01, 100), min_size=1, max_size=12))
+def test_pfair_deviation_is_below_one_block(targets):
+    weights = mixing.whole_weights(targets, 128)
+    assert sum(weights.values()) == 128 and min(weights.values()) >= 1
+    seen = Counter()
+    for t, k in enumerate(mixing.schedule(weights) * 2, 1):
+        seen[k] += 1
+        assert all(abs(seen[x] - a * t / 128) < 1 for x, a in weights.items())
+    assert seen == Counter({k: 2 * a for k, a in weights.items()})
+
+
+def test_mix_positions(spark, sf_dir):
+    rows = mixing.op6_source_mixing(spark, sf_dir).collect()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text").collect()
+    by = defaultdict(list)
+    for r in docs:
+        by[r.source].append((hashlib.md5(str(r.doc_id).encode()).hexdigest(), r.doc_id, max(1, len(r.text))))
+    total = {k: sum(x[2] for x in v) for k, v in by.items()}
+    block = -(-sum(total.values()) // (mixing.SLOTS * mixing.PERIODS))
+    weights = mixing.whole_weights({k: v**mixing.ALPHA for k, v in total.items()}, mixing.SLOTS)
+    order = mixing.schedule(weights)
+    places = {k: [t for t, x in enumerate(order) if x == k] for k in weights}
+    end = mixing.horizon(weights, places, {k: -(-v // block) for k, v in total.items()})
+    want = {}
+    for k, v in by.items():
+        at = 0
+        for _, i, n in sorted(v):
+            b = at // block
+            slot = b // weights[k] * mixing.SLOTS + places[k][b % weights[k]]
+            want[i] = (b, slot, slot < end)
+            at += n
+    assert {r.doc_id: (r.block, r.slot, r.kept) for r in rows} == want
+    # Up to the end every source has its blocks, in proportion.
+    seen = Counter(order[t % mixing.SLOTS] for t in range(end))
+    assert all(seen[k] <= -(-total[k] // block) and abs(seen[k] - weights[k] * end / mixing.SLOTS) < 1 for k in weights)
+
+
+# --- 7 ---------------------------------------------------------------------------
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    known = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in toxicity.op7_toxicity(spark, sf).collect() if r.doc_id in known]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    held = [(r.score, known[r.doc_id]) for r in rows if r.held_out]
+    good, bad = [s for s, y in held if y], [s for s, y in held if not y]
+    auc = np.mean([(np.array(bad) < s).mean() + 0.5 * (np.array(bad) == s).mean() for s in good])
+    assert auc > 0.9 and np.mean([s >= 0.5 for s in good]) > 0.75 and np.mean([s >= 0.5 for s in bad]) < 0.02
+
+
+def test_label_model_finds_accuracies_and_discounts_copies():
+    rng = np.random.default_rng(7)
+    y = rng.random(4000) < 0.3
+    rates = [(0.02, 0.6), (0.05, 0.7), (0.3, 0.35), (0.01, 0.4)]
+    votes = [rng.random(4000) < np.where(y, b, a) for a, b in rates]
+    fired = np.stack([*votes, votes[0], votes[0]], 1).astype(float)
+    model = toxicity.LabelModel()
+    q = model.fit(fired, np.where(fired[:, 1] > 0, 0.9, 0.1))
+    assert abs(model.prior - 0.3) < 0.08 and ((q > 0.5) == y).mean() > 0.85
+    assert model.rate[1, 1] > model.rate[0, 1] + 0.4 and model.weight[0] < 0.5 < model.weight[1]
+
+
+# --- 8 ---------------------------------------------------------------------------
+
+
+def test_token_shards_equal_the_library(spark, sf_dir, documents):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(token_shards.vocabulary_path())
+    manifest = token_shards.write_shards(table(spark, sf_dir, "documents"), shared_path(spark, "shards"), shard_chars=100_000)
+    assert manifest.count() > 3
+    got = {r.doc_id: r for r in token_shards.read_shards(manifest).collect()}
+    at = 0
+    for i in sorted(documents):
+        ids = [*library.encode(documents[i], add_special_tokens=False).ids, 1]
+        assert (got[i].start, got[i].n_tokens, got[i].ids) == (at, len(ids), ids)
+        assert got[i].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+        at += len(ids)
+    some = sorted(documents)[5]
+    assert token_shards.lookup(manifest, some).tolist() == got[some].ids and token_shards.lookup(manifest, 10**12) is None
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text() | st.lists(st.sampled_from(["Don't", "a.b", "É", "ÉTÉ.", "<|endoftext|>", "<|ENDOFTEXT|>", "x1,y", " ", "'re", "…", "日本", "İ", "é."])).map(" ".join))
+def test_word_memo_equals_the_library(text):
+    memo = token_shards.word_memo()
+    assert memo.encode(pa.array([text]))[0].tolist() == memo.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_memo_is_bounded():
+    memo = token_shards.WordMemo(token_shards.vocabulary_path(), limit=50)
+    rng = random.Random(1)
+    for _ in range(20):
+        text = " ".join("".join(rng.choices("abcde", k=4)) for _ in range(30))
+        assert memo.encode(pa.array([text]))[0].tolist() == memo.tokenizer.encode(text, add_special_tokens=False).ids
+        assert memo.count <= 80
+
+
+# --- 9 ---------------------------------------------------------------------------
+
+
+def test_media_round_trip_and_damage(spark, sf_dir, documents):
+    path = shared_path(spark, "media")
+    written = media.write_archives(table(spark, sf_dir, "documents"), path, archive_bytes=50_000).collect()
+    assert len(written) > 2 and sum(r.members for r in written) == len(documents)
+    got = {r.doc_id: r for r in media.media_features(media.read_archives(spark, path, rangeBytes=10_000)).collect()}
+    for i, text in documents.items():
+        raw = text.encode()
+        whole = media.padded(raw)
+        assert (got[i].n_bytes, got[i].payload_sha256) == (len(raw), hashlib.sha256(whole).hexdigest())
+        assert got[i].tail_crc32 == zlib.crc32(whole[-64:]) and media.decode_png(media.encode_png(raw)) == (whole, len(raw))
+    local = written[0].archive.removeprefix("file:")
+    with open(local, "r+b") as f:  # one member's header
+        f.seek(10)
+        f.write(b"\xff")
+    rows = media.media_features(media.read_archives(spark, path, attempts=2)).collect()
+    assert len(rows) == len(documents) and sum(r.error is not None for r in rows) == 1
+
+
+# --- 10 --------------------------------------------------------------------------
+
+
+def brute_components(texts, words=4):
+    def shingles(t):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        w = re.findall(r"[^\x20\x09-\x0D]+", low)
+        return frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset()
+
+    sets = {i: shingles(t) for i, t in texts.items()}
+    up = {i: i for i in sets}
+
+    def find(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    index = defaultdict(list)
+    for i in ids:
+        for c, k in Counter(j for s in sets[i] for j in index[s]).items():
+            if 100 * k >= 80 * (len(sets[i]) + len(sets[c]) - k):
+                a, b = find(i), find(c)
+                up[max(a, b)] = min(a, b)
+        for s in sets[i]:
+            index[s].append(i)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def test_near_duplicates_equal_brute_force(spark, sf_dir, documents):
+    got = near_dedup.op10_near_duplicates(spark, sf_dir).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(documents)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_long_lists_equal_brute_force(spark, monkeypatch):
+    """A large group of near copies, a passage that many share, short texts."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(3000)]
+    words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    base, passage, texts = words(120), words(60), {}
+    for i in range(150):
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 5, 8])):
+            copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+        texts[i] = " ".join(copy)
+    for i in range(150, 260):
+        texts[i] = " ".join(words(rng.choice([5, 20, 90])) + passage)
+    for i in range(260, 330):
+        texts[i] = " ".join(base[:6] + words(rng.randrange(3)))
+    for name, value in (("LIST", 12), ("BLOCK", 32), ("SKETCH", 32), ("POSTED", 16), ("ESTIMATE", 40)):
+        monkeypatch.setattr(near_dedup, name, value)
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts)
+
+
+def test_prefix_of_any_order_meets_every_link():
+    rng = random.Random(5)
+    for _ in range(3000):
+        n = rng.randrange(4, 60)
+        a = set(range(n))
+        b = set(rng.sample(range(n), rng.randrange(int(n * 0.7), n + 1))) | {1000 + i for i in range(rng.randrange(0, max(1, n // 4)))}
+        if near_dedup.linked(len(a & b), len(a), len(b)):
+            order = list(a | b)
+            rng.shuffle(order)
+            heads = [set([x for x in order if x in s][: near_dedup.prefix(len(s))]) for s in (a, b)]
+            assert heads[0] & heads[1]
+
+
+# --- pipeline ----------------------------------------------------------------------
+
+
+def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir, documents):
+    got = corpus_pipeline.run(spark, sf_dir).orderBy("doc_id").collect()
+    model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    left = {i: t for i, t in documents.items() if model.score(pa.array([t]))[0] < 0.5}
+    comps = brute_components(left)
+    left = {i: t for i, t in left.items() if comps[i][1] == i}
+    bench = {w for r in table(spark, sf_dir, "benchmark").collect() for w in decontaminate.windows_of(decontaminate.words_of(r.text))}
+    sizes = {len(w) for w in bench}
+
+    def dirty(t):
+        w = decontaminate.words_of(t)
+        return any(tuple(w[k : k + n]) in bench for n in sizes for k in range(len(w) - n + 1))
+
+    left = {i for i, t in left.items() if not dirty(t)}
+    docs = table(spark, sf_dir, "documents")
+    kept = {r.id for r in mixing.mix(docs.where(docs.doc_id.isin(*left))).where("kept").collect()}
+    assert [r.doc_id for r in got] == sorted(kept) and 0 < len(kept) <= len(left)
+
+
+def test_registry():
+    names = set(registry.queries())
+    assert {int(n.split("_")[0][2:]) for n in names} == set(range(1, 11))
+    assert set(registry.oracle_sql()) <= names and [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity"
+    json.dumps(sorted(names))

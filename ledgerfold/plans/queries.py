@@ -154,11 +154,11 @@ def s5_range_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH b AS (SELECT event_id // 1000 AS block FROM events), n AS (SELECT max(block) + 1 AS blocks FROM b)
+WITH b AS (SELECT event_id // 100 AS block FROM events), n AS (SELECT max(block) + 1 AS blocks FROM b)
 SELECT 'block-' || lpad(CAST(block // ((blocks + 3) // 4) AS VARCHAR), 6, '0') AS part_id, count(*) AS n FROM b, n GROUP BY 1""")
 def s6_block_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges of row blocks for a table that is split by place, not by key."""
-    events = I.table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 1000).cast("bigint").alias("block"))
+    events = I.table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 100).cast("bigint").alias("block"))
     blocks = events.agg(F.max("block")).first()[0] + 1
     plan = parts.block_parts("events", blocks, 4 << 20, 1 << 20, 4)
     width = plan[0].end - plan[0].start

@@ -4,7 +4,7 @@ Every text is scanned for three kinds of secret.  Encoded runs inside it (URL
 escapes, Unicode escapes, base64, and base64 of gzip or zlib data) are decoded
 into layers, each layer is scanned in the same way and searched for further
 encoded runs, until no new layer appears.  A layer whose content was seen before
-in the same document is not expanded again, which ends cycles.  A secret found in
+at the same place is not expanded again, which ends cycles.  A secret found in
 a layer is reported at the span of the original text that the layer came from:
 character by character for escapes, the whole encoded run for base64.
 
@@ -223,15 +223,13 @@ def find(text: str, max_layer_bytes: int = MAX_LAYER_BYTES) -> dict:
     """Base spans, all spans and layer counts of one text."""
     base = sorted(scan(text))
     first = Layer(text, [0], [(0, len(text), 1)])
-    spans, seen, work, layers, refused = set(base), {hash_of(text)}, [first], 0, 0
+    spans, seen, work, layers, refused = set(base), {place_of(first)}, [first], 0, 0
     while work:
         made, no = expand(work.pop(), max_layer_bytes)
         refused += no
         for layer in made:
-            key = hash_of(layer.text)
-            if key in seen:  # a cycle, or the same content by another way
-                # still reported: the same content may stand elsewhere in the text
-                spans.update(_mapped(layer))
+            key = place_of(layer)
+            if key in seen:  # a cycle, or the same content of the same place by another way
                 continue
             seen.add(key)
             layers += 1
@@ -248,8 +246,10 @@ def _mapped(layer: Layer) -> list[tuple[int, int, int]]:
     return out
 
 
-def hash_of(text: str) -> bytes:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def place_of(layer: Layer) -> tuple[bytes, int, int]:
+    """A layer's content and where in the document it comes from."""
+    digest = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return digest, *layer.origin(0, len(layer.text))
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

@@ -102,6 +102,8 @@ def test_nested_layers_map_to_the_original():
     assert found and all(0 <= a < b <= len(nested) for a, _, b in found)
     bomb = base64.b64encode(zlib.compress(b"a" * 100_000)).decode()
     assert secrets.find(bomb, max_layer_bytes=1000)["refused"] == 1
+    both = secrets.find(f"{twice} and {twice}")["spans"]  # equal content at two places
+    assert both == [(0, 0, len(twice)), (len(twice) + 5, 0, 2 * len(twice) + 5)]
     assert secrets.find("%2525252541")["layers"] == 5  # one layer a decoding, then a fixpoint
 
 

@@ -30,18 +30,18 @@ def live_changes(changes: DataFrame) -> DataFrame:
     return joined.where(F.col("cut").isNull() | (position() > F.col("cut"))).withColumn("cleared", F.col("cut").isNotNull()).drop("cut")
 
 
-def truncated(changes: DataFrame) -> DataFrame:
-    return changes.where(F.col("kind") == "T").select("relation").distinct()
+def has_truncate(changes: DataFrame) -> bool:
+    return not changes.where(F.col("kind") == "T").isEmpty()
 
 
-def fold(target: DataFrame, changes: DataFrame, key: list[str], values: list[str]) -> DataFrame:
+def fold(target: DataFrame, changes: DataFrame, key: list[str], values: list[str], cleared: bool | None = None) -> DataFrame:
     """The target after the changes of one relation, for changes that fit.
 
     The fold is an aggregation with partial sums on the map side (the last kind,
     and for every value column the last row that set it), so a hot key costs one
     row a task; then one full outer join with the target on the key."""
-    cleared = not truncated(changes).isEmpty()
-    log = live_changes(changes)
+    cleared = has_truncate(changes) if cleared is None else cleared
+    log = live_changes(changes) if cleared else changes
     at = position()
     aggs = [F.max_by("kind", at).alias("last_kind"), F.bool_or(F.col("kind") == "I").alias("inserted")]
     for c in values:
@@ -58,32 +58,40 @@ def fold(target: DataFrame, changes: DataFrame, key: list[str], values: list[str
     return both.where(keep).select(*key, *out)
 
 
-def presence_violations(target: DataFrame, changes: DataFrame, key: list[str], insert_checked: bool = True) -> DataFrame:
-    """The first change of each key that does not affect exactly one row: an insert
-    of a present key, an update or delete of an absent one.
-
-    Later ones of the key are consequences.  ``insert_checked`` is false for a
-    relation without a unique key, where an insert always fits."""
-    log = live_changes(changes)
+def misfits(target: DataFrame, changes: DataFrame, key: list[str], insert_checked: bool = True, cleared: bool | None = None) -> DataFrame:
+    """The changes that find their key absent or present when it should not be, if
+    every change before took effect."""
+    cleared = has_truncate(changes) if cleared is None else cleared
+    log = live_changes(changes) if cleared else changes
     base = target.select(*key).withColumn("was", F.lit(True))
-    if not truncated(changes).isEmpty():
+    if cleared:
         base = base.where(F.lit(False))
     order = W.partitionBy("relation", *key).orderBy(*ORDER)
     before = F.lag(F.col("kind") != "D").over(order)
-    joined = log.join(base, key, "left")
     present = F.coalesce(before, F.coalesce("was", F.lit(False)))
     wrong = F.when(F.col("kind") == "I", present & F.lit(insert_checked)).otherwise(~present)
-    bad = joined.withColumn("present", present).withColumn("wrong", wrong).where("wrong")
+    return log.join(base, key, "left").withColumn("present", present).withColumn("wrong", wrong).where("wrong")
+
+
+def presence_violations(target: DataFrame, changes: DataFrame, key: list[str], insert_checked: bool = True) -> DataFrame:
+    """The first change of each key that does not affect exactly one row: an insert
+    of a present key, an update or delete of an absent one.
+
+    Later ones of the key are consequences.  ``insert_checked`` is false for a
+    relation without a unique key, where an insert always fits."""
     first = F.row_number().over(W.partitionBy("relation", *key).orderBy(*ORDER))
-    return bad.withColumn("rn", first).where("rn = 1").select("relation", *key, *ORDER, "kind", "present")
+    bad = misfits(target, changes, key, insert_checked).withColumn("rn", first).where("rn = 1")
+    return bad.select("relation", *key, *ORDER, "kind", "present")
 
 
 def checked_fold(target: DataFrame, changes: DataFrame, key: list[str], values: list[str]) -> DataFrame:
     """The fold, or ``DivergenceError`` if any change does not fit."""
-    first = presence_violations(target, changes, key).orderBy(*ORDER).limit(1).collect()
+    cleared = has_truncate(changes)
+    log = changes.select("relation", *key, *ORDER, "kind")
+    first = misfits(target, log, key, cleared=cleared).orderBy(*ORDER).limit(1).collect()
     if first:
         raise DivergenceError(f"change {first[0].asDict()} does not affect exactly one row")
-    return fold(target, changes, key, values)
+    return fold(target, changes, key, values, cleared)
 
 
 def toast_carried(target: DataFrame, changes: DataFrame, key: list[str], column: str) -> DataFrame:

@@ -28,8 +28,6 @@ from ledgerfold.llm.common import cut, table
 LEAF_BYTES = 1 << 18
 FANOUT = 16
 ARCHIVE_RECORDS = 512
-#: Levels above the leaf ranges: archives of up to LEAF_BYTES * FANOUT**LEVELS bytes.
-LEVELS = 5
 
 
 def warc_header(uri: Column, length: Column) -> Column:
@@ -69,53 +67,64 @@ def leaves(replica: DataFrame) -> DataFrame:
 
 
 def _level(nodes: DataFrame, group: Column) -> DataFrame:
-    """One level: the digest of each group's digests in order."""
-    return (
-        nodes.groupBy("archive", group.alias("node"))
-        .agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("at"), F.col("digest")))), lambda x: x["digest"]), ""), 256).alias("digest"))
-    )
-
-
-def tree(records: DataFrame, leaf_bytes: int = LEAF_BYTES, fanout: int = FANOUT, levels: int = LEVELS) -> list[DataFrame]:
-    """Levels from the leaf ranges (0) to the roots, as ``archive, node, digest``."""
-    out = [_level(records.withColumn("at", F.col("offset")), F.floor(F.col("offset") / leaf_bytes).cast("bigint"))]
+    """One level of both trees: the digest of each group's digests in order."""
+    ordered = F.array_sort(F.collect_list(F.struct("at", "digest")))
+    return nodes.groupBy("side", "archive", group.alias("node")).agg(
+        F.sha2(F.array_join(F.transform(ordered, lambda x: x["digest"]), ""), 256).alias("digest"))
+
+
+def levels_above(last_offset: int, leaf_bytes: int, fanout: int) -> int:
+    """Levels from the leaf ranges to one root for an archive of this length."""
+    levels, nodes = 1, last_offset // leaf_bytes + 1
+    while nodes > fanout:
+        levels, nodes = levels + 1, -(-nodes // fanout)
+    return levels
+
+
+def tree(records: DataFrame, leaf_bytes: int = LEAF_BYTES, fanout: int = FANOUT) -> list[DataFrame]:
+    """Levels from the leaf ranges (0) to the roots, as ``side, archive, node,
+    digest``; each is written once."""
+    last = records.agg(F.max("offset")).first()[0] or 0
+    levels = levels_above(last, leaf_bytes, fanout)
+    out = [cut(_level(records.withColumn("at", F.col("offset")), F.floor(F.col("offset") / leaf_bytes).cast("bigint")), "merkle-level")]
     for level in range(levels):
-        below = out[-1].select("archive", F.col("node").alias("at"), "digest")
-        top = level == levels - 1
-        out.append(_level(below, F.lit(0).cast("bigint") if top else F.floor(F.col("at") / fanout).cast("bigint")))
+        below = out[-1].select("side", "archive", F.col("node").alias("at"), "digest")
+        up = F.lit(0).cast("bigint") if level == levels - 1 else F.floor(F.col("at") / fanout).cast("bigint")
+        out.append(cut(_level(below, up), "merkle-level"))
     return out
 
 
-def _differ(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys whose digests differ, or that one side lacks."""
-    a, b = a.withColumnRenamed("digest", "da"), b.withColumnRenamed("digest", "db")
-    return a.join(b, keys, "full_outer").where(~F.col("da").eqNullSafe(F.col("db"))).select(*keys, "da", "db")
+def _sides(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """Both sides' digests of each key, null where a side lacks it."""
+    one = lambda i: F.max(F.when(F.col("side") == i, F.col("digest")))
+    return nodes.groupBy(*keys).agg(one(0).alias("first_digest"), one(1).alias("second_digest"))
+
+
+def _differ(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    return _sides(nodes, keys).where(~F.col("first_digest").eqNullSafe(F.col("second_digest")))
 
 
-def audit(first: DataFrame, second: DataFrame, leaf_bytes: int = LEAF_BYTES, fanout: int = FANOUT, levels: int = LEVELS) -> dict[str, DataFrame]:
-    """``roots``: ``archive, first_root, second_root, intact``; ``findings``:
+def audit(first: DataFrame, second: DataFrame, leaf_bytes: int = LEAF_BYTES, fanout: int = FANOUT) -> dict[str, DataFrame]:
+    """``roots``: ``archive, first_digest, second_digest, intact``; ``findings``:
     ``archive, offset, record_id, problem``.
 
-    Both replicas' leaf digests are written once; each level's comparison reads
-    only the children of the nodes that mismatched above."""
-    sides = [cut(leaves(r), "merkle-leaves") for r in (first, second)]
-    trees = [[cut(x, "merkle-level") for x in tree(s, leaf_bytes, fanout, levels)] for s in sides]
-    roots = trees[0][-1].withColumnRenamed("digest", "first_root").join(
-        trees[1][-1].withColumnRenamed("digest", "second_root"), ["archive", "node"], "full_outer")
-    roots = roots.select("archive", "first_root", "second_root", F.col("first_root").eqNullSafe(F.col("second_root")).alias("intact"))
-    bad = _differ(trees[0][-1], trees[1][-1], ["archive", "node"]).select("archive", "node")
-    for level in range(levels - 1, -1, -1):
-        up = F.lit(0).cast("bigint") if level == levels - 1 else F.floor(F.col("node") / fanout).cast("bigint")
-        under = [t[level].withColumn("up", up) for t in trees]
-        parents = bad.withColumnRenamed("node", "up")
-        under = [u.join(parents, ["archive", "up"], "left_semi").drop("up") for u in under]
-        bad = _differ(*under, ["archive", "node"]).select("archive", "node")
-    ranges = [s.withColumn("node", F.floor(F.col("offset") / leaf_bytes).cast("bigint")).join(bad, ["archive", "node"], "left_semi").drop("node") for s in sides]
-    ids = [r.select("archive", "offset", F.struct("record_id").alias(f"r{i}"), F.col("digest")) for i, r in enumerate(ranges)]
-    both = ids[0].withColumnRenamed("digest", "da").join(ids[1].withColumnRenamed("digest", "db"), ["archive", "offset"], "full_outer")
-    found = both.where(~F.col("da").eqNullSafe(F.col("db")))
+    Both replicas' leaf digests are written once, in one table with a side column,
+    so a comparison is one aggregation.  Each level's comparison reads only the
+    children of the nodes that mismatched above, and ends where none does."""
+    both = leaves(first).withColumn("side", F.lit(0)).unionByName(leaves(second).withColumn("side", F.lit(1)))
+    records = cut(both, "merkle-leaves")
+    levels = tree(records, leaf_bytes, fanout)
+    roots = _sides(levels[-1], ["archive"]).withColumn("intact", F.col("first_digest").eqNullSafe(F.col("second_digest")))
+    bad = cut(_differ(levels[-1], ["archive", "node"]).select("archive", "node"), "merkle-bad")
+    for level in range(len(levels) - 2, -1, -1):
+        up = F.lit(0).cast("bigint") if level == len(levels) - 2 else F.floor(F.col("node") / fanout).cast("bigint")
+        under = levels[level].withColumn("up", up).join(bad.withColumnRenamed("node", "up"), ["archive", "up"], "left_semi")
+        bad = cut(_differ(under, ["archive", "node"]).select("archive", "node"), "merkle-bad")
+    ranged = records.withColumn("node", F.floor(F.col("offset") / leaf_bytes).cast("bigint")).join(bad, ["archive", "node"], "left_semi")
+    one = lambda i: F.max(F.when(F.col("side") == i, F.col("digest")))
+    found = ranged.groupBy("archive", "offset").agg(one(0).alias("da"), one(1).alias("db"), F.first("record_id", ignorenulls=True).alias("record_id"))
     problem = F.when(F.col("db").isNull(), "missing").when(F.col("da").isNull(), "extra").otherwise("payload")
-    findings = found.select("archive", "offset", F.coalesce("r0", "r1")["record_id"].alias("record_id"), problem.alias("problem"))
+    findings = found.where(~F.col("da").eqNullSafe(F.col("db"))).select("archive", "offset", "record_id", problem.alias("problem"))
     return {"roots": roots, "findings": findings}
 
 

@@ -32,15 +32,24 @@ def parse(lines: DataFrame) -> DataFrame:
     return found.withColumn("kind", kind).withColumn("rest", F.expr("trim(substring(body, length(kind) + 2))")).drop("body")
 
 
-def phase(kind: Column) -> Column:
-    """When an entry is restored: before the data, as data, with the indexes, with
-    the constraints, or last."""
-    return (
-        F.when(kind.isin("TABLE DATA", "SEQUENCE SET", "LARGE OBJECT", "MATERIALIZED VIEW DATA", "STATISTICS DATA"), "data")
-        .when(kind.isin("INDEX", "INDEX ATTACH"), "index")
-        .when(kind.isin("CONSTRAINT", "FK CONSTRAINT", "CHECK CONSTRAINT"), "constraint")
-        .when(kind.isin("TRIGGER", "EVENT TRIGGER", "RULE", "POLICY", "ROW SECURITY", "PUBLICATION", "PUBLICATION TABLE", "STATISTICS"), "deferred")
-        .otherwise("pre-data"))
+#: What each kind of entry is restored as; the rest is made first.
+CLASSES = {
+    "skipped": ["PUBLICATION", "PUBLICATION TABLE", "PUBLICATION TABLES IN SCHEMA", "SUBSCRIPTION", "SUBSCRIPTION TABLE", "TABLE DATA", "SEQUENCE SET",
+                "MATERIALIZED VIEW DATA", "BLOB", "BLOB METADATA", "BLOBS", "pg_largeobject", "STATISTICS DATA"],
+    "index": ["INDEX", "INDEX ATTACH"],
+    "constraint": ["CONSTRAINT", "CHECK CONSTRAINT"],
+    "deferred": ["COMMENT", "FK CONSTRAINT", "TRIGGER", "RULE", "POLICY"],
+}
+
+
+def restore_class(kind: Column, rest: Column) -> Column:
+    """``pre-data``, ``index``, ``constraint``, ``deferred`` or ``skipped``: data
+    and replication objects are made otherwise, and an extension brings its own
+    comment."""
+    out = F.when((kind == "COMMENT") & rest.rlike(r"^\S+ EXTENSION "), "skipped")
+    for name, kinds in CLASSES.items():
+        out = out.when(kind.isin(kinds), name)
+    return out.otherwise("pre-data")
 
 
 def use_list(found: DataFrame, selected: DataFrame) -> DataFrame:

@@ -122,8 +122,8 @@ def test_pgoutput_survives_noise(messages):
 
 def test_archive_list(spark):
     lines = ["; comment", "215; 1259 16389 TABLE public orders owner", "3300; 0 16389 TABLE DATA public orders owner", "3160; 2606 16393 FK CONSTRAINT public orders fk owner", "7; 0 0 INDEX public i owner"]
-    got = archive_list.parse(spark.createDataFrame([(x,) for x in lines], "line string")).withColumn("phase", archive_list.phase(F.col("kind"))).collect()
-    assert {(r.dump_id, r.kind, r.phase) for r in got} == {(215, "TABLE", "pre-data"), (3300, "TABLE DATA", "data"), (3160, "FK CONSTRAINT", "constraint"), (7, "INDEX", "index")}
+    got = archive_list.parse(spark.createDataFrame([(x,) for x in lines], "line string")).withColumn("phase", archive_list.restore_class(F.col("kind"), F.col("rest"))).collect()
+    assert {(r.dump_id, r.kind, r.phase) for r in got} == {(215, "TABLE", "pre-data"), (3300, "TABLE DATA", "skipped"), (3160, "FK CONSTRAINT", "deferred"), (7, "INDEX", "index")}
 
 
 LOG = "relation string, end_lsn bigint, seq int, kind string, k bigint, v string, toast array<string>"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -9,13 +11,17 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes handed to a Python worker at once.  Texts reach a megabyte, so
 #: the default of 10,000 rows a batch would not be bounded in memory.
 BATCH_ROWS = 1024
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 8 << 20
+
+#: What a worker process keeps between tasks, by operator.
+CACHES: dict[str, dict] = {}
 
 _SHIPPED: dict[str, str] = {}
 
@@ -76,6 +82,33 @@ def python_ready(spark: SparkSession) -> None:
         _SHIPPED[app] = path
 
 
+def worker_task(run, keeps: str = ""):
+    """The task function ``run`` (batches in, batches out) with bounded leftovers:
+    caches of other operators are dropped before it, and freed memory goes back to
+    the system after it, as worker processes live on between stages."""
+
+    def task(batches):
+        for name in [x for x in CACHES if x != keeps]:
+            CACHES.pop(name).clear()
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def cache(name: str) -> dict:
+    return CACHES.setdefault(name, {})
+
+
 def open_binary(uri: str, mode: str):
     """A binary file of the shared folder, for local and remote URIs alike.
 

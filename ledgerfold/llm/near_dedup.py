@@ -15,7 +15,7 @@ reach.
    1e-9 and no more are posted.  A class that consists mostly of frequent values
    also posts its plainly smallest values.
 3. *Short lists* give pairs with their overlaps by a join inside the list.  The
-   best pairs of each component are verified first, then those that still connect
+   best pair of each class is verified first; then all pairs that still connect
    different components, after the estimate from the union sketch.
 4. *Long lists* (large groups of near copies) are never joined pairwise: their
    members are cut into blocks, and a task compares two blocks by a product of
@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm.common import cut, python_ready, table, text_of
+from ledgerfold.llm.common import cut, give_back, python_ready, table, text_of, worker_task
 
 WORDS = 4
 SIMILARITY = 80
@@ -60,7 +60,8 @@ COUNTED = 64
 #: Most frequent values that are told to the tasks.  More would be treated as rare
 #: ones, which changes the lists' lengths but not the result.
 FREQUENT = 1_000_000
-BLOCK = 512
+BLOCK = 1024
+BLOCK_ELEMENTS = 1_000_000
 #: Union-sketch estimates below this (in hundredths) are no links: 5.6 standard
 #: deviations below the similarity for two sketches of 128.
 ESTIMATE = 60
@@ -148,7 +149,7 @@ def sketches(docs: DataFrame, id_column: str, text_column: str, words: int) -> D
             ], names=["doc_id", "n", "h1", "h2", "sketch"])
 
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), text_of(text_column).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n bigint, h1 bigint, h2 bigint, sketch array<bigint>")
+    return rows.mapInArrow(worker_task(run), "doc_id bigint, n bigint, h1 bigint, h2 bigint, sketch array<bigint>")
 
 
 def bounded_join(left: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -171,7 +172,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_column: str, text_column: str,
                 [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["rep", "set"])
 
     rows = docs.select(F.col(id_column).cast("bigint").alias("rep"), text_of(text_column).alias("text"))
-    return bounded_join(rows, ids.select("rep"), "left_semi").mapInArrow(run, "rep bigint, set array<bigint>")
+    return bounded_join(rows, ids.select("rep"), "left_semi").mapInArrow(worker_task(run), "rep bigint, set array<bigint>")
 
 
 # --- postings ------------------------------------------------------------------
@@ -211,7 +212,7 @@ def posted(classes: DataFrame, frequent: np.ndarray) -> DataFrame:
                 [batch.column("rep"), batch.column("n"), pa.ListArray.from_arrays(pa.array(stops), pa.array(flat))], names=["rep", "n", "keys"])
 
     # Three elements or fewer: only an equal set is similar enough.
-    return classes.where(F.col("n") > 3).select("rep", "n", "sketch").mapInArrow(run, "rep bigint, n bigint, keys array<bigint>")
+    return classes.where(F.col("n") > 3).select("rep", "n", "sketch").mapInArrow(worker_task(run), "rep bigint, n bigint, keys array<bigint>")
 
 
 # --- verification --------------------------------------------------------------
@@ -234,7 +235,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
                 keep.append(bool(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), similarity)))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return with_both(pairs, sets, "set").mapInArrow(run, "a bigint, b bigint").distinct()
+    return with_both(pairs, sets, "set").mapInArrow(worker_task(run), "a bigint, b bigint").distinct()
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, estimate: int) -> DataFrame:
@@ -251,7 +252,7 @@ def estimated(pairs: DataFrame, classes: DataFrame, estimate: int) -> DataFrame:
                 keep.append(100 * common >= estimate * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return with_both(pairs, classes, "sketch").mapInArrow(run, "a bigint, b bigint").distinct()
+    return with_both(pairs, classes, "sketch").mapInArrow(worker_task(run), "a bigint, b bigint").distinct()
 
 
 # --- components ----------------------------------------------------------------
@@ -286,10 +287,11 @@ def across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 # --- long lists ----------------------------------------------------------------
 
 
-def block_pairs(members: DataFrame, lengths: DataFrame, block: int) -> DataFrame:
-    """``key, i, j, side`` rows: each member of a long list once for each block it
-    is compared with.  Blocks are hash parts of the list of about ``block`` rows."""
-    parts = lengths.select("key", F.ceil(F.col("len") / block).cast("int").alias("parts"))
+def block_pairs(members: DataFrame, lengths: DataFrame, block: int, elements: int) -> DataFrame:
+    """``key, i, j, part`` rows: each member of a long list once for each block it
+    is compared with.  Blocks are hash parts of the list, of about ``block`` rows or
+    ``elements`` set elements, whichever is less."""
+    parts = lengths.select("key", F.ceil(F.greatest(F.col("len") / block, F.col("size") / elements)).cast("int").alias("parts"))
     own = members.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     others = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return others.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
@@ -375,11 +377,14 @@ def compare_blocks(key: int, a: dict, b: dict, same: bool, similarity: int, esti
 def long_links(members: DataFrame, keyed: DataFrame, classes: DataFrame, sets: DataFrame, comps: DataFrame, similarity: int, estimate: int) -> DataFrame:
     """Verified links, a forest for each pair of blocks, that long lists add to
     the components known."""
-    at = members.join(comps, "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    lengths = at.groupBy("key").agg(F.count("*").alias("len"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    lengths = cut(lengths.where(F.col("lo") != F.col("hi")).select("key", "len"), "long-lists")
-    dealt = block_pairs(at.join(lengths.select("key"), "key", "left_semi"), lengths, BLOCK)
-    whole = dealt.join(keyed, "rep").join(classes.select("rep", "sketch"), "rep").join(sets, "rep")
+    at = members.join(comps, "rep", "left").select("key", "rep", F.col("n").alias("size"), F.coalesce("comp", "rep").alias("comp"))
+    lengths = at.groupBy("key").agg(
+        F.count("*").alias("len"), F.sum("size").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    lengths = cut(lengths.where(F.col("lo") != F.col("hi")).select("key", "len", "size"), "long-lists")
+    at = at.drop("size")
+    # What a comparison needs is joined before members are dealt to block pairs.
+    whole = at.join(lengths.select("key"), "key", "left_semi").join(keyed, "rep").join(classes.select("rep", "sketch"), "rep").join(sets, "rep")
+    dealt = block_pairs(whole, lengths, BLOCK, BLOCK_ELEMENTS)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         key, i, j = (int(pdf[c].iloc[0]) for c in ("key", "i", "j"))
@@ -387,10 +392,13 @@ def long_links(members: DataFrame, keyed: DataFrame, classes: DataFrame, sets: D
         for part in (i, j):
             own = pdf[pdf["part"] == part].drop_duplicates("rep").sort_values("rep")
             sides.append({c: own[c].tolist() for c in ("rep", "n", "comp", "keys", "sketch", "set")})
-        return pd.DataFrame(compare_blocks(key, *sides, i == j, similarity, estimate), columns=["a", "b"], dtype="int64")
+        links = compare_blocks(key, *sides, i == j, similarity, estimate)
+        del sides
+        give_back()
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     columns = ["key", "i", "j", "part", "rep", "n", "comp", "keys", "sketch", "set"]
-    return whole.select(*columns).groupBy("key", "i", "j").applyInPandas(run, "a bigint, b bigint")
+    return dealt.select(*columns).groupBy("key", "i", "j").applyInPandas(run, "a bigint, b bigint")
 
 
 # --- the operator --------------------------------------------------------------
@@ -435,24 +443,13 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     links = cut(verified(best, sets, similarity), "links")
     comps = components(links)
     log("pairs", pairs, "long", long, "sets", sets, "first links", links)
-    # The best pair of each component to another one, a few times: most components
-    # of a group merge before all remaining pairs are looked at.
-    for _ in range(2):
-        open_ = across(pairs, comps)
-        ranked = open_.withColumn("side", F.explode(F.array("ca", "cb"))).groupBy("side").agg(F.max_by(F.struct("a", "b"), "overlap").alias("p"))
-        more = cut(verified(ranked.select("p.a", "p.b").distinct(), sets, similarity), "links")
-        log("round", more)
-        if more.isEmpty():
-            break
-        links = links.union(more)
-        comps = components(links)
     rest = cut(estimated(across(pairs, comps), classes, ESTIMATE), "rest")
     more = cut(verified(rest, sets, similarity), "links")
     log("rest", rest, "links", more)
     if not more.isEmpty():
         links = links.union(more)
         comps = components(links)
-    more = cut(long_links(long.select("key", "rep"), keyed, classes, sets, comps, similarity, ESTIMATE), "links")
+    more = cut(long_links(long, keyed, classes, sets, comps, similarity, ESTIMATE), "links")
     log("long links", more)
     if not more.isEmpty():
         comps = components(links.union(more))
@@ -485,5 +482,22 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: All pairs that share a shingle, then reachability; for small tables.
+ORACLE_OP10 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, comp) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.comp FROM r JOIN e ON e.a = r.node),
+m AS (SELECT node, min(comp) AS comp FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.comp AS component_id, d.doc_id = m.comp AS kept
+FROM d JOIN m ON m.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
 QUERIES = {"op10_near_duplicates": op10_near_duplicates}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op10_near_duplicates": ORACLE_OP10}

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm.common import python_ready, table, text_of
+from ledgerfold.llm.common import cache, python_ready, table, text_of, worker_task
 
 WINDOW = 10
 CHUNK_CHARS = 16_000_000
@@ -36,8 +36,6 @@ CHUNK_CHARS = 16_000_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-_AUTOMATA: dict = {}
-
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(lowered(text or ""))
@@ -75,10 +73,11 @@ def automaton_of(items: list[tuple[str, str]], window: int):
 
 
 def _cached(key: str, items, window: int):
-    if key not in _AUTOMATA:
-        _AUTOMATA.clear()
-        _AUTOMATA[key] = automaton_of(items, window)
-    return _AUTOMATA[key]
+    machines = cache("automata")
+    if key not in machines:
+        machines.clear()
+        machines[key] = automaton_of(items, window)
+    return machines[key]
 
 
 def matched(machine, normal: str) -> tuple[list[tuple[int, int]], set[str]]:
@@ -183,9 +182,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     chunks = benchmark_chunks(benchmark, item_column, item_text, chunk_chars)
     held = next(chunks)
     for following in chunks:
-        out = out.mapInArrow(scanner(held, False), schema)
+        out = out.mapInArrow(worker_task(scanner(held, False), "automata"), schema)
         held = following
-    out = out.mapInArrow(scanner(held, True), schema)
+    out = out.mapInArrow(worker_task(scanner(held, True), "automata"), schema)
     return out.select(F.col("id").alias(id_column), "n_words", "hits", "spans", "items")
 
 
@@ -210,7 +209,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_column: str = "t
         return run
 
     for items in benchmark_chunks(benchmark, item_column, item_text, chunk_chars):
-        docs = docs.mapInArrow(filter_of(items), docs.schema)
+        docs = docs.mapInArrow(worker_task(filter_of(items), "automata"), docs.schema)
     return docs
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ledgerfold.llm.common import open_binary, publish, python_ready, shared_path, table, text_of
+from ledgerfold.llm.common import open_binary, publish, python_ready, shared_path, table, text_of, worker_task
 
 WIDTH = 64
 RANGE_BYTES = 16 << 20
@@ -184,7 +184,7 @@ def write_archives(docs: DataFrame, path: str, id_column: str = "doc_id", text_c
             pa.schema([("archive", pa.string()), ("bytes", pa.int64()), ("members", pa.int64())]))
 
     rows = docs.select(docs[id_column].cast("bigint").alias("id"), text_of(text_column).alias("text"))
-    done = rows.mapInArrow(run, "archive string, bytes bigint, members bigint").collect()
+    done = rows.mapInArrow(worker_task(run), "archive string, bytes bigint, members bigint").collect()
     return spark.createDataFrame(done or [], "archive string, bytes bigint, members bigint")
 
 
@@ -319,7 +319,7 @@ def media_features(media: DataFrame) -> DataFrame:
 
     ddl = ("doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, "
            "media_bytes bigint, media_sha256 string, feature string, error string")
-    return media.select("name", "media", "error").mapInArrow(run, ddl)
+    return media.select("name", "media", "error").mapInArrow(worker_task(run), ddl)
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerfold.llm.common import python_ready, table, text_of
+from ledgerfold.llm.common import python_ready, table, text_of, worker_task
 
 KINDS = ("assign", "access", "hex")
 
@@ -287,7 +287,7 @@ def scan_secrets(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     kind = "array<struct<kind:string,start:bigint,end:bigint>>"
     return (
         df.select(df[id_column].alias("id"), text_of(text_column).alias("text"))
-        .mapInArrow(run, f"id {id_type}, base {kind}, spans {kind}, n_layers bigint, n_refused bigint")
+        .mapInArrow(worker_task(run), f"id {id_type}, base {kind}, spans {kind}, n_layers bigint, n_refused bigint")
         .withColumnRenamed("id", id_column)
     )
 

@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm.common import open_binary, publish, python_ready, shared_path, table, text_of
+from ledgerfold.llm.common import cache, open_binary, publish, python_ready, shared_path, table, text_of, worker_task
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -59,14 +59,14 @@ BLOOM_HASHES = 7
 #: shards grow, so that the manifest stays small.
 SHARD_CHARS = 24_000_000
 MAX_SHARDS = 20_000
-#: Words whose ids a worker remembers; emptied when full, so its memory is bounded.
-MEMO_WORDS = 1_000_000
-GATHER_BYTES = 12 << 20
+#: Words whose ids a worker remembers; when full only words met in several batches
+#: stay, so its memory is bounded.
+MEMO_WORDS = 600_000
+GATHER_BYTES = 8 << 20
 
 #: Lower-case letters that every normalisation leaves as they are.
 PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
 
-_TOKENIZERS: dict = {}
 
 
 class WordMemo:
@@ -94,8 +94,28 @@ class WordMemo:
         self.index: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)
+        self.uses = np.zeros(1 << 14, np.uint16)
         self.count, self.size = 0, 0
 
+    def _thin(self):
+        """Keep the words met in several batches, at most half the limit."""
+        uses = self.uses[: self.count]
+        least = 2
+        while np.count_nonzero(uses >= least) > self.limit // 2:
+            least += 1
+        kept = np.flatnonzero(uses >= least)
+        ends = self.ends[: self.count]
+        starts = np.concatenate([[0], ends[:-1]])[kept] if self.count else ends
+        length = ends[kept] - starts
+        at = np.repeat(starts - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+        words, ids, uses = list(self.index), self.ids[at], uses[kept] // 2
+        self._forget()
+        self.index = {words[k]: i for i, k in enumerate(kept.tolist())}
+        self.count, self.size = len(kept), len(ids)
+        self.ids = np.concatenate([ids, np.zeros(1 << 16, np.uint32)])
+        self.ends = np.concatenate([np.cumsum(length), np.zeros(1 << 14, np.int64)])
+        self.uses = np.concatenate([uses, np.zeros(1 << 14, np.uint16)])
+
     def _learn(self, words: list[str]):
         """Remember the ids of new words.  A word of lower-case Latin letters alone
         is one piece that no normaliser changes, so it goes straight to the
@@ -116,6 +136,7 @@ class WordMemo:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.count + len(got) > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+            self.uses = np.concatenate([self.uses, np.zeros_like(self.uses)])
         self.ids[self.size : self.size + len(flat)] = flat
         self.ends[self.count : self.count + len(got)] = self.size + np.cumsum(lengths)
         self.index.update(zip(words, range(self.count, self.count + len(got)), strict=True))
@@ -134,9 +155,10 @@ class WordMemo:
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if self.count + len(distinct) > self.limit:
-            self._forget()
+            self._thin()
         self._learn([w for w in distinct if w not in self.index])
         which = np.fromiter((self.index[w] for w in distinct), np.int64, len(distinct))
+        self.uses[which] = np.minimum(self.uses[which], 60_000) + 1
         stops = self.ends[which] if len(which) else np.zeros(0, np.int64)
         starts = np.where(which > 0, self.ends[which - 1], 0) if len(which) else stops
         codes = coded.indices.to_numpy(zero_copy_only=False)
@@ -175,10 +197,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 def word_memo(path: str | None = None) -> WordMemo:
     """This worker's memo of a vocabulary file."""
-    path = path or vocabulary_path()
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordMemo(path)
-    return _TOKENIZERS[path]
+    path, memos = path or vocabulary_path(), cache("tokens")
+    if path not in memos:
+        memos[path] = WordMemo(path)
+    return memos[path]
 
 
 # --- the file format -----------------------------------------------------------
@@ -392,7 +414,7 @@ def write_shards(docs: DataFrame, path: str, id_column: str = "doc_id", text_col
             [{"shard": min(shards, default=-1), "path": final, "documents": len(writer.keys), "tokens": writer.tokens}],
             pa.schema([("shard", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())]))
 
-    written = dealt.mapInArrow(run, "shard int, path string, documents bigint, tokens bigint").collect()
+    written = dealt.mapInArrow(worker_task(run, "tokens"), "shard int, path string, documents bigint, tokens bigint").collect()
     # One small row for each shard file.  Empty partitions hold nothing.
     files, start = [], 0
     for r in sorted((r for r in written if r.documents or len(written) == 1), key=lambda r: r.shard):
@@ -458,7 +480,7 @@ def _read(manifest: DataFrame, with_ids: bool) -> DataFrame:
     spark = manifest.sparkSession
     # One task a file; a plan of file names, not of data.
     files = spark.createDataFrame(rows or [], "path string, start bigint").repartition(max(1, len(rows)))
-    return files.mapInArrow(run, ddl)
+    return files.mapInArrow(worker_task(run, "tokens"), ddl)
 
 
 def lookup(manifest: DataFrame, identifier: int | None) -> np.ndarray | None:

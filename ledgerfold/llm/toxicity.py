@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm.common import cut, python_ready, table, text_of
+from ledgerfold.llm.common import cut, python_ready, table, text_of, worker_task
 
 MAX_LABELLED = 12_000
 MAX_FEATURES = 4_000
@@ -268,7 +268,7 @@ def count_features(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([names, pa.array(pos), pa.array(all_ - pos)], schema=schema)
 
     return (
-        rows.mapInArrow(run, "feature string, pos bigint, neg bigint")
+        rows.mapInArrow(worker_task(run), "feature string, pos bigint, neg bigint")
         .groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     )
 
@@ -310,7 +310,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", label_col
                 [batch.column("id").cast(pa.string()), batch.column("y"), pa.array([x.tolist() for x in lists], pa.list_(pa.int64()))], names=["id", "y", "f"])
 
     # At most about max_labelled rows, a few features each.
-    got = rows.mapInArrow(sparse, "id string, y int, f array<bigint>").orderBy("id", "y").toArrow()
+    got = rows.mapInArrow(worker_task(sparse), "id string, y int, f array<bigint>").orderBy("id", "y").toArrow()
     y = got.column("y").to_numpy().astype(float)
     lists = got.column("f").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
@@ -350,7 +350,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(batch.column(1)), pa.float64())], names=["id", "score"])
 
     rows = docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"))
-    return rows.mapInArrow(run, f"id {id_type}, score double").withColumnRenamed("id", id_column)
+    return rows.mapInArrow(worker_task(run), f"id {id_type}, score double").withColumnRenamed("id", id_column)
 
 
 def keep_clean(docs: DataFrame, model: Model, text_column: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -363,7 +363,7 @@ def keep_clean(docs: DataFrame, model: Model, text_column: str = "text", thresho
             texts = pc.fill_null(batch.column(at), "")
             yield batch.filter(pa.array(model.score(texts) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(worker_task(run), docs.schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

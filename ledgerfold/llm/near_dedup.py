@@ -20,7 +20,8 @@ reach.
 4. *Long lists* (large groups of near copies) are never joined pairwise: their
    members are cut into blocks, and a task compares two blocks by a product of
    incidence matrices, verifies only pairs of different components that pass the
-   estimate, and returns a spanning forest of the verified links.
+   estimate, and returns a spanning forest of the verified links.  A pair that
+   stands in long lists is compared in one of them, whatever short lists it shares.
 5. Every link is verified on the full sets of 64-bit shingle hashes.
 
 The components of verified links are found by label propagation with pointer
@@ -341,8 +342,10 @@ def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 def compare_blocks(key: int, a: dict, b: dict, same: bool, similarity: int, estimate: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between two blocks (or inside one).
 
-    A block holds ``rep, n, comp, keys, sketch, set`` lists.  A pair is compared in
-    the list of the smallest value under which both are posted, nowhere else."""
+    A block holds ``rep, n, comp, keys, sketch, set`` lists, of which ``keys`` are
+    the long lists' only: short lists drop pairs by their overlap there, which is
+    no reason to pass over a pair here.  A pair is compared in the long list of the
+    smallest value under which both are posted, nowhere else."""
     keys = [[k[k < key] for k in x["keys"]] for x in (a, b)]
     skip = _common(*keys) > 0
     n, m = np.array(a["n"], np.float64)[:, None], np.array(b["n"], np.float64)[None, :]
@@ -374,7 +377,7 @@ def compare_blocks(key: int, a: dict, b: dict, same: bool, similarity: int, esti
     return links
 
 
-def long_links(members: DataFrame, keyed: DataFrame, classes: DataFrame, sets: DataFrame, comps: DataFrame, similarity: int, estimate: int) -> DataFrame:
+def long_links(members: DataFrame, classes: DataFrame, sets: DataFrame, comps: DataFrame, similarity: int, estimate: int) -> DataFrame:
     """Verified links, a forest for each pair of blocks, that long lists add to
     the components known."""
     at = members.join(comps, "rep", "left").select("key", "rep", F.col("n").alias("size"), F.coalesce("comp", "rep").alias("comp"))
@@ -382,6 +385,7 @@ def long_links(members: DataFrame, keyed: DataFrame, classes: DataFrame, sets: D
         F.count("*").alias("len"), F.sum("size").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     lengths = cut(lengths.where(F.col("lo") != F.col("hi")).select("key", "len", "size"), "long-lists")
     at = at.drop("size")
+    keyed = members.groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_set("key")).alias("keys"))  # as many as a class posts at most
     # What a comparison needs is joined before members are dealt to block pairs.
     whole = at.join(lengths.select("key"), "key", "left_semi").join(keyed, "rep").join(classes.select("rep", "sketch"), "rep").join(sets, "rep")
     dealt = block_pairs(whole, lengths, BLOCK, BLOCK_ELEMENTS)
@@ -449,7 +453,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     if not more.isEmpty():
         links = links.union(more)
         comps = components(links)
-    more = cut(long_links(long, keyed, classes, sets, comps, similarity, ESTIMATE), "links")
+    more = cut(long_links(long, classes, sets, comps, similarity, ESTIMATE), "links")
     log("long links", more)
     if not more.isEmpty():
         comps = components(links.union(more))

@@ -337,6 +337,29 @@ def test_long_lists_equal_brute_force(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts)
 
 
+def test_link_by_long_lists_with_few_short_ones(spark, monkeypatch):
+    """Two documents that share a passage with many others and one or two shingles
+    more, of which one is the smallest of all they have in common."""
+    rng = random.Random(11)
+    words = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    passage, own = words(150), [words(16), words(16)]
+    texts = {i: " ".join(passage + words(20)) for i in range(80)}
+    monkeypatch.setattr(near_dedup, "COUNTED", near_dedup.SKETCH)
+    many = near_dedup.shingle_sets(pa.array([" ".join(passage)]))[0]
+    while True:
+        shared = words(2)
+        x, y = near_dedup.shingle_sets(pa.array([" ".join(passage + shared + tail) for tail in own]))
+        both = np.intersect1d(x, y)
+        if both[0] not in many:
+            break
+    assert min(len(x), len(y)) >= 160 and near_dedup.linked(len(both), len(x), len(y))
+    texts |= {100 + i: " ".join(passage + shared + tail) for i, tail in enumerate(own)}
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    want = brute_components(texts)
+    assert want[101][1] == 100 and len({c for _, c in want.values()}) == 81
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_prefix_of_any_order_meets_every_link():
     rng = random.Random(5)
     for _ in range(3000):

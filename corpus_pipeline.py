@@ -8,7 +8,7 @@ return the columns of ``documents``.
 2. ``near_dedup``: one document of each component of near-duplicates stays.
 3. ``decontamination``: documents with words in a benchmark window go.
 4. ``mixing``: the documents of the Pfair mix stay; those beyond the slot at which
-   a source runs out of blocks are not in this mix.
+   a source that is not small runs out of blocks are not in this mix.
 5. ``token_shards``: the token ids, written to shard files and read back.
 
 A document with a null ``doc_id`` is judged by its text in stages 1 and 3 as any

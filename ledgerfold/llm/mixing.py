@@ -9,9 +9,12 @@ source has had its weight's share to within less than one block.
 
 The weights are whole numbers of slots, so the schedule repeats after ``slots``
 slots: one period is scheduled on the driver (its size is a parameter), and every
-document finds its slot from its block's number.  The mix ends at the first slot
-whose block no longer exists: up to there the proportions hold, the documents
-beyond are not in this mix (``kept`` is false).
+document finds its slot from its block's number.  A source that runs out leaves its
+later slots empty.  The mix goes on while the sources that have run out are due
+``MISSING`` of it together at most, so that small sources are in it whole and don't
+end it, and ends at the first slot whose block does not exist after that: up to
+there the proportions hold within that share, the documents beyond are not in this
+mix (``kept`` is false).
 
 A document belongs to the block in which it starts.  Positions come from sums over
 4096 hash ranges of each source and a window inside a range, so that a source with
@@ -43,6 +46,8 @@ SLOTS = 1024
 PERIODS = 64
 ALPHA = 0.75
 MAX_STREAMS = 256
+#: Share of the targets up to which sources may run out before the mix ends.
+MISSING = 0.02
 #: Hexadecimal digits of the hash that name a range: 16 ** 3 ranges a stream.
 RANGE_DIGITS = 3
 REST = "(rest)"
@@ -58,7 +63,7 @@ def whole_weights(targets: dict[str, float], slots: int) -> dict[str, int]:
     for i in range(slots - sum(out.values())):
         out[order[i % len(order)]] += 1
     while sum(out.values()) > slots:  # the least weights took more than their share
-        out[max(out, key=lambda k: (out[k] - share[k] if out[k] > 1 else -1, k))] -= 1
+        out[max(out, key=lambda k: (out[k] - share[k] if out[k] > 1 else -slots, k))] -= 1
     return out
 
 
@@ -84,10 +89,17 @@ def schedule(weights: dict[str, int]) -> list[str]:
     return out
 
 
-def horizon(weights: dict[str, int], places: dict[str, list[int]], blocks: dict[str, int]) -> int:
-    """The first slot whose block does not exist."""
-    slots = sum(weights.values())
-    return min(blocks[k] // a * slots + places[k][blocks[k] % a] for k, a in weights.items())
+def horizon(weights: dict[str, int], places: dict[str, list[int]], blocks: dict[str, int], targets: dict[str, float] | None = None) -> int:
+    """The first slot whose block does not exist, after the streams that run out
+    earlier and have at most MISSING of the targets together.  The targets count
+    as given: a slot at least is more than a small stream's share."""
+    slots, targets = sum(weights.values()), targets or weights
+    left = MISSING * sum(targets.values())
+    for end, k in sorted((blocks[k] // a * slots + places[k][blocks[k] % a], k) for k, a in weights.items()):
+        left -= targets[k]
+        if left < 0:
+            return end
+    raise AssertionError("all streams ran out")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_column: str = "doc_id", source_column: str = "source",
@@ -124,7 +136,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_column: str
     order = schedule(shares)
     places = {k: [t for t, x in enumerate(order) if x == k] for k in shares}
     block = max(1, -(-sum(sizes.values()) // (slots * periods)))
-    end = horizon(shares, places, {k: -(-sizes[k] // block) for k in shares})
+    end = horizon(shares, places, {k: -(-sizes[k] // block) for k in shares}, targets)
 
     before = W.partitionBy("stream").orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # at most 16 ** 3 rows a stream
     starts = ranges.select("stream", "range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))

@@ -197,6 +197,20 @@ def test_mix_positions(spark, sf_dir):
     assert all(seen[k] <= -(-total[k] // block) and abs(seen[k] - weights[k] * end / mixing.SLOTS) < 1 for k in weights)
 
 
+def test_small_sources_do_not_end_the_mix(spark):
+    rows = [(i, "word " * 40, "ab"[i % 2]) for i in range(400)] + [(400, "stray", None), *[(500 + i, "x", f"s{i}") for i in range(60)]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows) and all(r.kept for r in got if r.source not in ("a", "b"))
+    kept = Counter(r.source for r in got if r.kept)
+    assert min(kept["a"], kept["b"]) > 190
+    assert mixing.mixed_documents(docs).count() == sum(kept.values())
+    # A source with a share of its own still ends it.
+    weights = mixing.whole_weights({"a": 0.5, "b": 0.5}, 8)
+    places = {k: [t for t, x in enumerate(mixing.schedule(weights)) if x == k] for k in weights}
+    assert mixing.horizon(weights, places, {"a": 4, "b": 40}) == 8 + places["a"][0]
+
+
 # --- 7 ---------------------------------------------------------------------------
 
 

@@ -3,7 +3,10 @@
 A text is cut into sentences (at line ends, and after ``.``, ``!`` or ``?``
 followed by a blank), each sentence is normalised (ASCII lower case, everything
 but letters and digits one blank) and looked up among the known licence
-sentences.  The identifiers found, in text order, form the document's sequence;
+sentences.  A known sentence may be wrapped over the lines of a paragraph, and is
+cut where its own text is (``v. 2.0``): the pieces in a row that make it up count as
+it.  The leftmost, then longest is taken, from the start of a piece to the end of
+one.  The identifiers found, in text order, form the document's sequence;
 ordered rules are matched against it.  A rule is a list of identifiers that stand
 one after another in the sequence; rules are tried longest first, then in the
 order given, and a match's identifiers are consumed, so that a short rule does
@@ -82,18 +85,37 @@ def normalised(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.translate(str.maketrans(UPPER, LOWER))).strip(" ")
 
 
-def sentences(text: Column) -> Column:
-    """Normalised, non-empty sentences in order."""
+def pieces(text: Column) -> Column:
+    """The normalised sentences as one string.  Between two stands ``S`` where a
+    sentence ends, else ``L`` for a line end or ``P`` for several."""
     low = F.translate(text, UPPER, LOWER)
-    cut = F.regexp_replace(low, r"([.!?])[ \t\r\f]+", "$1\n")
-    each = F.transform(F.split(cut, "\n", -1), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    return F.filter(each, lambda s: s != "")
+    for pattern, mark in (
+        (r"[.!?](?=[ \t\r\f\n])", "S"), (r"[^a-z0-9\nS]+", " "), (r" ?([S\n]) ?", "$1"), ("S+", "S"),
+        (r"S?\n(?:S?\n)+S?", "P"), (r"S\nS|S\n|\nS", "S"), (r"\n", "L"),
+    ):
+        low = F.regexp_replace(low, pattern, mark)
+    return F.trim(low)
 
 
-def known(normal: Column, catalogue: dict[str, str]) -> Column:
+def count_pieces(joined: Column) -> Column:
+    return F.size(F.filter(F.split(joined, "[SLP]", -1), lambda s: s != "")).cast("bigint")
+
+
+def piece_pattern(sentence: str) -> str:
+    """What a known sentence looks like in joined pieces."""
+    words = re.split("([^a-z0-9]+)", sentence.translate(str.maketrans(UPPER, LOWER)))
+    words = words[2 if words[0] == "" else 0 : -2 if words[-1] == "" else None]
+    gap = lambda s: "[ SLP]" if s.count("\n") > 1 else "[ SL]" if re.search(r"[.!?][ \t\r\f\n]", s) else "[ L]"
+    return "".join(gap(w) if i % 2 else w for i, w in enumerate(words))
+
+
+def known(joined: Column, catalogue: dict[str, str]) -> Column:
     """Identifiers of the known sentences, in order."""
     ids = F.create_map(*[F.lit(x) for k, v in catalogue.items() for x in (normalised(v), k)])
-    return F.filter(F.transform(normal, lambda s: F.element_at(ids, s)), lambda k: k.isNotNull())
+    longest = sorted((v for v in catalogue.values() if normalised(v)), key=lambda v: -len(normalised(v)))
+    pattern = f"(?<=[SLP])(?:{'|'.join(piece_pattern(v) for v in longest)})(?=[SLP])"
+    found = F.regexp_extract_all(F.concat(F.lit("P"), joined, F.lit("P")), F.lit(pattern), F.lit(0))
+    return F.transform(found, lambda s: F.element_at(ids, F.translate(s, "SLP", "   ")))
 
 
 def ordered_rules(rules: list[tuple[str, list[str]]]) -> list[tuple[str, list[str]]]:
@@ -117,8 +139,8 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """One row per row: the id, ``n_sentences``, ``sentence_ids`` (in order) and
     ``matches`` (licences in text order)."""
     catalogue, rules = catalogue or SENTENCES, rules or RULES
-    cut = docs.select(F.col(id_column), sentences(text_of(text_column)).alias("s"))
-    found = cut.select(id_column, F.size("s").cast("bigint").alias("n_sentences"), known(F.col("s"), catalogue).alias("sentence_ids"))
+    cut = docs.select(F.col(id_column), pieces(text_of(text_column)).alias("s"))
+    found = cut.select(id_column, count_pieces(F.col("s")).alias("n_sentences"), known(F.col("s"), catalogue).alias("sentence_ids"))
     return found.withColumn("matches", F.transform(match_rules(F.col("sentence_ids"), rules), lambda s: F.substring(s, F.lit(2), F.length(s))))
 
 

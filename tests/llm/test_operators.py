@@ -41,6 +41,23 @@ def test_license_rules_in_order(spark):
     assert got[3].matches == ["MIT", "Proprietary"] and got[4].matches == ["GPL-3.0-only", "CC-BY-NC-4.0"] and got[5].matches == []
 
 
+def test_every_catalogue_sentence_whole_and_wrapped(spark):
+    rows, prefixes = [], ("", "# ", " * ", "// ")
+    for n, (k, v) in enumerate(licenses.SENTENCES.items()):
+        words = v.split(" ")
+        rows += [(k, v), (k, f"Some text. {v}\nMore text."), (k, f"Before\n\n{v}\n\nafter")]
+        for width in (1, 3, 7):
+            lines = [" ".join(words[i : i + width]) for i in range(0, len(words), width)]
+            rows.append((k, "\n".join(prefixes[n % 4] + x for x in lines) + "\r\n"))
+    rows += [(None, "Released under\n\nthe MIT License."), (None, "Released under. The MIT License."), (None, "unReleased under the MIT\nLicense."),
+             ("mpl-grant,mit-title", f"{licenses.SENTENCES['mpl-grant']}\nMIT License\n \t\nx")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = licenses.scan_licenses(docs).collect()
+    assert [(r.doc_id, ",".join(r.sentence_ids)) for r in got] == [(k, k or "") for k, _ in rows]
+    assert {r.doc_id: r.matches for r in got}["mpl-grant"] == ["MPL-2.0"]
+    assert got[-1].n_sentences == 4 and [r.n_sentences for r in got if r.doc_id is None] == [2, 2, 2]
+
+
 # --- 2 ---------------------------------------------------------------------------
 
 

@@ -4,7 +4,9 @@ Every text is scanned for three kinds of secret.  Encoded runs inside it (URL
 escapes, Unicode escapes, base64, and base64 of gzip or zlib data) are decoded
 into layers, each layer is scanned in the same way and searched for further
 encoded runs, until no new layer appears.  A layer whose content was seen before
-at the same place is not expanded again, which ends cycles.  A secret found in
+at the same place is not expanded again, which ends cycles.  Bytes are read as
+UTF-8, else as Latin-1, and those with NULs also as UTF-16 and UTF-32, so that every
+layer is scanned; ``n_layers`` counts those of readable text.  A secret found in
 a layer is reported at the span of the original text that the layer came from:
 character by character for escapes, the whole encoded run for base64.
 
@@ -103,10 +105,26 @@ def _readable(raw: bytes) -> str | None:
     return text if all(c.isprintable() or c in "\t\r\n" for c in text[:4096]) else None
 
 
-def _base64(run: str, limit: int) -> str | None:
+def _texts(raw: bytes) -> list[tuple[str, bool]]:
+    """Every reading of the bytes that can hold a secret (all of ASCII), and whether
+    it is a readable text."""
+    text = _readable(raw)
+    if text is not None:
+        return [(text, True)]
+    try:
+        out = [(raw.decode("utf-8"), False)]
+    except UnicodeDecodeError:
+        out = [(raw.decode("latin-1"), False)]
+    if b"\0" in raw:
+        wide = ["utf-16-le", "utf-16-be"] + ["utf-32-le", "utf-32-be"] * (b"\0\0\0" in raw)
+        out += [(raw.decode(code, "replace"), False) for code in wide]
+    return out
+
+
+def _base64(run: str, limit: int) -> list[tuple[str, bool]]:
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
-        return None
+        return []
     try:
         raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
         for _ in range(8):  # stacked compression formats, innermost last
@@ -115,8 +133,8 @@ def _base64(run: str, limit: int) -> str | None:
                 break
             raw = inner
     except (binascii.Error, ValueError):
-        return None
-    return _readable(raw)
+        return []
+    return _texts(raw)
 
 
 class Layer:
@@ -127,10 +145,10 @@ class Layer:
     point by code point, 0 maps every code point to the whole document span.
     """
 
-    __slots__ = ("text", "starts", "spans")
+    __slots__ = ("text", "starts", "spans", "readable")
 
-    def __init__(self, text, starts, spans):
-        self.text, self.starts, self.spans = text, starts, spans
+    def __init__(self, text, starts, spans, readable=True):
+        self.text, self.starts, self.spans, self.readable = text, starts, spans, readable
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
         i, j = bisect_right(self.starts, start) - 1, bisect_right(self.starts, max(start, end - 1)) - 1
@@ -170,8 +188,15 @@ def _rewritten(layer: Layer, edits: list[tuple[int, int, str]]) -> Layer:
     return Layer("".join(out), starts or [0], spans or [(0, 0, 0)])
 
 
-def _url(run: str) -> str | None:
-    return _readable(bytes.fromhex(run.replace("%", "")))
+def _url(run: str) -> tuple[list[tuple[int, int, str]], bool]:
+    """One edit for each character, bytes that are no UTF-8 as Latin-1, and whether
+    the run is a readable text."""
+    raw, edits, at = bytes.fromhex(run.replace("%", "")), [], 0
+    for c in raw.decode("utf-8", "surrogateescape"):
+        size = len(c.encode("utf-8", "surrogateescape"))
+        edits.append((3 * at, 3 * (at + size), chr(ord(c) - 0xDC00) if 0xDC80 <= ord(c) < 0xDD00 else c))
+        at += size
+    return edits, _readable(raw) is not None
 
 
 def _escapes(run: str) -> list[tuple[int, int, str]]:
@@ -193,15 +218,14 @@ def expand(layer: Layer, limit: int) -> tuple[list[Layer], int]:
     """The layers that one decoding step makes, and how many were refused."""
     made, refused, text = [], 0, layer.text
     if "%" in text:
-        edits = []
+        edits, readable = [], False
         for m in URL_RUN.finditer(text):
-            new = _url(m[0])
-            if new is not None and len(new) * 3 == len(m[0]):  # ASCII: one span each
-                edits += [(m.start() + 3 * i, m.start() + 3 * i + 3, c) for i, c in enumerate(new)]
-            elif new is not None:
-                edits.append((m.start(), m.end(), new))
+            new, plain = _url(m[0])
+            edits += [(m.start() + a, m.start() + b, c) for a, b, c in new]
+            readable |= plain
         if edits:
             made.append(_rewritten(layer, edits))
+            made[-1].readable = readable
     if "\\" in text or "&#x" in text:
         edits = []
         for m in UNICODE_RUN.finditer(text):
@@ -214,8 +238,7 @@ def expand(layer: Layer, limit: int) -> tuple[list[Layer], int]:
         except Refused:
             refused += 1
             continue
-        if new:
-            made.append(Layer(new, [0], [(*layer.origin(m.start(), m.end()), 0)]))
+        made += [Layer(t, [0], [(*layer.origin(m.start(), m.end()), 0)], plain) for t, plain in new if t]
     return made, refused
 
 
@@ -232,7 +255,7 @@ def find(text: str, max_layer_bytes: int = MAX_LAYER_BYTES) -> dict:
             if key in seen:  # a cycle, or the same content of the same place by another way
                 continue
             seen.add(key)
-            layers += 1
+            layers += layer.readable
             spans.update(_mapped(layer))
             work.append(layer)
     return {"base": base, "spans": sorted(spans), "layers": layers, "refused": refused}

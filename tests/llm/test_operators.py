@@ -124,6 +124,21 @@ def test_nested_layers_map_to_the_original():
     assert secrets.find("%2525252541")["layers"] == 5  # one layer a decoding, then a fixpoint
 
 
+@pytest.mark.parametrize("mark", ["\u00a0", "\ufeff", "\u200b", "\u00ad", "\0", "\x1b", "\f"])
+def test_layers_with_unprintable_characters_are_scanned(mark):
+    inner = f"{mark}password=abcdefgh1234 {mark}"
+    whole = lambda run: (2, 0, 2 + len(run))
+    span = lambda raw: (run := base64.b64encode(raw).decode(), secrets.find(f"x {run} y"))
+    for raw in (inner.encode(), gzip.compress(inner.encode()), inner.encode("utf-16"), inner.encode("utf-16-be"), inner.encode("utf-32"), inner.encode() + b"\xff",
+                base64.b64encode(inner.encode("utf-16")) + mark.encode()):
+        run, found = span(raw)
+        assert whole(run) in found["spans"]
+    run = "".join(f"%{b:02x}" for b in mark.encode() + b"\xff" + b"password=abcdefgh1234")
+    first = 3 * len(mark.encode()) + 3
+    assert secrets.find(f"é {run}")["spans"] == [(2 + first, 0, 2 + len(run))]
+    assert secrets.find(base64.b64encode(bytes(range(128, 160))).decode())["layers"] == 0
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="%41\\u0x{}=aAZ+/ tokenTOKEN:;&#"))
 def test_scan_ends_and_keeps_base(text):

@@ -52,15 +52,29 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def cut(df: DataFrame, label: str, scratch: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return it reread, so that what
-    follows survives lost executors without recomputing what came before."""
+    follows survives lost executors without recomputing what came before.
+
+    The path is added to ``scratch``, where the caller has one: tables that nothing
+    reads once a later one is written, for ``discard``."""
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing reads any more, in any file system that
+    Spark can write to."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def python_ready(spark: SparkSession) -> None:
     """Bound the Arrow batches and make this package importable on executors."""
     rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")

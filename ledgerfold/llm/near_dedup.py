@@ -11,19 +11,25 @@ reach.
    ones in an order in which values held by more than ``LIST`` classes come last.
    A set of size n that is within the similarity of another shares a value among
    the first ``n - ceil(s n) + 1`` of any common order, so with that many postings
-   no link is lost; from ``POSTED`` postings on the chance to lose one is below
-   1e-9 and no more are posted.  A class that consists mostly of frequent values
-   also posts its plainly smallest values.
+   no link is lost.  Larger classes post ``POSTED``; one of which frequent values
+   make up more than 3 / 8 also posts its ``PLAIN`` plainly smallest values.
 3. *Short lists* give pairs with their overlaps by a join inside the list.  The
    best pair of each class is verified first; then all pairs that still connect
    different components, after the estimate from the union sketch.
-4. *Long lists* (large groups of near copies) are never joined pairwise: their
-   members are cut into blocks, and a task compares two blocks by a product of
-   incidence matrices, verifies only pairs of different components that pass the
-   estimate, and returns a spanning forest of the verified links.  A pair that
-   stands in long lists is compared in one of them, whatever short lists it shares.
+4. *Long lists* (large groups of near copies, text that many share) are never
+   joined pairwise: their members are cut into blocks of similar set sizes, and a
+   task compares two blocks of sizes that can be linked by a product of incidence
+   matrices, verifies only pairs of different components that pass the estimate,
+   and returns a spanning forest of the verified links.  A pair that stands in long
+   lists is compared in one of them, whatever short lists it shares.
 5. Every link is verified on the full sets of 64-bit shingle hashes.
 
+A pair of sets of up to ``SKETCH`` elements is never missed.  Of larger ones two
+things can miss a link: the estimate from two sketches (a chance below 8e-8), and
+that fewer than ``OVERLAP`` posted values are common (below 1e-9: a pair with a
+common value in a long list is compared there; one without has all its common
+posted values in short lists, and is verified from ``OVERLAP`` of them on).
+
 The components of verified links are found by label propagation with pointer
 jumping over written tables.  Nothing is dropped: the bounds choose between ways,
 all of which cover every member.
@@ -32,7 +38,8 @@ Defined results: a null or empty text, or one without words, has no shingles and
 is linked with nothing; a text of fewer words than a shingle is one shingle; equal
 sets are linked whatever their order; rows with equal identifiers are one node; a
 row with a null identifier is its own (null) component and kept; an empty table
-gives no rows; further columns are ignored.
+gives no rows; further columns are ignored.  Texts are taken whole, however long.
+Ties do not exist: the smallest identifier names a class and a component.
 """
 
 from __future__ import annotations
@@ -47,25 +54,30 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm.common import cut, give_back, python_ready, table, text_of, worker_task
+from ledgerfold.llm.common import cut, discard, give_back, python_ready, table, text_of, worker_task
 
 WORDS = 4
 SIMILARITY = 80
 SKETCH = 128
-#: Postings of a class, and further ones of a class of mostly frequent values.
-POSTED, PLAIN = 32, 16
+#: Postings of a class, and further ones of a class with many frequent values.
+POSTED, PLAIN = 32, 20
+#: Common short lists from which a pair of large sets is verified.
+OVERLAP = 4
 #: Classes from which a value counts as frequent and a list as long.
 LIST = 64
 #: Retained values whose frequencies are counted.
-COUNTED = 64
+COUNTED = SKETCH
 #: Most frequent values that are told to the tasks.  More would be treated as rare
-#: ones, which changes the lists' lengths but not the result.
+#: ones: the order of postings stays common to all classes, and a list is long by
+#: its length, so that lists get longer but no pair is lost.
 FREQUENT = 1_000_000
 BLOCK = 1024
 BLOCK_ELEMENTS = 1_000_000
 #: Union-sketch estimates below this (in hundredths) are no links: 5.6 standard
 #: deviations below the similarity for two sketches of 128.
 ESTIMATE = 60
+#: Pairs of two blocks from which their full sets are compared by a matrix product.
+MANY_PAIRS = 2048
 BROADCAST_IDS = 2_000_000
 
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -192,7 +204,7 @@ def keys_of(sketch: np.ndarray, n: int, frequent: np.ndarray) -> np.ndarray:
     common = (at < len(frequent)) & (frequent[np.minimum(at, len(frequent) - 1)] == sketch) if len(frequent) else np.zeros(len(sketch), bool)
     most = min(prefix(n), POSTED)
     keys = np.concatenate([sketch[~common], sketch[common]])[:most]
-    if 2 * common.sum() > len(sketch) and prefix(n) > POSTED:
+    if 8 * common.sum() > 3 * len(sketch) and prefix(n) > POSTED:
         keys = np.union1d(keys, sketch[:PLAIN])
     return np.sort(keys)
 
@@ -259,18 +271,18 @@ def estimated(pairs: DataFrame, classes: DataFrame, estimate: int) -> DataFrame:
 # --- components ----------------------------------------------------------------
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: list[str]) -> DataFrame:
     """``rep, comp``: the smallest node reachable from each node of a link.
 
     Every round takes the smallest label around each node and then the label's
     label; rounds are written tables, so lineage stays short."""
-    edges = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = cut(edges.groupBy(F.col("a").alias("rep")).agg(F.least(F.col("rep"), F.min("b")).alias("comp")), "labels")
+    edges = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", scratch)
+    labels = cut(edges.groupBy(F.col("a").alias("rep")).agg(F.least(F.col("rep"), F.min("b")).alias("comp")), "labels", scratch)
     while True:
         around = edges.join(labels.select(F.col("rep").alias("b"), "comp"), "b").groupBy(F.col("a").alias("rep")).agg(F.min("comp").alias("near"))
         lower = labels.join(around, "rep").select("rep", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
         jump = labels.select(F.col("rep").alias("mid"), F.col("comp").alias("far"))
-        moved = cut(lower.join(jump, "mid", "left").select("rep", "old", F.least("mid", F.coalesce("far", "mid")).alias("comp")), "labels")
+        moved = cut(lower.join(jump, "mid", "left").select("rep", "old", F.least("mid", F.coalesce("far", "mid")).alias("comp")), "labels", scratch)
         if moved.where(F.col("comp") != F.col("old")).isEmpty():
             return moved.select("rep", "comp")
         labels = moved.select("rep", "comp")
@@ -288,13 +300,27 @@ def across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 # --- long lists ----------------------------------------------------------------
 
 
+#: Blocks of a size band are numbered from ``band * BAND_BLOCKS``.
+BAND_BLOCKS = 1 << 40
+
+
+def size_band(n: str, similarity: int) -> F.Column:
+    """Sets of linked classes are in the same or in neighbouring bands of size: a
+    band's sizes grow by slightly more than the factor that a link allows at most."""
+    return F.floor(F.log(F.col(n).cast("double")) / (math.log(100 / min(similarity, 99)) * (1 + 1e-9))).cast("bigint")
+
+
 def block_pairs(members: DataFrame, lengths: DataFrame, block: int, elements: int) -> DataFrame:
     """``key, i, j, part`` rows: each member of a long list once for each block it
-    is compared with.  Blocks are hash parts of the list, of about ``block`` rows or
-    ``elements`` set elements, whichever is less."""
-    parts = lengths.select("key", F.ceil(F.greatest(F.col("len") / block, F.col("size") / elements)).cast("int").alias("parts"))
-    own = members.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    others = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    is compared with.  Blocks are hash parts of a size band of the list, of about
+    ``block`` rows or ``elements`` set elements, whichever is less."""
+    parts = F.ceil(F.greatest(F.col("len") / block, F.col("size") / elements)).cast("bigint")
+    # One entry for each band of a list; bands grow geometrically, so there are few.
+    bands = lengths.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("band", parts.alias("parts")))).alias("bands"))
+    own = members.join(bands, "key").withColumn("part", F.col("band") * BAND_BLOCKS + F.pmod(F.xxhash64("rep"), F.expr("bands[band]")))
+    blocks = "transform(sequence(0L, coalesce(bands[band + {0}], 0L)), x -> if(x < bands[band + {0}], (band + {0}) * {1}L + x, null))"
+    others = F.array_compact(F.concat(*[F.expr(blocks.format(d, BAND_BLOCKS)) for d in (-1, 0, 1)]))
+    others = own.withColumn("other", F.explode(others)).drop("bands")
     return others.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
 
 
@@ -364,6 +390,10 @@ def compare_blocks(key: int, a: dict, b: dict, same: bool, similarity: int, esti
     share = common / np.maximum(held - common, 1)
     possible &= 100 * share >= estimate
     rows, columns = np.nonzero(possible)
+    if len(rows) > MANY_PAIRS:
+        full = _common(a["set"], b["set"])[rows, columns]
+        enough = linked(full, n[rows, 0], m[0, columns], similarity)
+        rows, columns = rows[enough], columns[enough]
     forest, links = Forest(), []
     for i in np.argsort(-share[rows, columns], kind="stable"):
         x, y = rows[i], columns[i]
@@ -377,17 +407,19 @@ def compare_blocks(key: int, a: dict, b: dict, same: bool, similarity: int, esti
     return links
 
 
-def long_links(members: DataFrame, classes: DataFrame, sets: DataFrame, comps: DataFrame, similarity: int, estimate: int) -> DataFrame:
+def long_links(members: DataFrame, classes: DataFrame, sets: DataFrame, comps: DataFrame, similarity: int, estimate: int, scratch: list[str]) -> DataFrame:
     """Verified links, a forest for each pair of blocks, that long lists add to
     the components known."""
-    at = members.join(comps, "rep", "left").select("key", "rep", F.col("n").alias("size"), F.coalesce("comp", "rep").alias("comp"))
-    lengths = at.groupBy("key").agg(
+    at = members.join(comps, "rep", "left").select(
+        "key", "rep", F.col("n").alias("size"), F.coalesce("comp", "rep").alias("comp"), size_band("n", similarity).alias("band"))
+    banded = at.groupBy("key", "band").agg(
         F.count("*").alias("len"), F.sum("size").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    lengths = cut(lengths.where(F.col("lo") != F.col("hi")).select("key", "len", "size"), "long-lists")
+    mixed_up = banded.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("lo") != F.col("hi"))
+    lengths = cut(banded.join(mixed_up.select("key"), "key", "left_semi").select("key", "band", "len", "size"), "long-lists", scratch)
     at = at.drop("size")
     keyed = members.groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_set("key")).alias("keys"))  # as many as a class posts at most
     # What a comparison needs is joined before members are dealt to block pairs.
-    whole = at.join(lengths.select("key"), "key", "left_semi").join(keyed, "rep").join(classes.select("rep", "sketch"), "rep").join(sets, "rep")
+    whole = at.join(lengths.select("key").distinct(), "key", "left_semi").join(keyed, "rep").join(classes.select("rep", "sketch"), "rep").join(sets, "rep")
     dealt = block_pairs(whole, lengths, BLOCK, BLOCK_ELEMENTS)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -413,16 +445,17 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """``doc_id, n_shingles, component_id, kept`` of every row."""
     spark = docs.sparkSession
     python_ready(spark)
+    scratch: list[str] = []  # what only this function reads
     sketched = cut(sketches(docs, id_column, text_column, words), "sketches")
     by_class = ["h1", "h2", "n"]
     classes = cut(
         sketched.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy(*by_class)
         .agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch")), "classes")
 
-    keyed = cut(posted(classes, frequent_values(classes)), "postings")
+    keyed = cut(posted(classes, frequent_values(classes)), "postings", scratch)
     postings = keyed.select("rep", "n", F.explode("keys").alias("key"))
     lengths = postings.groupBy("key").agg(F.count("*").alias("len")).where(F.col("len") > 1)
-    lists = cut(postings.join(lengths, "key"), "lists")
+    lists = cut(postings.join(lengths, "key"), "lists", scratch)
 
     short = lists.where(F.col("len") <= LIST)
     left, right = short.select("key", F.col("rep").alias("a"), F.col("n").alias("na")), short.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"))
@@ -431,33 +464,35 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         left.join(right, "key").where((F.col("a") < F.col("b")) & near_size)
         .groupBy("a", "b").agg(F.count("*").alias("overlap"), F.min(F.least("na", "nb")).alias("least"))
     )
-    # Of POSTED values each, two linked sets share fewer than 4 with a chance under 1e-7.
+    # A linked pair of sets this large that meets in short lists only does so in OVERLAP of them.
     longest = next(n for n in range(4, 10_000) if prefix(n, similarity) > POSTED)
-    pairs = cut(pairs.where((F.col("least") < longest) | (F.col("overlap") >= 4)).select("a", "b", "overlap"), "pairs")
+    pairs = cut(pairs.where((F.col("least") < longest) | (F.col("overlap") >= OVERLAP)).select("a", "b", "overlap"), "pairs", scratch)
     long = lists.where(F.col("len") > LIST).select("key", "rep", "n")
-    hubs = long.groupBy("key").agg(F.min_by("rep", "rep").alias("a"), F.min_by("n", "rep").alias("na"))
-    stars = long.join(hubs, "key").where((F.col("a") < F.col("rep")) & (100 * F.least("na", "n") >= similarity * F.greatest("na", "n")))
+    banded = long.withColumn("band", size_band("n", similarity))
+    hubs = banded.groupBy("key", "band").agg(F.min("rep").alias("a"), F.min_by("n", "rep").alias("na"))
+    stars = banded.join(hubs, ["key", "band"]).where((F.col("a") < F.col("rep")) & (100 * F.least("na", "n") >= similarity * F.greatest("na", "n")))
     stars = stars.groupBy(F.col("rep").alias("b")).agg(F.min("a").alias("a")).select("a", "b", F.lit(0).cast("bigint").alias("overlap"))
 
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("rep")).union(long.select("rep")).distinct()
-    sets = cut(full_sets(docs, cut(nodes, "nodes"), id_column, text_column, words), "sets")
+    sets = cut(full_sets(docs, cut(nodes, "nodes", scratch), id_column, text_column, words), "sets", scratch)
 
     none = spark.createDataFrame([], "rep bigint, comp bigint")
     best = pairs.groupBy("b").agg(F.max_by("a", "overlap").alias("a")).select("a", "b").union(stars.select("a", "b")).distinct()
-    links = cut(verified(best, sets, similarity), "links")
-    comps = components(links)
+    links = cut(verified(best, sets, similarity), "links", scratch)
+    comps = components(links, scratch)
     log("pairs", pairs, "long", long, "sets", sets, "first links", links)
-    rest = cut(estimated(across(pairs, comps), classes, ESTIMATE), "rest")
-    more = cut(verified(rest, sets, similarity), "links")
+    rest = cut(estimated(across(pairs, comps), classes, ESTIMATE), "rest", scratch)
+    more = cut(verified(rest, sets, similarity), "links", scratch)
     log("rest", rest, "links", more)
     if not more.isEmpty():
         links = links.union(more)
-        comps = components(links)
-    more = cut(long_links(long, classes, sets, comps, similarity, ESTIMATE), "links")
+        comps = components(links, scratch)
+    more = cut(long_links(long, classes, sets, comps, similarity, ESTIMATE, scratch), "links", scratch)
     log("long links", more)
     if not more.isEmpty():
-        comps = components(links.union(more))
-    comps = comps.unionByName(none)
+        comps = components(links.union(more), scratch)
+    comps = cut(comps.unionByName(none), "components")
+    discard(spark, scratch)
 
     of_class = classes.select(*by_class, "rep").join(comps, "rep", "left").select(*by_class, F.coalesce("comp", "rep").alias("component"))
     out = sketched.select("doc_id", *by_class).join(of_class, by_class, "left")

@@ -406,6 +406,55 @@ def test_link_by_long_lists_with_few_short_ones(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def components_of(texts):
+    """As ``brute_components``, by comparing all pairs; for few long texts."""
+    sets = {i: {" ".join(w[k : k + 4]) for w in [t.split()] for k in range(len(w) - 3)} for i, t in texts.items()}
+    comp = {i: i for i in sets}
+    links = [(i, j) for i in sets for j in sets if i < j and 100 * (c := len(sets[i] & sets[j])) >= 80 * (len(sets[i]) + len(sets[j]) - c)]
+    while any(comp[i] != comp[j] for i, j in links):
+        for i, j in links:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+    return {i: (len(sets[i]), c) for i, c in comp.items()}
+
+
+def test_pairs_in_a_corpus_of_boilerplate(spark):
+    """Everything shares 880 words; a pair 18 more, of 116 own ones.  Jaccard is
+    0.82 inside a pair and 0.79 between pairs."""
+    rng = random.Random(29)
+    words = lambda n: [f"{rng.randrange(1 << 48):x}" for _ in range(n)]
+    passage, texts = words(880), {}
+    for k in range(120):
+        shared = words(18)
+        for i in (2 * k, 2 * k + 1):
+            texts[i] = " ".join(passage + shared + words(98))
+    want = components_of(texts)
+    assert {c for _, c in want.values()} == set(range(0, 240, 2))
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_pairs_of_any_mix_of_rare_and_frequent_shingles(spark):
+    """Pairs just above the similarity, of 165 to 3,000 shingles, of which any share
+    stands in a passage that 70 others hold; one side may hold all of the other."""
+    rng = random.Random(31)
+    words = lambda n: [f"{rng.randrange(1 << 48):x}" for _ in range(n)]
+    passages = {n: words(n) for n in (60, 150, 400, 1200)}
+    texts = {k * 100 + i: " ".join(p + words(len(p))) for k, p in enumerate(passages.values()) for i in range(70)}
+    for n in range(100):
+        size, own = rng.choice([165, 180, 240, 400, 900, 3000]), rng.random()
+        passage = passages[rng.choice([p for p in passages if p < size])] if rng.random() < 0.9 else []
+        union = size + rng.randrange(6)
+        common = max(-(-union * (80 + rng.randrange(3)) // 100) + 6, len(passage) + 1)
+        rest = max(0, union - common)
+        first = rest if n % 4 == 0 else int(own * rest)
+        shared = passage + words(common - len(passage))
+        texts[10_000 + 2 * n], texts[10_001 + 2 * n] = " ".join(shared + words(first)), " ".join(shared + words(rest - first))
+    want = components_of(texts)
+    assert sum(want[10_001 + 2 * n][1] == 10_000 + 2 * n for n in range(100)) > 60
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_prefix_of_any_order_meets_every_link():
     rng = random.Random(5)
     for _ in range(3000):

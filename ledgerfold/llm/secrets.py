@@ -1,12 +1,22 @@
 """Operator 3: secret scan by a recursive decoding worklist.
 
-Every text is scanned for three kinds of secret.  Encoded runs inside it (URL
-escapes, Unicode escapes, base64, and base64 of gzip or zlib data) are decoded
-into layers, each layer is scanned in the same way and searched for further
-encoded runs, until no new layer appears.  A layer whose content was seen before
-at the same place is not expanded again, which ends cycles.  Bytes are read as
-UTF-8, else as Latin-1, and those with NULs also as UTF-16 and UTF-32, so that every
-layer is scanned; ``n_layers`` counts those of readable text.  A secret found in
+Every text is scanned for three kinds of secret.  Encoded runs inside it are
+decoded into layers, each layer is scanned in the same way and searched for further
+encoded runs, until no new layer appears:
+
+* URL escapes, character by character (bytes that are no UTF-8 as Latin-1);
+* Unicode escapes: ``\\uXXXX``, ``\\u{X}``, ``\\UXXXXXXXX``, ``\\xXX``, ``%uXXXX``,
+  ``&#xX;``, ``&#9;``;
+* base64 in both alphabets, also broken over lines, at all four alignments of a run
+  and in its parts of one alphabet, so that what stands before the encoded text
+  (``path/``, ``a-``) hides nothing;
+* gzip, zlib, bzip2 and xz data anywhere in a layer whose characters stand for
+  bytes, members in a row as one; of a broken stream what it gives up to the break;
+* NULs are taken out, and bytes with NULs are read as UTF-16 and UTF-32 too.
+
+A layer whose content was seen before at the same place is not expanded again,
+which ends cycles.  Bytes are read as UTF-8, else as Latin-1, so that every layer is
+scanned whole; ``n_layers`` counts those of printable text.  A secret found in
 a layer is reported at the span of the original text that the layer came from:
 character by character for escapes, the whole encoded run for base64.
 
@@ -14,16 +24,19 @@ Spans are code-point offsets of whole matches, end exclusive.
 
 Defined results: a null text is empty and has no spans; repeated rows give
 repeated results; an empty table gives no rows; further columns are ignored; a
-null ``doc_id`` stays null.  A compressed layer that unpacks to more than
-``max_layer_bytes`` is not expanded and counted in ``n_refused`` (a guard against
-decompression bombs: the document's own text is always scanned whole).
+null ``doc_id`` stays null; texts are scanned whole, however long; spans that start
+together stand by end, then kind, and equal spans of several layers count once.  A
+compressed layer that unpacks to more than ``max_layer_bytes`` (64 MiB; a larger
+number lifts it) is not expanded and counted in ``n_refused``: a guard against
+decompression bombs, as the document's own text is always scanned whole.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
+import bz2
 import hashlib
+import lzma
 import re
 import zlib
 from bisect import bisect_right
@@ -47,16 +60,27 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 # A run of 32 or more is the whole maximal run, so this finds the same spans faster.
 LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 
+URL_ONE = re.compile(r"%[0-9A-Fa-f]{2}")
 URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};)+")
-UNICODE_ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});")
-BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+UNICODE_ONE = re.compile(
+    r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|%u([0-9A-Fa-f]{4})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+UNICODE_RUN = re.compile("(?:" + re.sub(r"\((?!\?)", "(?:", UNICODE_ONE.pattern) + ")+")
+# A run may go on over line ends while whole lines are of the alphabet.
+BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+(?==|[ \t]*(?:\r?\n|\Z)))*={0,2}")
+LEAST_BASE64 = 16
+
+#: How compressed data begin, as Latin-1, with their decompressors.
+PACKED = re.compile("(\x1f\x8b\x08)|(x[\x01^\x9c\xda])|(BZh[1-9]1AY&SY)|(\xfd7zXZ\0)")
+UNPACKERS = (lambda: zlib.decompressobj(31), lambda: zlib.decompressobj(15), bz2.BZ2Decompressor, lzma.LZMADecompressor)
+PACKED_MARKS = ("\x1f\x8b\x08", "x\x01", "x^", "x\x9c", "x\xda", "BZh", "\xfd7zXZ")
+FED = 1 << 16
 
 #: What a text needs to hold for any of the exact patterns to matter; one pass of
 #: a linear-time matcher over the Arrow batch.
 ANY = (
     r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"""
-    r"""|%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]|[A-Za-z0-9+/_-]{16}"""
+    r"""|%[0-9A-Fa-f]{2}|%u[0-9A-Fa-f]{4}|\\[uU][0-9A-Fa-f{]|\\x[0-9A-Fa-f]{2}|&#[0-9xX]|[A-Za-z0-9+/_-]{16}"""
+    r"""|\x{00}|\x{1f}\x{8b}|x[\x{01}^\x{9c}\x{da}]|BZh|\x{fd}7zXZ"""
 )
 
 MAX_LAYER_BYTES = 64 << 20
@@ -80,39 +104,43 @@ class Refused(Exception):
     """A compressed layer is larger than allowed."""
 
 
-def _inflate(raw: bytes, limit: int) -> bytes | None:
-    if raw[:2] == b"\x1f\x8b":
-        wbits = 31
-    elif len(raw) > 2 and raw[0] == 0x78 and (raw[0] << 8 | raw[1]) % 31 == 0:
-        wbits = 15
-    else:
-        return None
-    unpack = zlib.decompressobj(wbits)
+def _inflate(kind: int, raw: memoryview, limit: int) -> tuple[bytes, int] | None:
+    """What the compressed data at the start of ``raw`` hold, members in a row as
+    one, and how many bytes they take; none if they are no such data at all."""
+    unpack, out, size, at, used = UNPACKERS[kind](), [], 0, 0, 0
     try:
-        out = unpack.decompress(raw, limit + 1)
-    except zlib.error:
-        return None
-    if len(out) > limit:
-        raise Refused
-    return out if unpack.eof else None
+        while at < len(raw):
+            fed = bytes(raw[at : at + FED])
+            at += len(fed)
+            new = unpack.decompress(fed, limit + 1 - size)
+            out.append(new)
+            size += len(new)
+            if size > limit:
+                raise Refused
+            if unpack.eof:
+                used = at = at - len(unpack.unused_data)
+                if not PACKED.match(bytes(raw[at : at + 16]).decode("latin-1")):
+                    break
+                unpack = UNPACKERS[kind]()
+            else:
+                used = at
+    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+        pass  # broken from here on
+    return (b"".join(out), used) if size else None
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\t\r\n" for c in text[:4096]) else None
+def printable(text: str) -> bool:
+    return text.translate({9: None, 10: None, 13: None}).isprintable()
 
 
 def _texts(raw: bytes) -> list[tuple[str, bool]]:
     """Every reading of the bytes that can hold a secret (all of ASCII), and whether
-    it is a readable text."""
-    text = _readable(raw)
-    if text is not None:
-        return [(text, True)]
+    it is a printable text."""
     try:
-        out = [(raw.decode("utf-8"), False)]
+        text = raw.decode("utf-8")
+        out = [(text, printable(text))]
+        if len(text) < len(raw) and PACKED.search(as_bytes := raw.decode("latin-1")):
+            out.append((as_bytes, False))
     except UnicodeDecodeError:
         out = [(raw.decode("latin-1"), False)]
     if b"\0" in raw:
@@ -121,20 +149,26 @@ def _texts(raw: bytes) -> list[tuple[str, bool]]:
     return out
 
 
-def _base64(run: str, limit: int) -> list[tuple[str, bool]]:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return []
-    try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        for _ in range(8):  # stacked compression formats, innermost last
-            inner = _inflate(raw, limit)
-            if inner is None:
-                break
-            raw = inner
-    except (binascii.Error, ValueError):
-        return []
-    return _texts(raw)
+_STANDARD = str.maketrans("-_", "+/", "= \t\r\n")
+
+
+def _base64(run: str) -> bytes:
+    """The bytes of a run; a last character that belongs to no byte is left out."""
+    body = run.translate(_STANDARD)
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def base64_spans(text: str) -> list[tuple[int, int]]:
+    """The spans to decode: every run at its four alignments, and its parts of one
+    alphabet."""
+    out = []
+    for m in BASE64_RUN.finditer(text):
+        a, b = m.span()
+        out += [(a + k, b) for k in range(4) if b - a - k >= LEAST_BASE64]
+        parts = [part for cut in ("[+/]", "[-_]") for part in re.finditer(rf"(?:(?!{cut})[^=])+={{0,2}}", m[0])]
+        out += [(a + x.start(), a + x.end()) for x in parts if LEAST_BASE64 <= x.end() - x.start() < b - a]
+    return list(dict.fromkeys(out))
 
 
 class Layer:
@@ -196,14 +230,17 @@ def _url(run: str) -> tuple[list[tuple[int, int, str]], bool]:
         size = len(c.encode("utf-8", "surrogateescape"))
         edits.append((3 * at, 3 * (at + size), chr(ord(c) - 0xDC00) if 0xDC80 <= ord(c) < 0xDD00 else c))
         at += size
-    return edits, _readable(raw) is not None
+    try:
+        return edits, printable(raw.decode("utf-8"))
+    except UnicodeDecodeError:
+        return edits, False
 
 
 def _escapes(run: str) -> list[tuple[int, int, str]]:
     """One edit for each character, so that every one keeps its own span."""
     edits, high = [], None
     for m in UNICODE_ONE.finditer(run):
-        code = int(m[1] or m[2] or m[3], 16)
+        code = int(m[7]) if m[7] else int(next(x for x in m.groups() if x), 16)
         if high and 0xDC00 <= code < 0xE000:
             edits[-1] = (high[0], m.end(), chr(0x10000 + ((high[1] - 0xD800) << 10) + code - 0xDC00))
             high = None
@@ -218,27 +255,46 @@ def expand(layer: Layer, limit: int) -> tuple[list[Layer], int]:
     """The layers that one decoding step makes, and how many were refused."""
     made, refused, text = [], 0, layer.text
     if "%" in text:
-        edits, readable = [], False
+        edits, readable, wide = [], False, False
         for m in URL_RUN.finditer(text):
             new, plain = _url(m[0])
             edits += [(m.start() + a, m.start() + b, c) for a, b, c in new]
             readable |= plain
+            wide |= any(b - a > 3 for a, b, _ in new)
         if edits:
             made.append(_rewritten(layer, edits))
             made[-1].readable = readable
-    if "\\" in text or "&#x" in text:
+            # The same with one character a byte, and with + for a blank, for compressed data.
+            each = [(m.start(), m.end(), chr(int(m[0][1:], 16))) for m in URL_ONE.finditer(text)]
+            blanks = [(m.start(), m.end(), " ") for m in re.finditer(r"\+", text)]
+            for other in ([each] if wide else []) + ([sorted(each + blanks)] if blanks else []):
+                variant = _rewritten(layer, other)
+                if PACKED.search(variant.text):
+                    variant.readable = False
+                    made.append(variant)
+    if "\\" in text or "&#" in text or "%u" in text:
         edits = []
         for m in UNICODE_RUN.finditer(text):
             edits += [(m.start() + a, m.start() + b, c) for a, b, c in _escapes(m[0])]
         if edits:
             made.append(_rewritten(layer, edits))
-    for m in BASE64_RUN.finditer(text):
-        try:
-            new = _base64(m[0], limit)
-        except Refused:
-            refused += 1
-            continue
-        made += [Layer(t, [0], [(*layer.origin(m.start(), m.end()), 0)], plain) for t, plain in new if t]
+    if "\0" in text:
+        made.append(_rewritten(layer, [(m.start(), m.end(), "") for m in re.finditer("\0+", text)]))
+        made[-1].readable = False
+    for a, b in base64_spans(text):
+        place = (*layer.origin(a, b), 0)
+        made += [Layer(t, [0], [place], plain) for t, plain in _texts(_base64(text[a:b])) if t]
+    if any(mark in text for mark in PACKED_MARKS):
+        raw = memoryview(text.encode("latin-1", "replace"))  # a place for each character
+        for m in PACKED.finditer(text):
+            try:
+                got = _inflate(m.lastindex - 1, raw[m.start() :], limit)
+            except Refused:
+                refused += 1
+                continue
+            if got:
+                place = (*layer.origin(m.start(), m.start() + got[1]), 0)
+                made += [Layer(t, [0], [place], plain) for t, plain in _texts(got[0]) if t]
     return made, refused
 
 

@@ -1,13 +1,16 @@
 """Operators against brute force on small fixtures and the smallest tables."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import json
+import lzma
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from urllib.parse import quote_from_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -139,6 +142,59 @@ def test_layers_with_unprintable_characters_are_scanned(mark):
     assert secrets.find(base64.b64encode(bytes(range(128, 160))).decode())["layers"] == 0
 
 
+def escaped(form):
+    return lambda raw: "".join(form.format(b, ord_=b) for b in raw).encode()
+
+
+def mime(raw):
+    return base64.encodebytes(raw).strip()
+
+
+#: Each makes printable ASCII of any bytes.
+TEXTUAL = {
+    "url": lambda raw: "".join(f"%{b:02X}" for b in raw).encode(), "quoted": lambda raw: quote_from_bytes(raw).encode(), "b64": base64.b64encode,
+    "urlsafe": base64.urlsafe_b64encode, "mime": mime, "hex-escape": escaped("\\x{:02x}"), "unicode": escaped("\\u{:04x}"),
+    "braces": escaped("\\u{{{:x}}}"), "long": escaped("\\U{:08x}"), "entity": escaped("&#x{:x};"), "decimal": escaped("&#{:d};"), "percent-u": escaped("%u{:04x}")}
+PACKING = {"gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "xz": lzma.compress}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.sampled_from(sorted(PACKING)), max_size=10), st.sampled_from(sorted(TEXTUAL))), min_size=1, max_size=4), st.integers(0, 3))
+def test_any_nesting_is_unwrapped(layers, tail):
+    """Any number of compressions inside any number of textual forms; the secret is
+    all that is encoded, so its span is the whole encoded run."""
+    data = b"password=abcdefgh1234" + b"zyx"[:tail]
+    for packing, form in layers:
+        for name in packing:
+            data = PACKING[name](data)
+        data = TEXTUAL[form](data)
+        if len(data) > 200_000:
+            return
+    text = f"é {data.decode()}\n\ny"
+    assert (2, 0, 2 + len(data)) in secrets.find(text)["spans"]
+
+
+@pytest.mark.parametrize("before", ["path/", "a-", "x_", "a/b/c-d/", "id=", "%00", "%ff", "\x00" * 5000, "key."])
+def test_what_stands_before_hides_nothing(before):
+    secret = b"my password=abcdefgh1234 is it"
+    b64, url = base64.b64encode(secret).decode(), "".join(f"%{b:02x}" for b in secret)
+    for run in (b64, url, base64.b64encode(gzip.compress(secret)).decode(), "".join(f"%{b:02x}" for b in gzip.compress(secret))):
+        text = f"see {before}{run} there"
+        spans = [x for x in secrets.find(text)["spans"] if x[1] == 0]
+        assert any(a < 4 + len(before) + len(run) and 4 <= b for a, _, b in spans), (before, run[:8])
+
+
+def test_members_and_broken_streams():
+    secret = b"token: abcdefgh1234 "
+    halves = gzip.compress(secret[:12]) + gzip.compress(secret[12:])
+    cut = gzip.compress(secret + bytes(random.Random(1).randbytes(5000)))[:3000]
+    for raw in (halves, cut, b"junk" + zlib.compress(secret) + b"junk"):
+        run = base64.b64encode(raw).decode()
+        assert (1, 0, 1 + len(run)) in secrets.find(f" {run} ")["spans"]
+    bomb = base64.b64encode(gzip.compress(b"\0" * 5000)).decode()
+    assert secrets.find(bomb, max_layer_bytes=4000)["refused"] == 1 and secrets.find(bomb)["refused"] == 0
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="%41\\u0x{}=aAZ+/ tokenTOKEN:;&#"))
 def test_scan_ends_and_keeps_base(text):

@@ -2,20 +2,25 @@
 
 A text's words are the runs outside ASCII punctuation, blanks and controls, with
 A-Z lower-cased.  The windows of all benchmark items (``window`` consecutive
-words; an item with fewer is one window) form one automaton over the normalised
-text ``" w1 w2 ... wn "``; each document is normalised and scanned once.  A word
-inside any occurrence of a window is hit; hits map back to code-point offsets of
-the original text, as lower-casing ASCII letters keeps every offset.
-
-The benchmark side is read in chunks of at most ``chunk_chars`` characters of
-items, so the automaton's size is bounded whatever the benchmark's size: each
-chunk is one more pass over the (already narrow) intermediate.
+words; an item with fewer is one window) form one automaton over numbers of words;
+each document's words are numbered, those that no item has as 0, and its stretches
+without 0 are scanned once.  A word inside any occurrence of a window is hit; hits
+map back to code-point offsets of the original text, as lower-casing ASCII letters
+keeps every offset.
+
+The benchmark is read in chunks of at most ``chunk_chars`` characters, a word
+counting as ``WORD_CHARS`` at least, and longer items in overlapping pieces with the
+same windows.  So an automaton has at most ``chunk_chars / WORD_CHARS * window``
+nodes of some 45 bytes: 225 MB at the defaults, whatever the benchmark's size.
+Each further chunk is one more pass, one after the other, over a written table.
 
 Defined results: a null or empty text has no words, no hits and is clean; an item
 without words has no window; repeated items count by their ids once; repeated
 documents give repeated rows; an empty benchmark makes everything clean; an empty
 document table gives no rows; further columns are ignored.  Item ids may be of
 any type, are compared as strings; a null item id is read as the string ``null``.
+Texts are scanned whole, however long.  A window of several items belongs to all
+of them.
 """
 
 from __future__ import annotations
@@ -23,15 +28,17 @@ from __future__ import annotations
 import re
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm.common import cache, python_ready, table, text_of, worker_task
+from ledgerfold.llm.common import cache, cut, discard, python_ready, table, text_of, worker_task
 
 WINDOW = 10
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 4_000_000
+WORD_CHARS = 8
 #: The word pattern, and what lies between words.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -48,7 +55,7 @@ def lowered(text: str) -> str:
     return text.translate(_LOWER)
 
 
-def windows_of(words: list[str], window: int = WINDOW) -> list[tuple[str, ...]]:
+def windows_of(words, window: int = WINDOW) -> list[tuple]:
     if not words:
         return []
     if len(words) <= window:
@@ -56,45 +63,67 @@ def windows_of(words: list[str], window: int = WINDOW) -> list[tuple[str, ...]]:
     return [tuple(words[i : i + window]) for i in range(len(words) - window + 1)]
 
 
-def automaton_of(items: list[tuple[str, str]], window: int):
-    """The automaton over all windows; a pattern's value is (its number of words,
-    its items)."""
-    import ahocorasick
-
-    owners: dict[str, tuple[int, set[str]]] = {}
-    for item, text in items:
-        for w in windows_of(words_of(text), window):
-            owners.setdefault(f" {' '.join(w)} ", (len(w), set()))[1].add(item)
-    machine = ahocorasick.Automaton()
-    for pattern, (n, who) in owners.items():
-        machine.add_word(pattern, (n, tuple(sorted(who))))
-    machine.make_automaton()
-    return machine if owners else None
-
-
-def _cached(key: str, items, window: int):
+class Windows:
+    """The automaton over all windows of the items.
+
+    ``vocabulary`` holds the items' words, numbered from 1 in their order; a
+    pattern's value is (its number of words, its items)."""
+
+    def __init__(self, items: list[tuple[str, str]], window: int):
+        import ahocorasick
+
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        numbers: dict[str, int] = {}
+        self.shortest = window
+        alone: dict[tuple, tuple] = {}  # one object for the windows of one item only
+        for item, text in items:
+            words = tuple(numbers.setdefault(w, len(numbers) + 1) for w in text.split(" "))
+            for w in windows_of(words, window):
+                old = self.machine.get(w, None)
+                own = alone.setdefault((len(w), item), (len(w), (item,)))
+                if old is None:
+                    self.machine.add_word(w, own)
+                    self.shortest = min(self.shortest, len(w))
+                elif item not in old[1]:
+                    self.machine.add_word(w, (old[0], tuple(sorted((*old[1], item)))))
+        self.vocabulary = pa.array(list(numbers), pa.string())
+        if numbers:
+            self.machine.make_automaton()
+
+    def nodes(self) -> int:
+        return self.machine.get_stats()["nodes_count"]
+
+    def numbered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words of a batch, and where each text's begin."""
+        lists = pc.ascii_split_whitespace(pc.utf8_trim(normalised(texts), " "))
+        flat, ends = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+        blank = pc.equal(flat, "").to_numpy(zero_copy_only=False)  # of a text without words
+        if blank.any():
+            flat = flat.filter(pa.array(~blank))
+            ends = ends - np.concatenate([[0], np.cumsum(blank)])[ends - ends[0]]
+        coded = flat.dictionary_encode()
+        known = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        return (known[coded.indices.to_numpy(zero_copy_only=False)] if len(known) else np.zeros(len(flat), np.int64)), ends - ends[0]
+
+    def found(self, numbers: np.ndarray):
+        """(first word, past the last, items) of every occurrence in a text."""
+        if not len(self.vocabulary):
+            return
+        bounds = np.flatnonzero(np.diff(np.concatenate([[0], numbers > 0, [0]])))
+        for a, b in bounds.reshape(-1, 2):
+            if b - a >= self.shortest:
+                for last, (n, who) in self.machine.iter(tuple(numbers[a:b].tolist())):
+                    yield int(a) + last + 1 - n, int(a) + last + 1, who
+
+
+def _cached(key: str, items, window: int) -> Windows:
     machines = cache("automata")
     if key not in machines:
         machines.clear()
-        machines[key] = automaton_of(items, window)
+        machines[key] = Windows(items, window)
     return machines[key]
 
 
-def matched(machine, normal: str) -> tuple[list[tuple[int, int]], set[str]]:
-    """Word intervals [first, last) that windows cover, and the items, of a
-    normalised text."""
-    hits, items, counted, upto = [], set(), 0, 0
-    for end, (n, who) in machine.iter(normal):
-        # The words before the pattern's closing blank; counted on from the last
-        # match, so that the text is walked once.
-        counted += normal.count(" ", upto, end)
-        upto = end
-        last = counted  # the opening blank of the text counts for one word less
-        hits.append((last - n, last))
-        items.update(who)
-    return hits, items
-
-
 def covered(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(intervals):
@@ -117,21 +146,28 @@ def normalised(texts: pa.Array) -> pa.Array:
     return pc.binary_join_element_wise("", pc.utf8_trim(normal, " "), "", " ")
 
 
-def benchmark_chunks(benchmark: DataFrame, item_column: str, text_column: str, chunk_chars: int):
-    """Lists of (item, text), one chunk on the driver at a time."""
+def benchmark_chunks(benchmark: DataFrame, item_column: str, text_column: str, chunk_chars: int, window: int):
+    """Lists of (item, normalised words), one chunk on the driver at a time."""
     items = benchmark.select(
-        F.coalesce(F.col(item_column).cast("string"), F.lit("null")).alias("item"), text_of(text_column).alias("text")
-    )
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    chunks = max(1, -(-total // chunk_chars))
-    if chunks == 1:
-        yield [(r.item, r.text) for r in items.toLocalIterator()]
-        return
-    # Hash parts of about half a chunk each; a single larger item is one chunk.
-    parts = 2 * chunks
-    for p in range(parts):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == p)
-        yield [(r.item, r.text) for r in part.toLocalIterator()]
+        F.coalesce(F.col(item_column).cast("string"), F.lit("null")).alias("item"), text_of(text_column).alias("text"))
+    chunk, size = [], 0
+    for r in items.toLocalIterator():
+        words = words_of(r.text)
+        while words:
+            piece, taken = [], 0
+            for w in words:
+                if taken >= chunk_chars and len(piece) >= window:
+                    break
+                piece.append(w)
+                taken += max(len(w) + 1, WORD_CHARS)
+            if chunk and size + taken > chunk_chars:
+                yield chunk
+                chunk, size = [], 0
+            chunk.append((r.item, " ".join(piece)))
+            size += taken
+            # The next piece begins with the first window that this one does not hold.
+            words = words[len(piece) - window + 1 :] if len(piece) < len(words) else []
+    yield chunk
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -158,12 +194,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
             machine = _cached(key, shared.value, window)
             for batch in batches:
                 texts = batch.column("text")
-                normal = normalised(texts)
-                n_words = pc.subtract(pc.count_substring(normal, " "), 1).to_numpy(zero_copy_only=False).astype("int64")
-                n_words[pc.equal(normal, "  ").to_numpy(zero_copy_only=False)] = 0
+                numbers, ends = machine.numbered(texts)
                 hits, spans, who = [], [], []
-                for i, (text, old, had) in enumerate(zip(normal, batch.column("hits"), batch.column("items"), strict=True)):
-                    found, items_hit = matched(machine, text.as_py()) if machine is not None else ([], set())
+                for i, (old, had) in enumerate(zip(batch.column("hits"), batch.column("items"), strict=True)):
+                    found, items_hit = [], set()
+                    for a, b, which in machine.found(numbers[ends[i] : ends[i + 1]]):
+                        found.append((a, b))
+                        items_hit.update(which)
                     if had.is_valid:
                         found += [(x["start"], x["end"]) for x in old.as_py()]
                         items_hit |= set(had.as_py())
@@ -173,16 +210,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
                     spans.append([{"start": a, "end": b} for a, b in at])
                     who.append(sorted(items_hit))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("id"), texts if not last else pa.nulls(len(texts), pa.string()), pa.array(n_words),
+                    batch.column("id"), texts if not last else pa.nulls(len(texts), pa.string()), pa.array(np.diff(ends)),
                     pa.array(hits, pair), pa.array(spans, pair), pa.array(who, pa.list_(pa.string())),
                 ], names=names)
 
         return run
 
-    chunks = benchmark_chunks(benchmark, item_column, item_text, chunk_chars)
+    chunks, scratch = benchmark_chunks(benchmark, item_column, item_text, chunk_chars, window), []
     held = next(chunks)
     for following in chunks:
-        out = out.mapInArrow(worker_task(scanner(held, False), "automata"), schema)
+        done = list(scratch)
+        out = cut(out.mapInArrow(worker_task(scanner(held, False), "automata"), schema), "scanned", scratch)
+        scratch = scratch[len(done) :]
+        discard(spark, done)
         held = following
     out = out.mapInArrow(worker_task(scanner(held, True), "automata"), schema)
     return out.select(F.col("id").alias(id_column), "n_words", "hits", "spans", "items")
@@ -202,15 +242,21 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_column: str = "t
         def run(batches):
             machine = _cached(key, shared.value, window)
             for batch in batches:
-                normal = normalised(pc.fill_null(batch.column(at), ""))
-                clean = [machine is None or next(machine.iter(t.as_py()), None) is None for t in normal]
+                numbers, ends = machine.numbered(pc.fill_null(batch.column(at), ""))
+                clean = [next(machine.found(numbers[a:b]), None) is None for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         return run
 
-    for items in benchmark_chunks(benchmark, item_column, item_text, chunk_chars):
-        docs = docs.mapInArrow(worker_task(filter_of(items), "automata"), docs.schema)
-    return docs
+    chunks, scratch = benchmark_chunks(benchmark, item_column, item_text, chunk_chars, window), []
+    held = next(chunks)
+    for following in chunks:
+        done = list(scratch)
+        docs = cut(docs.mapInArrow(worker_task(filter_of(held), "automata"), docs.schema), "clean", scratch)
+        scratch = scratch[len(done) :]
+        discard(spark, done)
+        held = following
+    return docs.mapInArrow(worker_task(filter_of(held), "automata"), docs.schema)
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

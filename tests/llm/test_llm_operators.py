@@ -244,6 +244,23 @@ def test_decontamination_spans_and_chunks(spark, sf_dir, documents):
             assert decontaminate.words_of(text[s.start : s.end]) == words[h.start : h.end]
 
 
+def test_long_items_and_large_benchmarks_stay_bounded(spark):
+    """Pieces of a long item have its windows, no more; a chunk's automaton has as
+    many nodes as its parameter allows."""
+    rng = random.Random(5)
+    words = [rng.choice("abcdefghij") + str(rng.randrange(40)) for _ in range(3000)]
+    benchmark = spark.createDataFrame([(1, " ".join(words)), (2, "a few"), (3, " ".join(words[100:130]))], "item_id bigint, text string")
+    chunks = list(decontaminate.benchmark_chunks(benchmark, "item_id", "text", 800, 10))
+    got = {w for c in chunks for i, t in c if i == "1" for w in decontaminate.windows_of(t.split(" "))}
+    assert got == set(decontaminate.windows_of(words)) and len(chunks) > 30
+    assert all(decontaminate.Windows(c, 10).nodes() <= (800 // decontaminate.WORD_CHARS + 1) * 10 + 1 for c in chunks)
+    docs = spark.createDataFrame([(7, " - ".join(words[90:140]) + " ... A FEW"), (8, "a, but few")], "doc_id bigint, text string")
+    for size in (800, decontaminate.CHUNK_CHARS):
+        got = {r.doc_id: r for r in decontaminate.decontaminate(docs, benchmark, chunk_chars=size).collect()}
+        assert got[7]["items"] == ["1", "2", "3"] and [(h.start, h.end) for h in got[7].hits] == [(0, 52)] and got[8].hits == [] and got[8].n_words == 3
+        assert [r.doc_id for r in decontaminate.clean_documents(docs, benchmark, chunk_chars=size).collect()] == [8]
+
+
 # --- 6 ---------------------------------------------------------------------------
 
 

@@ -6,10 +6,12 @@ import gzip
 import hashlib
 import json
 import lzma
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 from urllib.parse import quote_from_bytes
 
 import numpy as np
@@ -264,42 +266,81 @@ def test_long_items_and_large_benchmarks_stay_bounded(spark):
 # --- 6 ---------------------------------------------------------------------------
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.text("abcdef", min_size=1, max_size=2), st.floats(0.01, 100), min_size=1, max_size=12))
-def test_pfair_deviation_is_below_one_block(targets):
+def earliest_deadlines(weights, blocks):
+    """Every step looks at all streams anew: (stream, clock at the block's start)."""
+    parts, clock = sum(weights.values()), 0
+    done, at = Counter(), Counter()
+    while any(done[k] < len(blocks[k]) for k in weights):
+        due = {k: (math.floor(Fraction(at[k] * parts, a)), math.ceil(Fraction((at[k] + blocks[k][done[k]]) * parts, a)))
+               for k, a in weights.items() if done[k] < len(blocks[k])}
+        released = [(d, k) for k, (r, d) in due.items() if r <= clock]
+        if not released:
+            clock = min(r for r, _ in due.values())
+            continue
+        k = min(released)[1]
+        yield k, clock
+        n = blocks[k][done[k]]
+        done[k], at[k], clock = done[k] + 1, at[k] + n, clock + n
+
+
+def deviation(order, weights):
+    """Most by which a source is before or behind its share of what was emitted, at
+    the end of any block; ``order``: (source, size)."""
+    parts, seen, all_, worst = sum(weights.values()), Counter(), 0, 0
+    for k, n in order:
+        seen[k] += n
+        all_ += n
+        worst = max(worst, max(abs(seen[x] - a / parts * all_) for x, a in weights.items()))
+    return worst
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.dictionaries(st.text("abcdef", min_size=1, max_size=2), st.floats(0.01, 100), min_size=1, max_size=12), st.randoms(use_true_random=False))
+def test_deviation_is_below_one_block(targets, rng):
     weights = mixing.whole_weights(targets, 128)
     assert sum(weights.values()) == 128 and min(weights.values()) >= 1
-    seen = Counter()
-    for t, k in enumerate(mixing.schedule(weights) * 2, 1):
-        seen[k] += 1
-        assert all(abs(seen[x] - a * t / 128) < 1 for x, a in weights.items())
-    assert seen == Counter({k: 2 * a for k, a in weights.items()})
+    most = rng.choice([1, 3, 50])
+    blocks = {k: [rng.randint(1, most) for _ in range(rng.randint(0, 3 * a))] for k, a in weights.items()}
+    got = mixing.schedule(weights, blocks)
+    assert [(k, t) for k, _, t in got] == list(earliest_deadlines(weights, blocks))
+    assert sorted((k, i) for k, i, _ in got) == sorted((k, i) for k, v in blocks.items() for i in range(len(v)))
+    whole = {k: [rng.randint(1, most) for _ in range(2000)] for k in weights}
+    order = [(k, whole[k][i]) for k, i, _ in mixing.schedule(weights, whole, 600)]
+    assert deviation(order, weights) < max(n for v in whole.values() for n in v)
 
 
 def test_mix_positions(spark, sf_dir):
-    rows = mixing.op6_source_mixing(spark, sf_dir).collect()
+    """The emitted documents against blocks and a schedule made from the texts."""
+    rows = {r.doc_id: r for r in mixing.op6_source_mixing(spark, sf_dir).collect()}
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text").collect()
-    by = defaultdict(list)
+    by, size = defaultdict(list), {}
     for r in docs:
-        by[r.source].append((hashlib.md5(str(r.doc_id).encode()).hexdigest(), r.doc_id, max(1, len(r.text))))
-    total = {k: sum(x[2] for x in v) for k, v in by.items()}
-    block = -(-sum(total.values()) // (mixing.SLOTS * mixing.PERIODS))
-    weights = mixing.whole_weights({k: v**mixing.ALPHA for k, v in total.items()}, mixing.SLOTS)
-    order = mixing.schedule(weights)
-    places = {k: [t for t, x in enumerate(order) if x == k] for k in weights}
-    end = mixing.horizon(weights, places, {k: -(-v // block) for k, v in total.items()})
-    want = {}
+        size[r.doc_id] = max(1, len(r.text))
+        by[r.source].append((hashlib.md5(str(r.doc_id).encode()).hexdigest(), r.doc_id))
+    total = {k: sum(size[i] for _, i in v) for k, v in by.items()}
+    block, place, blocks = -(-sum(total.values()) // 65_536), {}, defaultdict(dict)
     for k, v in by.items():
         at = 0
-        for _, i, n in sorted(v):
-            b = at // block
-            slot = b // weights[k] * mixing.SLOTS + places[k][b % weights[k]]
-            want[i] = (b, slot, slot < end)
-            at += n
-    assert {r.doc_id: (r.block, r.slot, r.kept) for r in rows} == want
-    # Up to the end every source has its blocks, in proportion.
-    seen = Counter(order[t % mixing.SLOTS] for t in range(end))
-    assert all(seen[k] <= -(-total[k] // block) and abs(seen[k] - weights[k] * end / mixing.SLOTS) < 1 for k in weights)
+        for _, i in sorted(v):
+            place[i] = (k, at // block)
+            blocks[k][at // block] = blocks[k].get(at // block, 0) + size[i]
+            at += size[i]
+    assert {i: (r.source, r.block) for i, r in rows.items()} == place
+    weights = mixing.whole_weights({k: v**0.75 for k, v in total.items()}, 1 << 20)
+    names = {k: sorted(v) for k, v in blocks.items()}
+    order = list(earliest_deadlines(weights, {k: [v[b] for b in names[k]] for k, v in blocks.items()}))
+    turn, want = Counter(), []
+    for k, _ in order:
+        want.append((k, names[k][turn[k]]))
+        turn[k] += 1
+    kept = sorted({(r.slot, r.source, r.block) for r in rows.values() if r.kept})
+    assert [x[0] for x in kept] == list(range(len(kept))) and [x[1:] for x in kept] == want[: len(kept)]
+    # What is emitted, document by document in the mix's order, holds the weights.
+    emitted = [(k, blocks[k][b]) for _, k, b in kept]
+    largest, real = max(n for v in blocks.values() for n in v.values()), {k: v**0.75 for k, v in total.items()}
+    gone = [k for k in total if sum(n for x, n in emitted if x == k) == total[k]]
+    upto = min([i for i, _ in enumerate(emitted) if any(sum(n for x, n in emitted[: i + 1] if x == k) == total[k] for k in gone)], default=len(emitted) - 1)
+    assert len(kept) > 50 and deviation(emitted[: upto + 1], real) < largest and largest < max(size.values()) + block
 
 
 def test_small_sources_do_not_end_the_mix(spark):
@@ -312,8 +353,20 @@ def test_small_sources_do_not_end_the_mix(spark):
     assert mixing.mixed_documents(docs).count() == sum(kept.values())
     # A source with a share of its own still ends it.
     weights = mixing.whole_weights({"a": 0.5, "b": 0.5}, 8)
-    places = {k: [t for t, x in enumerate(mixing.schedule(weights)) if x == k] for k in weights}
-    assert mixing.horizon(weights, places, {"a": 4, "b": 40}) == 8 + places["a"][0]
+    end = mixing.horizon(weights, {"a": 40, "b": 400}, weights)
+    assert end == 80 and [k for k, _, _ in mixing.schedule(weights, {"a": [10] * 4, "b": [10] * 40}, end)] == ["a", "b"] * 4
+
+
+def test_sources_beyond_the_limit_are_refused(spark):
+    docs = spark.createDataFrame([(i, "x", f"s{i}", "clash") for i in range(12)], "doc_id bigint, text string, source string, lf_key string")
+    assert mixing.mixed_documents(docs).columns == docs.columns and mixing.mix(docs).where("kept").count() == 12
+    with pytest.raises(ValueError):
+        mixing.mix(docs, max_streams=5)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, weights={f"s{i}": 1.0 for i in range(12)}, max_streams=5)
+    some = mixing.mixed_documents(docs, weights={"s3": 1.0, "s4": 1.0, mixing.REST: 2.0}, max_streams=5)
+    assert {r.source for r in some.collect()} >= {"s3", "s4"}
+    assert {r.source for r in mixing.mixed_documents(docs, weights={"s3": 1.0, "absent": 3.0}).collect()} == {"s3"}
 
 
 # --- 7 ---------------------------------------------------------------------------

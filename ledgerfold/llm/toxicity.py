@@ -1,14 +1,20 @@
 """Operator 7: toxicity by weak supervision.
 
-1. *Voters.*  Lexicon voters (a seed list of insults, and words and word stems
-   mined from labelled training rows) and pattern voters (shouting, capitals,
-   repeated marks) fire or stay silent on a text; the annotators' label is one
-   more voter.
-2. *Label model.*  A generative two-class model of the voters' firing: expectation
-   maximisation estimates the class prior and each voter's firing rates; residual
-   correlations given the class are estimated from the posterior, and a voter's
-   weight is divided by the total correlation around it, so that copies of one
-   piece of evidence count once.
+1. *Voters.*  Every voter votes toxic, votes clean or abstains on a text: words of a
+   seed lexicon of insults and words or word stems chosen by their evidence in
+   labelled training rows (those of the toxic class vote toxic where they occur,
+   those of the clean class clean; of nested strings only the one with most evidence
+   is a voter), patterns (shouting, capitals, repeated marks), and silence, which
+   votes clean where no other voter votes toxic.
+2. *Label model.*  A generative model of the votes: a hidden class, and given the
+   class a forest in which every vote depends on one other voter's vote at most; to
+   abstain tells nothing.  Expectation maximisation estimates the votes'
+   probabilities given the class (the voters' accuracies) and given the other vote
+   (their correlations); the forest is the maximum spanning one by conditional
+   mutual information, and leaves out what is not significant.  A copy of a voter is
+   certain given the voter, so that copies of one piece of evidence count once.
+   The model never sees the label of a row: labels choose voters, and their counts
+   over all labelled rows give the class's share and prior rates of the votes.
 3. *Classifier.*  A logistic regression on the presence of words, stems and
    patterns is trained on the posterior labels.  It alone scores texts.
 
@@ -20,7 +26,8 @@ hash sample of about that many); the features by ``max_features``.  Every text i
 scored whole.
 
 Defined results: a null text is empty; a text without features has the
-intercept's score; repeated rows score alike; a null label is no label; without
+intercept's score; a text is scored whole, however long; repeated rows score alike
+(ties stay ties); a null label is no label; without
 both classes among the labelled rows the seed lexicon alone scores; a null
 ``doc_id`` counts as the empty text for the fold; an empty table gives no rows;
 further columns are ignored.
@@ -45,9 +52,21 @@ MIN_SUPPORT = 4
 #: Least likelihood-ratio statistic of a mined feature (chi-squared, one degree of
 #: freedom; so high because tens of thousands of words are tried).
 MIN_EVIDENCE = 24.0
-#: Firing rates of the annotators given the class; not re-estimated, so that the
-#: classes of the model keep the meaning of the labels.
-ANNOTATOR = (0.03, 0.97)
+#: Least share of the labelled rows with a feature that are toxic, for a voter.
+RIGHT = 0.75
+#: What a row with a voter counts in the choice of the next.
+COVERED = 0.85
+#: What prior rates from the labelled rows count, as a share of the rows.
+KNOWN = 0.25
+#: Votes, as columns of the model's tables.
+ABSTAINS, TOXIC, CLEAN = 0, 1, 2
+#: Least likelihood-ratio statistic of a dependence between two voters.
+MIN_DEPENDENCE = 30.0
+#: What a vote counts at the start where nothing is known of the voters.
+START = 3.0
+#: Rows that a dependence between two votes counts as if it were the same in both
+#: classes.
+SAME = 4.0
 FOLDS = 5
 
 #: Seed lexicon of common insults, by language.
@@ -143,50 +162,178 @@ def hits(texts: pa.Array, features: dict[str, pa.Array]) -> tuple[np.ndarray, np
 
 @dataclass
 class LabelModel:
-    """Two classes; voters fire with rates ``rate[class]``, given the class
-    independent but for the correlations that ``weight`` discounts."""
-
-    prior: float = 0.1
-    anchor: int | None = None  # the voter whose rates are fixed
-    rate: np.ndarray = field(default_factory=lambda: np.zeros((2, 0)))
-    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
-
-    def fit(self, fired: np.ndarray, start: np.ndarray, rounds: int = 15) -> np.ndarray:
-        """``fired``: rows by voters, 0 or 1.  ``start``: first guess of the
-        posterior.  Returns the posterior."""
-        q = np.clip(start.astype(float), 0.02, 0.98)
-        self.weight = np.ones(fired.shape[1])
+    """Two classes (0 clean, 1 toxic) with a share of ``prior``; given the class, the
+    vote of voter j depends on that of ``parent[j]`` (-1: on none).
+
+    ``table[j, class, parent's vote, vote]`` are probabilities; a voter without a
+    parent has the same row for every vote of it."""
+
+    prior: float
+    parent: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    table: np.ndarray = field(default_factory=lambda: np.zeros((0, 2, 3, 3)))
+    rate: np.ndarray = field(default_factory=lambda: np.zeros((0, 2, 3)))
+    known: np.ndarray | None = None
+
+    def fit(self, votes: np.ndarray, known: np.ndarray | None = None, rounds: int = 24) -> np.ndarray:
+        """``votes``: rows by voters, of ABSTAINS, TOXIC and CLEAN.  ``known``: prior
+        rates of the votes (voter, class, vote), if there are any; they give the
+        start, and count as much as ``KNOWN`` of all rows in the estimates.  Returns
+        the posterior of the toxic class."""
+        votes = votes.astype(np.int64)
+        if known is None:
+            first, self.known = np.tile([0.0, START, -START], (votes.shape[1], 1)), None
+        else:
+            first, self.known = np.log(known[:, 1] / known[:, 0]), known * KNOWN * len(votes)
+            first[:, ABSTAINS] = 0
+            self.known[:, 0] *= 1 - self.prior
+            self.known[:, 1] *= self.prior
+        lead = first[np.arange(votes.shape[1]), votes].sum(axis=1)
+        q = 1 / (1 + np.exp(-np.clip(np.log(self.prior / (1 - self.prior)) + lead, -6, 6)))
+        one_hot = np.zeros((len(votes), votes.shape[1] * 3), np.float32)
+        one_hot[np.arange(len(votes))[:, None], np.arange(votes.shape[1]) * 3 + votes] = 1
+        self.parent = np.full(votes.shape[1], -1)
         for step in range(rounds):
-            self.prior = float(np.clip(q.mean(), 1e-3, 1 - 1e-3))
-            self.rate = np.stack([
-                ((1 - q) @ fired + 0.05) / ((1 - q).sum() + 0.5),
-                (q @ fired + 0.5) / (q.sum() + 5.0)])
-            if step % 5 == 1:
-                self.weight = self._discount(fired, q)
-            if self.anchor is not None:
-                self.rate[:, self.anchor] = ANNOTATOR
-                self.weight[self.anchor] = 1.0
-            q = self.posterior(fired)
+            weights = np.stack([1 - q, q])
+            if step % 8 == 3:
+                self.parent = self._forest(one_hot, weights)
+            self._estimate(votes, weights)
+            q = self.posterior(votes)
         return q
 
-    def _discount(self, fired: np.ndarray, q: np.ndarray) -> np.ndarray:
-        total = np.zeros((fired.shape[1],) * 2)
-        for p, rate in ((1 - q, self.rate[0]), (q, self.rate[1])):
-            rest = (fired - rate) * np.sqrt(p)[:, None]
-            total += rest.T @ rest
-        spread = np.sqrt(np.maximum(np.diag(total), 1e-9))
-        correlation = total / spread[:, None] / spread[None, :]
-        self.correlation = correlation
-        strong = np.where(correlation > 0.25, correlation, 0)
-        np.fill_diagonal(strong, 1)
-        return 1 / strong.sum(axis=1)
-
-    def posterior(self, fired: np.ndarray) -> np.ndarray:
-        r0, r1 = np.clip(self.rate, 1e-5, 1 - 1e-5)
-        on, off = np.log(r1 / r0), np.log((1 - r1) / (1 - r0))
-        z = np.log(self.prior / (1 - self.prior)) + (fired * on + (1 - fired) * off) @ self.weight
+    def _estimate(self, votes: np.ndarray, weights: np.ndarray) -> None:
+        n = votes.shape[1]
+        self.rate, self.table = np.zeros((n, 2, 3)), np.zeros((n, 2, 3, 3))
+        for j in range(n):
+            above = votes[:, self.parent[j]] if self.parent[j] >= 0 else np.zeros(len(votes), np.int64)
+            both = np.stack([np.bincount(above * 3 + votes[:, j], weights=weights[c], minlength=9).reshape(3, 3) for c in (0, 1)])
+            alone = both.sum(axis=1) + (0 if self.known is None else self.known[j])
+            self.rate[j] = (alone + (0.9, 0.05, 0.05)) / (alone.sum(axis=1, keepdims=True) + 1)
+            if self.parent[j] < 0:
+                self.table[j] = self.rate[j][:, None, :]
+            else:
+                pooled = both.sum(axis=0) + 1e-3
+                pooled /= pooled.sum(axis=1, keepdims=True)
+                self.table[j] = (both + SAME * pooled) / (both.sum(axis=2, keepdims=True) + SAME)
+                # Where the other abstains, the vote stands alone.
+                self.table[j, :, ABSTAINS] = self.rate[j]
+
+    def _forest(self, one_hot: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        n = one_hot.shape[1] // 3
+        gain = np.zeros((n, n))
+        for w in weights:
+            both = ((one_hot * w[:, None].astype(np.float32)).T @ one_hot).astype(float)
+            alone = np.diag(both)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                part = np.where(both > 0, both * np.log(both * max(w.sum(), 1e-9) / np.outer(alone, alone)), 0.0)
+            gain += 2 * part.reshape(n, 3, n, 3).sum(axis=(1, 3))
+        # The strongest dependences that close no cycle, each tree hung up by its first voter.
+        rows, columns = np.triu_indices(n - 1, 1)  # the last voter, silence, follows from the others
+        strong = gain[rows, columns] > MIN_DEPENDENCE
+        rows, columns = rows[strong], columns[strong]
+        root, near = list(range(n)), [[] for _ in range(n)]
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for i in np.argsort(-gain[rows, columns], kind="stable"):
+            a, b = int(rows[i]), int(columns[i])
+            if find(a) != find(b):
+                root[find(a)] = find(b)
+                near[a].append(b)
+                near[b].append(a)
+        parent, seen = np.full(n, -1), set()
+        for first in range(n):
+            work = [first] if first not in seen else []
+            seen.add(first)
+            while work:
+                x = work.pop()
+                for y in near[x]:
+                    if y not in seen:
+                        seen.add(y)
+                        parent[y] = x
+                        work.append(y)
+        return parent
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        votes = votes.astype(np.int64)
+        above = np.where(self.parent >= 0, votes[:, self.parent], 0)
+        log = np.log(np.clip(self.table, 1e-9, 1))
+        each = np.arange(votes.shape[1])
+        ratio = np.where(votes == ABSTAINS, 0.0, log[each, 1, above, votes] - log[each, 0, above, votes])
+        z = np.log(self.prior / (1 - self.prior)) + ratio.sum(axis=1)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
+    def accuracy(self) -> np.ndarray:
+        """How probably each voter is right where it votes."""
+        right = self.prior * self.rate[:, 1, TOXIC] + (1 - self.prior) * self.rate[:, 0, CLEAN]
+        votes = self.prior * self.rate[:, 1, 1:].sum(axis=1) + (1 - self.prior) * self.rate[:, 0, 1:].sum(axis=1)
+        return right / np.maximum(votes, 1e-12)
+
+
+def likelihood_ratio(pos, neg, share: float):
+    """The statistic of counts in the two classes against the toxic class's share,
+    negative where the clean class has more."""
+    n = pos + neg
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = sum(np.where(x > 0, x * np.log(x / (n * p)), 0.0) for x, p in ((pos, share), (neg, 1 - share)))
+    return 2 * gain * np.where(pos > n * share, 1, -1)
+
+
+def choose_voters(flat: list[str], doc: np.ndarray, feature: np.ndarray, y: np.ndarray, most: int) -> list[tuple[str, int]]:
+    """(feature, its vote) of the lexicon voters, the seeds first.
+
+    One after the other the feature with most evidence for the toxic class is taken,
+    if it is right on the share ``RIGHT`` of its labelled rows; a toxic row counts
+    ``COVERED`` as much for each voter that it has already, so that rows get several
+    voters but the twentieth word of the same rows is none.  Then those with most evidence for the clean
+    class.  None is a stem of another voter."""
+    seeds = {f"w:{w}" for w in seed_words()}
+    chosen = [(name, TOXIC) for name in flat if name in seeds]
+    taken = {name.partition(":")[2] for name in seeds}
+    heads = {w[:n] for w in taken for n in STEMS}
+    texts = [name.partition(":")[2] for name in flat]
+    free = np.array([not name.startswith("x:") for name in flat])
+    share, weight = y.mean(), np.ones(len(y))
+    held = np.argsort(feature, kind="stable")
+    starts = np.searchsorted(feature[held], np.arange(len(flat) + 1))
+    rows_of = lambda i: doc[held[starts[i] : starts[i + 1]]]
+
+    def close(i: int) -> None:
+        """Nothing nested with a voter's text is free any more."""
+        taken.add(texts[i])
+        heads.update(texts[i][:n] for n in STEMS)
+        for j in np.flatnonzero(free):
+            t = texts[j]
+            free[j] = not (t in taken or t in heads or any(t[:n] in taken for n in STEMS))
+
+    for i, name in enumerate(flat):
+        if name in seeds:
+            close(i)
+            weight[rows_of(i)] *= COVERED
+    toxic = y[doc] == 1
+    neg = np.bincount(feature[~toxic], minlength=len(flat)).astype(float)
+    all_pos = np.bincount(feature[toxic], minlength=len(flat)).astype(float)
+    while len(chosen) < most:
+        pos = np.bincount(feature[toxic], weights=weight[doc[toxic]], minlength=len(flat))
+        evidence = np.where(free & (all_pos >= RIGHT * (all_pos + neg)), likelihood_ratio(pos, neg, share), 0.0)
+        i = int(np.argmax(evidence))
+        if evidence[i] < MIN_EVIDENCE:
+            break
+        chosen.append((flat[i], TOXIC))
+        close(i)
+        weight[rows_of(i)] *= COVERED
+    against = np.where(free, likelihood_ratio(all_pos, neg, share), 0.0)
+    for i in np.argsort(against, kind="stable")[: max(0, most - len(chosen))]:
+        if against[i] > -MIN_EVIDENCE:
+            break
+        if free[i]:
+            chosen.append((flat[i], CLEAN))
+            close(i)
+    return chosen
+
 
 def fit_logistic(doc: np.ndarray, feature: np.ndarray, target: np.ndarray, size: int,
                  l2: float = 1e-4, rounds: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
@@ -208,7 +355,8 @@ class Model:
     features: dict[str, list[str]]
     weights: np.ndarray
     intercept: float
-    voters: list[tuple[str, float, float, float]] = field(default_factory=list)
+    #: Name, estimated accuracy, and the voter that it depends on.
+    voters: list[tuple[str, float, str | None]] = field(default_factory=list)
 
     def arrays(self) -> dict[str, pa.Array]:
         return {k: pa.array(v, pa.string()) for k, v in self.features.items()}
@@ -318,27 +466,42 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", label_col
     doc = np.repeat(np.arange(len(y)), pc.list_value_length(lists).to_numpy())
 
     flat = [f"{k}{w}" for k, words in names.items() for w in words]
-    rank = {r.feature: r.evidence for r in mined if r.evidence > 0}
-    order = sorted(range(len(flat)), key=lambda i: (-rank.get(flat[i], 0.0), flat[i]))
-    voters = [i for i in order if flat[i] in rank][:max_voters]
-    seeds = {f"w:{w}" for w in seed_words()}
-    voters += [i for i, name in enumerate(flat) if (name in seeds or name.startswith("x:")) and i not in set(voters)]
-    place = np.full(len(flat), -1)
-    place[voters] = np.arange(len(voters))
-    fired = np.zeros((len(y), len(voters) + 1), np.float32)
-    keep = place[feature] >= 0
-    fired[doc[keep], place[feature[keep]]] = 1
-    fired[:, -1] = y  # the annotators are a voter too
-    label_model = LabelModel(anchor=len(voters))
-    posterior = label_model.fit(fired.astype(float), y)
+    number = {name: i for i, name in enumerate(flat)}
+    voters = choose_voters(flat, doc, feature, y, max_voters)
+    voters += [(f"x:{p}", TOXIC) for p in PATTERNS]
+    names_, votes = cast_votes(voters, number, doc, feature, len(y))
+    label_model = LabelModel(float(np.clip(n_pos / (n_pos + n_neg), 0.01, 0.99)))
+    posterior = label_model.fit(votes, known_rates(votes, y))
     model.weights, model.intercept = fit_logistic(doc, feature, posterior, len(flat))
     model.voters = [
-        (flat[v] if v >= 0 else "annotator", float(label_model.rate[0, i]), float(label_model.rate[1, i]), float(label_model.weight[i]))
-        for i, v in enumerate([*voters, -1])
-    ]
+        (name, float(right), names_[up] if up >= 0 else None)
+        for name, right, up in zip(names_, label_model.accuracy(), label_model.parent, strict=True)]
     return model
 
 
+def cast_votes(voters: list[tuple[str, int]], number: dict[str, int], doc: np.ndarray, feature: np.ndarray, rows: int) -> tuple[list[str], np.ndarray]:
+    """Names of the voters that vote on MIN_SUPPORT rows at least, and rows by
+    voters; the last one votes clean where none votes toxic."""
+    place = np.full(len(number), -1)
+    for i, (name, _) in enumerate(voters):
+        place[number[name]] = i
+    at = place[feature]
+    votes = np.zeros((rows, len(voters) + 1), np.int64)
+    kinds = np.array([vote for _, vote in voters])
+    votes[doc[at >= 0], at[at >= 0]] = kinds[at[at >= 0]]
+    keep = np.flatnonzero((votes > 0).sum(axis=0) >= MIN_SUPPORT)
+    names, votes = [voters[i][0] for i in keep], np.concatenate([votes[:, keep], np.zeros((rows, 1), np.int64)], axis=1)
+    votes[:, -1] = np.where((votes == TOXIC).any(axis=1), ABSTAINS, CLEAN)
+    return [*names, "silence"], votes
+
+
+def known_rates(votes: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How often each voter votes how on the labelled rows of each class."""
+    counts = np.stack([[(votes[y == c] == vote).sum(axis=0) for vote in (ABSTAINS, TOXIC, CLEAN)] for c in (0, 1)])
+    counts = counts.transpose(2, 0, 1) + 0.5
+    return counts / counts.sum(axis=2, keepdims=True)
+
+
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The id and ``score`` of every row."""
     spark = docs.sparkSession

@@ -383,16 +383,66 @@ def test_toxicity_held_out(spark):
     assert auc > 0.9 and np.mean([s >= 0.5 for s in good]) > 0.75 and np.mean([s >= 0.5 for s in bad]) < 0.02
 
 
-def test_label_model_finds_accuracies_and_discounts_copies():
+def synthetic_votes(rows=6000):
+    """Hidden classes and four voters that fire given the class, one of them for the
+    clean class."""
     rng = np.random.default_rng(7)
-    y = rng.random(4000) < 0.3
-    rates = [(0.02, 0.6), (0.05, 0.7), (0.3, 0.35), (0.01, 0.4)]
-    votes = [rng.random(4000) < np.where(y, b, a) for a, b in rates]
-    fired = np.stack([*votes, votes[0], votes[0]], 1).astype(float)
-    model = toxicity.LabelModel()
-    q = model.fit(fired, np.where(fired[:, 1] > 0, 0.9, 0.1))
-    assert abs(model.prior - 0.3) < 0.08 and ((q > 0.5) == y).mean() > 0.85
-    assert model.rate[1, 1] > model.rate[0, 1] + 0.4 and model.weight[0] < 0.5 < model.weight[1]
+    y = rng.random(rows) < 0.3
+    rates = [(0.02, 0.5, 1), (0.05, 0.6, 1), (0.02, 0.4, 1), (0.7, 0.06, 2)]
+    return y, np.stack([np.where(rng.random(rows) < np.where(y, b, a), vote, 0) for a, b, vote in rates], 1)
+
+
+def test_label_model_finds_accuracies_without_labels():
+    y, votes = synthetic_votes()
+    model = toxicity.LabelModel(0.3)
+    q = model.fit(votes)
+    assert ((q > 0.5) == y).mean() > 0.9
+    # Abstaining tells the model nothing, so rates are lower than those drawn from; their order and odds are theirs.
+    on, off = model.rate[:3, 1, 1], model.rate[:3, 0, 1]
+    assert on[1] > on[0] > on[2] and (on / off > 3).all() and model.rate[3, 0, 2] / model.rate[3, 1, 2] > 2.5
+    assert (model.accuracy() > 0.6).all()
+    # Other voters, another posterior.
+    assert np.abs(toxicity.LabelModel(0.3).fit(votes[:, [1, 3]]) - q).mean() > 0.05
+    random_ = np.where(np.random.default_rng(1).random(len(y)) < 0.3, 1, 0)
+    assert np.abs(toxicity.LabelModel(0.3).fit(np.stack([random_, random_], 1)) - q).mean() > 0.2
+
+
+def test_label_model_counts_copies_once():
+    y, votes = synthetic_votes()
+    alone = toxicity.LabelModel(0.3)
+    q = alone.fit(votes)
+    copies = toxicity.LabelModel(0.3)
+    with_copies = copies.fit(np.concatenate([votes[:, [0, 0, 0, 0]], votes], 1))  # five times the first voter
+    assert sorted(copies.parent[[0, 1, 2, 3, 4]] >= 0) == [False, True, True, True, True]
+    assert np.abs(with_copies - q).mean() < 0.08 and ((with_copies > 0.5) == (q > 0.5)).mean() > 0.97
+    apart = np.concatenate([votes[:, [0, 0, 0, 0]], votes], 1)
+    naive = toxicity.LabelModel(0.3)
+    naive._forest = lambda *_: np.full(apart.shape[1], -1)  # all taken for independent
+    assert np.abs(naive.fit(apart) - q).mean() > 1.5 * np.abs(with_copies - q).mean()
+
+
+def test_labels_reach_the_label_model_as_counts_only():
+    y, votes = synthetic_votes()
+    noisy = np.where(np.random.default_rng(3).random(len(y)) < 0.1, ~y, y).astype(float)
+    known = toxicity.known_rates(votes, noisy)
+    q = toxicity.LabelModel(0.3).fit(votes, known)
+    # Rows of equal votes have equal posteriors whatever their labels.
+    for v in {tuple(x) for x in votes}:
+        assert np.ptp(q[(votes == v).all(axis=1)]) == 0
+    assert ((q > 0.5) == y).mean() > ((noisy > 0.5) == y).mean() - 0.03
+    again = toxicity.LabelModel(0.3).fit(votes, toxicity.known_rates(votes, noisy[::-1]))
+    assert np.abs(again - q).mean() > 0.01
+
+
+def test_no_voter_is_nested_in_another():
+    flat = [*(f"w:{w}" for w in toxicity.seed_words()), "w:slurring", "w:slurred", "s4:slur", "s5:slurr", "w:calm"]
+    rows = 400
+    y = np.arange(rows) < 60
+    own = {"w:slurring": range(30), "w:slurred": range(30, 60), "s4:slur": range(60), "s5:slurr": range(60), "w:calm": range(100, 400)}
+    doc = np.concatenate([list(v) for v in own.values()])
+    feature = np.concatenate([[flat.index(k)] * len(v) for k, v in own.items()])
+    chosen = toxicity.choose_voters(flat, doc, feature, y.astype(int), 300)
+    assert [c for c in chosen if c[0][2:] not in toxicity.seed_words()] in ([("s4:slur", 1), ("w:calm", 2)], [("s5:slurr", 1), ("w:calm", 2)])
 
 
 # --- 8 ---------------------------------------------------------------------------

@@ -131,3 +131,8 @@ def inventory(spark: SparkSession, frames: dict[str, DataFrame], sizes: dict[str
 def column_inventory(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
     rows = [(name, i + 1, f.name, f.dataType.simpleString(), bool(f.metadata.get("generated", False))) for i, f in enumerate(df.schema)]
     return spark.createDataFrame(rows, "table_name string, ord int, column string, type string, generated boolean")
+
+
+def index_columns(indexes: DataFrame) -> DataFrame:
+    """``name, ord, col`` of indexes whose ``columns`` are a comma-separated list."""
+    return indexes.select("name", F.posexplode(F.split("columns", ",")).alias("p", "col")).select("name", (F.col("p") + 1).cast("bigint").alias("ord"), "col")

@@ -164,6 +164,12 @@ def failure_signature(sqlstate: Column, message: Column) -> Column:
     return F.when(F.coalesce(sqlstate, F.lit("")) != "", sqlstate).otherwise(F.sha2(message, 256))
 
 
+def connection_lost(sqlstate: Column) -> Column:
+    """Whether an error is of the connection, so that trying again may help."""
+    state = F.coalesce(sqlstate, F.lit(""))
+    return state.startswith("08") | state.isin("57P01", "57P02", "57P03")
+
+
 def headroom(current: Column, low: Column, high: Column, increment: Column) -> Column:
     """Values a sequence can still hand out; exact over the whole 64-bit range."""
     wide = lambda c: c.cast("decimal(20,0)")

@@ -26,7 +26,7 @@ def live_changes(changes: DataFrame) -> DataFrame:
     """The changes after the last truncate of their relation, and whether there was
     one (``cleared``)."""
     cuts = changes.where(F.col("kind") == "T").groupBy("relation").agg(F.max(position()).alias("cut"))
-    joined = changes.where(F.col("kind") != "T").join(F.broadcast(cuts), "relation", "left")  # a row a relation
+    joined = changes.where(F.col("kind") != "T").join(cuts, "relation", "left")  # a row a relation, small enough to be broadcast or not
     return joined.where(F.col("cut").isNull() | (position() > F.col("cut"))).withColumn("cleared", F.col("cut").isNotNull()).drop("cut")
 
 
@@ -43,7 +43,7 @@ def fold(target: DataFrame, changes: DataFrame, key: list[str], values: list[str
     cleared = has_truncate(changes) if cleared is None else cleared
     log = live_changes(changes) if cleared else changes
     at = position()
-    aggs = [F.max_by("kind", at).alias("last_kind"), F.bool_or(F.col("kind") == "I").alias("inserted")]
+    aggs = [F.max_by("kind", at).alias("last_kind")]
     for c in values:
         sets = (F.col("kind") != "D") & ~F.coalesce(F.array_contains("toast", c), F.lit(False))
         aggs.append(F.max_by(F.struct(F.col(c).alias("v")), F.when(sets, at)).alias(f"set_{c}"))
@@ -87,11 +87,39 @@ def presence_violations(target: DataFrame, changes: DataFrame, key: list[str], i
 def checked_fold(target: DataFrame, changes: DataFrame, key: list[str], values: list[str]) -> DataFrame:
     """The fold, or ``DivergenceError`` if any change does not fit."""
     cleared = has_truncate(changes)
-    log = changes.select("relation", *key, *ORDER, "kind")
-    first = misfits(target, log, key, cleared=cleared).orderBy(*ORDER).limit(1).collect()
+    first_misfit(target, changes.select("relation", *key, *ORDER, "kind"), key, cleared)
+    return fold(target, changes, key, values, cleared)
+
+
+def first_misfit(target: DataFrame, changes: DataFrame, key: list[str], cleared: bool = False) -> None:
+    """Raise for the first change that does not fit."""
+    first = misfits(target, changes, key, cleared=cleared).orderBy(*ORDER).limit(1).collect()
     if first:
         raise DivergenceError(f"change {first[0].asDict()} does not affect exactly one row")
-    return fold(target, changes, key, values, cleared)
+
+
+def check_order(changes: DataFrame) -> None:
+    """Raise where the log's order is broken: a commit after its transaction's end,
+    or two changes at one place.  Order is the position; nothing is ever late."""
+    if "commit_lsn" in changes.columns:
+        bad = changes.where(F.col("end_lsn") < F.col("commit_lsn")).limit(1).collect()
+        if bad:
+            raise DivergenceError(f"positions out of order: {bad[0].asDict()}")
+    twice = changes.groupBy(*ORDER).agg(F.count("*").alias("changes"), F.count_if(F.col("kind") == "T").alias("truncates")).where("changes > 1 AND truncates = 0").limit(1).collect()
+    if twice:
+        raise DivergenceError(f"two changes at one position: {twice[0].asDict()}")
+
+
+def cascaded(changes: DataFrame, references: DataFrame) -> DataFrame:
+    """Truncates with ``truncate_cascade`` also for the relations that refer to the
+    truncated one, directly or not.  ``references``: ``relation, referrer``, of a
+    catalogue's size."""
+    from ledgerfold.operators.graph import reachable
+
+    wide = changes.where((F.col("kind") == "T") & F.col("truncate_cascade"))
+    pairs = reachable(references.select(F.col("relation").alias("source"), F.col("referrer").alias("target")))
+    more = wide.join(pairs.select(F.col("source").alias("relation"), F.col("target").alias("referrer")), "relation").withColumn("relation", F.col("referrer")).drop("referrer")
+    return changes.unionByName(more.select(*changes.columns).distinct())
 
 
 def toast_carried(target: DataFrame, changes: DataFrame, key: list[str], column: str) -> DataFrame:
@@ -124,40 +152,55 @@ def split_key_changes(changes: DataFrame, key: list[str], old_prefix: str = "old
     return out.withColumn("seq", F.col("seq") * 2 + F.col("step")).drop("step")
 
 
-def ordered_fold(target: DataFrame, changes: DataFrame, key: str, values: list[str], old_key: str = "old_key") -> DataFrame:
+def ordered_fold(target: DataFrame, changes: DataFrame, key: list[str] | str, values: list[str], old_prefix: str = "old_") -> DataFrame:
     """Replay in commit order, one group of keys that moves connect at a time.
 
-    For batches whose key moves leave columns unchanged.  Groups are the connected
-    keys, found by smallest-label propagation, so one group is as large as its
-    chain of moves, not the relation."""
-    moves = changes.where((F.col("kind") == "U") & F.col(old_key).isNotNull() & (F.col(old_key) != F.col(key))).select(F.col(old_key).alias("a"), F.col(key).alias("b"))
-    edges = moves.union(moves.select("b", "a")).distinct()
-    labels = edges.groupBy(F.col("a").alias("k")).agg(F.least(F.col("k"), F.min("b")).alias("g"))
-    while True:
-        near = edges.join(labels.withColumnRenamed("k", "b"), "b").groupBy(F.col("a").alias("k")).agg(F.min("g").alias("m"))
-        after = labels.join(near, "k").select("k", F.least("g", "m").alias("g"), (F.col("m") < F.col("g")).alias("moved")).checkpoint()
-        labels = after.select("k", "g")
+    For relations whose changes may not be regrouped, and for key moves that leave
+    columns unchanged.  Groups are the connected keys, found by smallest-label
+    propagation, so one group is as large as its chain of moves, not the relation;
+    a key that never moves is a group of its own.  The key before an update stands
+    in ``old_<key>`` (a single one's in ``old_key``); null if it stays."""
+    key = [key] if isinstance(key, str) else key
+    own = F.to_json(F.array(*[F.col(k).cast("string") for k in key]))
+    known = {k: old_prefix + k for k in key if old_prefix + k in changes.columns}
+    if len(key) == 1 and "old_key" in changes.columns:
+        known.setdefault(key[0], "old_key")
+    before = F.to_json(F.array(*[(F.coalesce(F.col(known[k]), F.col(k)) if k in known else F.col(k)).cast("string") for k in key]))
+    log = changes.withColumn("lf_k", own).withColumn("lf_was", F.when(F.col("kind") == "U", before).otherwise(own))
+    moves = log.where(F.col("lf_was") != F.col("lf_k")).select(F.col("lf_was").alias("a"), F.col("lf_k").alias("b"))
+    edges = moves.union(moves.select("b", "a")).distinct().checkpoint()
+    labels = edges.groupBy(F.col("a").alias("lf_k")).agg(F.least(F.col("lf_k"), F.min("b")).alias("lf_g"))
+    while not edges.isEmpty():
+        near = edges.join(labels.withColumnRenamed("lf_k", "b"), "b").groupBy(F.col("a").alias("lf_k")).agg(F.min("lf_g").alias("m"))
+        after = labels.join(near, "lf_k").select("lf_k", F.least("lf_g", "m").alias("lf_g"), (F.col("m") < F.col("lf_g")).alias("moved")).checkpoint()
+        labels = after.select("lf_k", "lf_g")
         if after.where("moved").isEmpty():
             break
-    group = lambda df: df.join(labels.withColumnRenamed("k", key), key, "left").withColumn("g", F.coalesce("g", F.col(key)))
-    schema = target.select(key, *values).schema
+    group = lambda df: df.join(labels, "lf_k", "left").withColumn("lf_g", F.coalesce("lf_g", "lf_k"))
+    columns = [*key, *values]
+    schema = target.select(*columns).schema
 
     def replay(_, base, log):
-        rows = {r[key]: {c: r[c] for c in values} for r in base.to_dict("records")}
-        for r in log.sort_values(list(ORDER)).to_dict("records"):
-            was = r[old_key] if r["kind"] == "U" and r[old_key] == r[old_key] and r[old_key] is not None else r[key]
-            if (was in rows) == (r["kind"] == "I"):
-                raise DivergenceError(f"change at {r['end_lsn']}/{r['seq']} does not affect exactly one row")
-            old = rows.pop(was, {})
-            if r["kind"] != "D":
-                keep = set(r["toast"] if r["toast"] is not None else ())
-                rows[r[key]] = {c: old.get(c) if c in keep else r[c] for c in values}
         import pandas as pd
 
-        return pd.DataFrame([{key: k, **v} for k, v in rows.items()], columns=[key, *values])
-
-    left = group(target.select(key, *values)).groupBy("g")
-    right = group(changes).groupBy("g")
+        rows = dict(zip(base["lf_k"], base[columns].itertuples(index=False, name=None), strict=True))
+        at = {c: i for i, c in enumerate(columns)}
+        log = log.sort_values(list(ORDER))
+        for r, new in zip(log[["lf_k", "lf_was", "kind", "toast", *ORDER]].itertuples(index=False), log[columns].itertuples(index=False, name=None), strict=True):
+            if (r.lf_was in rows) == (r.kind == "I"):
+                raise DivergenceError(f"change at {r.end_lsn}/{r.seq} does not affect exactly one row")
+            old = rows.pop(r.lf_was, None)
+            if r.kind != "D":
+                if r.lf_k in rows:
+                    raise DivergenceError(f"change at {r.end_lsn}/{r.seq} moves to a key that is taken")
+                new = list(new)
+                for c in r.toast if r.toast is not None and old is not None else ():
+                    new[at[c]] = old[at[c]]
+                rows[r.lf_k] = tuple(new)
+        return pd.DataFrame(list(rows.values()), columns=columns)
+
+    left = group(target.select(own.alias("lf_k"), *columns)).groupBy("lf_g")
+    right = group(log.select("lf_k", "lf_was", "kind", "toast", *ORDER, *columns)).groupBy("lf_g")
     return left.cogroup(right).applyInPandas(replay, schema)
 
 
@@ -181,6 +224,17 @@ def full_identity(target: DataFrame, changes: DataFrame, digest: str = "digest")
 
 
 BAND = 4096
+#: Bands of a log at most; one row a band is ordered as a whole, in one task.
+MOST_BANDS = 100_000
+
+
+def banded(df: DataFrame, position: str) -> DataFrame:
+    """``band``: ranges of positions of equal width, at most MOST_BANDS and one of
+    them, so that sums over bands stay small however long the log is, and a band's
+    own rows are what one task sorts."""
+    low, high = df.agg(F.min(position), F.max(position)).first()
+    width = max(BAND, (int(high) - int(low)) // MOST_BANDS + 1) if low is not None else BAND
+    return df.withColumn("band", F.floor(F.col(position) / width))
 
 
 def order_violations(transactions: DataFrame) -> DataFrame:
@@ -189,12 +243,12 @@ def order_violations(transactions: DataFrame) -> DataFrame:
     end_lsn``; broken order is corruption, not lateness.
 
     The previous row comes from the same band of numbers, or for a band's first
-    row from the last of the bands before: one row a band is ordered as a whole."""
-    banded = transactions.withColumn("band", F.floor(F.col("number") / BAND))
-    last = banded.groupBy("band").agg(F.max_by(F.struct("commit_lsn", "end_lsn"), "number").alias("last"))
+    row from the last of the bands before."""
+    within = banded(transactions, "number")
+    last = within.groupBy("band").agg(F.max_by(F.struct("commit_lsn", "end_lsn"), "number").alias("last"))
     earlier = last.select("band", F.lag("last").over(W.orderBy("band")).alias("earlier"))
     own = F.lag(F.struct("commit_lsn", "end_lsn")).over(W.partitionBy("band").orderBy("number"))
-    out = banded.withColumn("own", own).join(earlier, "band").withColumn("prev", F.coalesce("own", "earlier"))
+    out = within.withColumn("own", own).join(earlier, "band").withColumn("prev", F.coalesce("own", "earlier"))
     bad = (F.col("commit_lsn") <= F.col("prev.commit_lsn")) | (F.col("end_lsn") <= F.col("prev.end_lsn")) | (F.col("end_lsn") < F.col("commit_lsn"))
     return out.where(bad).drop("band", "own", "earlier", "prev")
 
@@ -203,32 +257,42 @@ def barrier_epochs(changes: DataFrame, unsafe: Column) -> DataFrame:
     """``epoch``: grows at each ordered barrier (a change of an unsafe relation, or
     a truncate); inside one, relations are independent.
 
-    The running count is built from per-range counts, so it needs no global sort:
-    ranges of positions hold barriers' counts, a small table is summed up."""
+    The running count is built from per-band counts, so it needs no global sort."""
     barrier = (unsafe | (F.col("kind") == "T")).cast("bigint")
-    tagged = changes.withColumn("barrier", barrier).withColumn("band", F.floor(F.col("end_lsn") / BAND))
+    tagged = banded(changes.withColumn("barrier", barrier), "end_lsn")
     sums = tagged.groupBy("band").agg(F.sum("barrier").alias("n"))
     base = sums.withColumn("base", F.coalesce(F.sum("n").over(W.orderBy("band").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
     inner = F.sum("barrier").over(W.partitionBy("band").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0))
-    return tagged.withColumn("inner", inner).join(base, "band").withColumn("epoch", F.col("base") + F.col("inner")).drop("band", "base", "inner")
+    return tagged.withColumn("inner", inner).join(base, "band").withColumn("epoch", F.col("base") + F.col("inner")).drop("band", "base", "inner", "barrier")
 
 
 def runs(changes: DataFrame, by: list[str]) -> DataFrame:
-    """Runs of adjacent changes of one kind in each partition: gaps and islands."""
-    order = W.partitionBy(*by).orderBy(*ORDER)
-    starts = F.when(F.lag("kind").over(order) == F.col("kind"), 0).otherwise(1)
-    numbered = changes.withColumn("starts", starts).withColumn("run", F.sum("starts").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    """Runs of adjacent changes of one kind in each partition: gaps and islands.
+
+    Neighbours are found inside a band; a band's first row is compared with the last
+    of the partition's bands before, so that a relation with most of the log is
+    spread over as many tasks as it has bands."""
+    tagged = banded(changes, "end_lsn")
+    inside, over_bands = W.partitionBy(*by, "band").orderBy(*ORDER), W.partitionBy(*by).orderBy("band")
+    last = tagged.groupBy(*by, "band").agg(F.max_by("kind", position()).alias("last"))
+    last = last.withColumn("earlier", F.lag("last").over(over_bands)).drop("last")
+    before = F.coalesce(F.lag("kind").over(inside), F.col("earlier"))
+    marked = tagged.join(last, [*by, "band"]).withColumn("starts", F.when(before == F.col("kind"), 0).otherwise(1))
+    sums = marked.groupBy(*by, "band").agg(F.sum("starts").alias("n"))
+    base = sums.select(*by, "band", F.coalesce(F.sum("n").over(over_bands.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inner = F.sum("starts").over(inside.rowsBetween(W.unboundedPreceding, 0))
+    numbered = marked.withColumn("inner", inner).join(base, [*by, "band"]).withColumn("run", F.col("base") + F.col("inner"))
     return numbered.groupBy(*by, "run", "kind").agg(F.count("*").alias("n"), F.min("end_lsn").alias("first_lsn"), F.max("end_lsn").alias("last_lsn"))
 
 
 def batch_ids(transactions: DataFrame, most: int) -> DataFrame:
     """Batches of a fixed number of transactions in log order: ranks from counts
     of bands of positions and a window inside a band."""
-    banded = transactions.withColumn("band", F.floor(F.col("end_lsn") / BAND))
-    counts = banded.groupBy("band").agg(F.count("*").alias("n"))
+    within = banded(transactions, "end_lsn")
+    counts = within.groupBy("band").agg(F.count("*").alias("n"))
     base = counts.select("band", F.coalesce(F.sum("n").over(W.orderBy("band").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     rank = F.row_number().over(W.partitionBy("band").orderBy("end_lsn")) - 1
-    ranked = banded.withColumn("rank", rank).join(base, "band")
+    ranked = within.withColumn("rank", rank).join(base, "band")
     return ranked.withColumn("batch", F.floor((F.col("base") + F.col("rank")) / most).cast("bigint")).drop("band", "base", "rank")
 
 

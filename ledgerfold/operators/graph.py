@@ -30,3 +30,30 @@ def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
         frontier = found.join(known, "node", "left_anti").checkpoint()
         known = known.union(frontier).checkpoint()
     return known
+
+
+def reachable(edges: DataFrame) -> DataFrame:
+    """``source, target`` pairs connected by any number of edges; for graphs of a
+    catalogue's size.  Paths double in every round; a round that finds nothing new
+    ends it."""
+    known = edges.select("source", "target").distinct().checkpoint()
+    while True:
+        longer = known.withColumnRenamed("target", "lf_mid").join(known.withColumnRenamed("source", "lf_mid"), "lf_mid").select("source", "target")
+        fresh = longer.distinct().join(known, ["source", "target"], "left_anti").checkpoint()
+        if fresh.isEmpty():
+            return known
+        known = known.union(fresh).checkpoint()
+
+
+def foreign_key_edges(constraints: DataFrame) -> DataFrame:
+    """``source, target`` edges from a constraint catalogue: the referring relation
+    to the one it refers to, without references to itself."""
+    edges = constraints.where("kind = 'f'").select(F.col("relation").alias("source"), F.col("refers_to").alias("target"))
+    return edges.where("source <> target").distinct()
+
+
+def sequence_owners(dependencies: DataFrame, selected: DataFrame, sequences: DataFrame) -> DataFrame:
+    """``owner, sequence``: sequences that selected relations own or default to."""
+    own = dependencies.join(selected.select(F.col("name").alias("source")), "source", "left_semi")
+    own = own.join(sequences.select(F.col("name").alias("target")), "target", "left_semi")
+    return own.select(F.col("source").alias("owner"), F.col("target").alias("sequence")).distinct()

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -61,6 +62,18 @@ def with_blocks(df: DataFrame, rows_per_block: int) -> DataFrame:
     return df.withColumn("block", F.floor(F.col("_metadata.row_index") / rows_per_block).cast("bigint"))
 
 
-def largest_first(parts: DataFrame) -> DataFrame:
+def largest_first(parts: list[Part]) -> list[Part]:
     """A stable schedule, largest part first."""
-    return parts.orderBy(F.desc("bytes"), "ordinal")
+    return sorted(parts, key=lambda p: -p.bytes)
+
+
+def schedule(parts: DataFrame) -> DataFrame:
+    """``turn`` of each part of a plan, largest first; a plan is small."""
+    return parts.withColumn("turn", F.row_number().over(W.orderBy(F.desc("bytes"), "ordinal")).cast("bigint"))
+
+
+def range_width(low: Column, high: Column, parts: Column) -> Column:
+    """Width of equal key ranges over the whole 64-bit range, without overflow."""
+    wide = lambda c: c.cast("decimal(25,0)")
+    total = (wide(high) - wide(low) + wide(parts)).cast("decimal(26,0)")
+    return F.call_function("div", total, wide(parts)).cast("decimal(20,0)")

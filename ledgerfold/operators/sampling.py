@@ -41,14 +41,41 @@ def sample_windows(budgets: DataFrame, windows: int) -> DataFrame:
 
 def sample_rows(df: DataFrame, order: str, rows: int, windows: int, per_window: int) -> DataFrame:
     """The first ``per_window`` rows by ``order`` of each of ``windows`` equal
-    ranges of the key: a sample that anyone can repeat."""
-    low, high = df.agg(F.min(order), F.max(order)).first()
+    ranges of the key: a sample that anyone can repeat.
+
+    Only the beginnings of the windows are read: ranges that should hold HEADROOM
+    times the rows at the table's mean density, as predicates on the key that reach
+    the scan.  Windows that turn out sparser are read on in ranges twice as long
+    until they have their rows or end."""
+    most = min(per_window, rows)
+    low, high, total = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
+    window = lambda w: F.lit(w).cast("bigint").alias("window")
     if low is None:
-        return df.withColumn("window", F.lit(0).cast("bigint")).where(F.lit(False))
+        return df.select("*", window(0)).where(F.lit(False))
     width = max(1, -(-(high - low + 1) // windows))
-    window = F.floor((F.col(order) - F.lit(low)) / width).cast("bigint")
+    reach = min(width, max(1, int(HEADROOM * most * (high - low + 1) / total) + 1))
+    starts = {w: low + w * width for w in range(windows) if low + w * width <= high}
+    number = F.floor((F.col(order) - F.lit(low)) / width).cast("bigint")
+
+    def inside(of, upto: int):
+        out = F.lit(False)
+        for w in of:
+            out = out | ((F.col(order) >= starts[w]) & (F.col(order) < starts[w] + min(upto, width)))
+        return out
+
+    ends = {}  # how far each window is read
+    open_ = list(starts)
+    while open_ and reach < width:
+        counted = df.where(inside(open_, reach)).groupBy(number.alias("window")).agg(F.count("*").alias("n")).collect()  # a row a window
+        full = {r.window for r in counted if r.n >= most}
+        ends |= {w: reach for w in open_ if w in full}
+        open_, reach = [w for w in open_ if w not in full], reach * 2
+    ends |= {w: width for w in open_}
+    read = F.lit(False)
+    for upto in set(ends.values()):
+        read = read | inside([w for w, e in ends.items() if e == upto], upto)
     rank = F.row_number().over(W.partitionBy("window").orderBy(order))
-    return df.withColumn("window", window).withColumn("rn", rank).where(F.col("rn") <= min(per_window, rows)).drop("rn")
+    return df.where(read).withColumn("window", number).withColumn("rn", rank).where(F.col("rn") <= most).drop("rn")
 
 
 def coverage(rows: Column, estimated: Column) -> Column:
@@ -72,12 +99,32 @@ def reservoir(changes: DataFrame, cap: int, salt: str = "") -> DataFrame:
     smallest hashes of their positions.  The same rows whatever the partitioning,
     and samples of parts merge into the sample of the whole.
 
-    The cap is the feature.  A first cut per relation and hash range keeps a
-    relation with most changes from meeting in one task."""
+    The cap is the feature.  A bound on the hash from the relation's count leaves
+    ``cap`` rows and eight standard deviations more to be ranked; a relation that it
+    should leave too few of is ranked whole."""
     tagged = changes.withColumn("h", F.md5(F.concat_ws("/", F.lit(salt), "end_lsn", "seq")))
-    part = W.partitionBy("relation", F.substring("h", 1, 2)).orderBy("h")
-    first = tagged.withColumn("rn", F.row_number().over(part)).where(F.col("rn") <= cap).drop("rn")
-    return first.withColumn("slot", F.row_number().over(W.partitionBy("relation").orderBy("h"))).where(F.col("slot") <= cap)
+    share = F.lit(cap + 8 * cap**0.5 + 16) / F.col("n")
+    bound = F.when(share >= 1, F.lit(1 << 60)).otherwise((share * (1 << 60)).cast("bigint"))
+    place = F.conv(F.substring("h", 1, 15), 16, 10).cast("bigint")
+    bounds = changes.groupBy("relation").agg(F.count("*").alias("n")).withColumn("bound", bound)
+    kept = tagged.join(bounds, "relation").withColumn("low", place < F.col("bound"))
+    few = kept.groupBy("relation").agg(F.count_if("low").alias("held"), F.any_value("n").alias("n")).where(F.col("held") < F.least(F.col("n"), F.lit(cap)))
+    few = [r.relation for r in few.select("relation").collect()]  # as good as never any
+    kept = kept.where(F.col("low") | F.col("relation").isin(few)) if few else kept.where("low")
+    ranked = kept.drop("n", "bound", "low").withColumn("slot", F.row_number().over(W.partitionBy("relation").orderBy("h")))
+    return ranked.where(F.col("slot") <= cap)
+
+
+def merge_reservoirs(stored: DataFrame, fresh: DataFrame, cap: int) -> DataFrame:
+    """The sample of everything seen, from the sample so far and that of new changes
+    (``relation, h`` and the changes' columns)."""
+    both = stored.drop("slot").unionByName(fresh.drop("slot"), allowMissingColumns=True)
+    return both.withColumn("slot", F.row_number().over(W.partitionBy("relation").orderBy("h"))).where(F.col("slot") <= cap)
+
+
+def upsert_slots(batches: DataFrame) -> DataFrame:
+    """The last key written to each slot; ``batch`` orders the writes."""
+    return batches.groupBy("relation", "slot").agg(F.max_by("k", "batch").alias("k"))
 
 
 def reservoir_counters(changes: DataFrame, cap: int) -> DataFrame:
@@ -89,3 +136,13 @@ def reservoir_counters(changes: DataFrame, cap: int) -> DataFrame:
 def key_budget(samples: DataFrame, budget: int) -> DataFrame:
     """The first keys over all leaves, in leaf and slot order."""
     return samples.orderBy("leaf", "slot").limit(budget)
+
+
+def total_pages(heaps: DataFrame) -> DataFrame:
+    """``table_name, pages, est_rows`` over a table's leaves; an empty leaf is one page."""
+    return heaps.groupBy("table_name").agg(F.sum(F.greatest("pages", F.lit(1))).alias("pages"), F.sum("est_rows").alias("est_rows"))
+
+
+def heaps_read(windows: DataFrame) -> DataFrame:
+    """``table_name, heaps``: how many heaps a table's sample windows read."""
+    return windows.groupBy("table_name").agg(F.countDistinct("leaf").alias("heaps"))

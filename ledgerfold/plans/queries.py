@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ledgerfold.functions import catalog as C
 from ledgerfold.functions import render as R
-from ledgerfold.operators import constraints, diff, fold, graph, parts, sampling
+from ledgerfold.operators import capabilities, constraints, diff, fold, graph, parts, sampling
+from ledgerfold.plans import control, preflight, verification
 from ledgerfold.plans import inputs as I
 
 QUERIES: dict = {}
@@ -55,8 +56,7 @@ def p4_table_filter_last_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT sha256('shop.*' || chr(10) || '!shop.*_old' || chr(10) || '!shop.tmp?' || chr(10) || 'shop.keep_old' || chr(10) || 'audit.[a-m]*' || chr(10) || '!audit.big/*') AS fingerprint, CAST(6 AS BIGINT) AS rules")
 def p5_filter_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = C.parse_filter(FILTER)
-    text = "\n".join(("" if i else "!") + p for _, p, i in rules)
-    return spark.range(1).select(F.sha2(F.lit(text), 256).alias("fingerprint"), F.lit(len(rules)).cast("bigint").alias("rules"))
+    return spark.createDataFrame([(C.filter_fingerprint(rules), len(rules))], "fingerprint string, rules bigint")
 
 
 INDEX_COLUMNS = "table_name VARCHAR, index_name VARCHAR, is_primary BOOLEAN, is_unique BOOLEAN, is_valid BOOLEAN, is_partial BOOLEAN, is_expression BOOLEAN, ord INT, column VARCHAR, not_null BOOLEAN"
@@ -171,7 +171,7 @@ PARTS = [(0, "a", 5), (1, "b", 50), (2, "c", 5), (3, "d", 500), (4, "e", 50)]
 
 @query(f"WITH {I.values('p', PART_COLUMNS, PARTS)} SELECT part_id, bytes, row_number() OVER (ORDER BY bytes DESC, ordinal) AS turn FROM p")
 def w8_largest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.frame(spark, PART_COLUMNS, PARTS).select("part_id", "bytes", F.row_number().over(W.orderBy(F.desc("bytes"), "ordinal")).cast("bigint").alias("turn"))
+    return parts.schedule(I.frame(spark, PART_COLUMNS, PARTS)).select("part_id", "bytes", "turn")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 5000")
@@ -196,9 +196,8 @@ def f1_row_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH r AS (SELECT {I.customer_digest_sql()} AS d FROM customer), e AS (SELECT d, count(*) AS n FROM r GROUP BY d),
-p AS (SELECT CAST('0x' || d[1:4] AS BIGINT) % 256 AS b, md5(string_agg(d || '*' || n, '' ORDER BY d || '*' || n)) AS part FROM e GROUP BY 1)
-SELECT md5(string_agg(part, '' ORDER BY part)) AS digest FROM p""")
+WITH r AS (SELECT {I.customer_digest_sql()} AS d FROM customer)
+SELECT md5(count(*) || ',' || sum(CAST('0x' || d[1:11] AS BIGINT)) || ',' || sum(CAST('0x' || d[12:22] AS BIGINT)) || ',' || sum(CAST('0x' || d[23:32] AS BIGINT))) AS digest FROM r""")
 def a12_table_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.table_digest(I.table(spark, sf_dir, "customer"), I.CUSTOMER)
 
@@ -245,10 +244,8 @@ SIDES = [("source", "id"), ("source", "note"), ("source", "legacy"), ("target",
        "FROM (SELECT name FROM m WHERE side = 'source') s FULL JOIN (SELECT name FROM m WHERE side = 'target') t ON s.name = t.name WHERE s.name IS NULL OR t.name IS NULL")
 def j5_column_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns that only one side has; any is a divergence."""
-    m = I.frame(spark, MAP_COLUMNS, SIDES)
-    s = m.where("side = 'source'").select(F.col("column").alias("name"), F.lit(True).alias("s"))
-    t = m.where("side = 'target'").select(F.col("column").alias("name"), F.lit(True).alias("t"))
-    return s.join(t, "name", "full_outer").select("name", F.col("s").isNotNull().alias("in_source"), F.col("t").isNotNull().alias("in_target")).where("NOT (in_source AND in_target)")
+    m = I.frame(spark, MAP_COLUMNS, SIDES).withColumnRenamed("column", "name")
+    return capabilities.one_sided_columns(m.where("side = 'source'"), m.where("side = 'target'"))
 
 
 # --- sampling ----------------------------------------------------------------------
@@ -297,7 +294,7 @@ def a5_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {I.values('h0', HEAP_COLUMNS, HEAPS)} SELECT table_name, CAST(sum(greatest(pages, 1)) AS BIGINT) AS pages, CAST(sum(est_rows) AS BIGINT) AS est_rows FROM h0 GROUP BY 1")
 def a3_total_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.frame(spark, HEAP_COLUMNS, HEAPS).groupBy("table_name").agg(F.sum(F.greatest("pages", F.lit(1))).alias("pages"), F.sum("est_rows").alias("est_rows"))
+    return sampling.total_pages(I.frame(spark, HEAP_COLUMNS, HEAPS))
 
 
 # --- change log ----------------------------------------------------------------------
@@ -363,20 +360,37 @@ def c4_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.runs(I.multi_changes(spark, sf_dir), ["relation"]).withColumn("run", F.col("run").cast("bigint"))
 
 
-LINE = "l_orderkey || ',' || l_partkey || ',' || l_suppkey || ',' || l_linenumber || ',' || l_returnflag || ',' || l_linestatus"
+LINEITEM = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
 
-@query(f"""WITH l AS (SELECT md5({LINE}) AS digest, l_orderkey AS k FROM lineitem), b AS (SELECT digest, count(*) AS n FROM l GROUP BY 1),
-c AS (SELECT digest, 'D' AS kind FROM l WHERE k % 50 = 0 UNION ALL SELECT digest, 'I' FROM l WHERE k % 70 = 0),
-m AS (SELECT digest, sum(CASE kind WHEN 'I' THEN 1 ELSE -1 END) AS d FROM c GROUP BY 1)
-SELECT b.digest, CAST(n + coalesce(d, 0) AS BIGINT) AS copies FROM b LEFT JOIN m ON m.digest = b.digest WHERE n + coalesce(d, 0) > 0""")
+MONEY = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+def _line(c: str) -> str:
+    if c in MONEY:
+        return I.esc(f"CAST(CAST({c} AS DECIMAL(30,6)) AS VARCHAR)")
+    return I.esc(f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')" if c == "l_shipdate" else f"CAST({c} AS VARCHAR)")
+
+
+@query(f"""WITH l AS (SELECT md5(concat_ws(chr(31), {', '.join(map(_line, LINEITEM))})) AS digest, l_orderkey AS k FROM lineitem), b AS (SELECT digest, count(*) AS n FROM l GROUP BY 1),
+c AS (SELECT digest, k * 2 AS pos, 'D' AS kind FROM l WHERE k % 50 = 0 UNION ALL SELECT digest, k * 2 + 1, 'I' FROM l WHERE k % 70 = 0),
+m AS (SELECT digest, sum(CASE kind WHEN 'I' THEN 1 ELSE -1 END) AS d FROM c GROUP BY 1),
+r AS (SELECT c.digest, c.kind, coalesce(n, 0) + coalesce(sum(CASE c.kind WHEN 'I' THEN 1 ELSE -1 END) OVER (PARTITION BY c.digest ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS found
+  FROM c LEFT JOIN b ON b.digest = c.digest),
+v AS (SELECT digest, count(*) AS violations FROM r WHERE kind = 'D' AND found <> 1 GROUP BY 1)
+SELECT digest, CAST(greatest(coalesce(n, 0) + coalesce(d, 0), 0) AS BIGINT) AS copies, coalesce(violations, 0) AS violations
+FROM b FULL JOIN m USING (digest) LEFT JOIN v USING (digest) WHERE coalesce(n, 0) + coalesce(d, 0) > 0 OR violations > 0""")
 def c12_full_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A keyless table: rows known as a whole, counted copies."""
-    cols = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"]
-    base = I.table(spark, sf_dir, "lineitem").select(F.md5(F.concat_ws(",", *cols)).alias("digest"), F.col("l_orderkey").alias("end_lsn"), F.lit(0).alias("seq"))
-    gone = base.where("end_lsn % 50 = 0").withColumn("kind", F.lit("D"))
-    more = base.where("end_lsn % 70 = 0").withColumn("kind", F.lit("I"))
-    return fold.full_identity(base, gone.unionByName(more))[0].select("digest", F.col("copies").cast("bigint").alias("copies"))
+    """A keyless table: rows known by all their columns, counted copies, and the
+    deletes that do not find exactly one row."""
+    lines = I.table(spark, sf_dir, "lineitem")
+    base = lines.select(R.row_digest(lines.schema, list(LINEITEM)).alias("digest"), (F.col("l_orderkey") * 2).alias("end_lsn"), F.lit(0).alias("seq"))
+    gone = base.where("end_lsn % 100 = 0").withColumn("kind", F.lit("D"))
+    more = base.where("end_lsn % 140 = 0").withColumn("kind", F.lit("I")).withColumn("end_lsn", F.col("end_lsn") + 1)
+    after, bad = fold.full_identity(base, gone.unionByName(more))
+    count = bad.groupBy("digest").agg(F.count("*").alias("violations"))
+    return after.join(count, "digest", "full_outer").select(
+        "digest", F.coalesce("copies", F.lit(0)).cast("bigint").alias("copies"), F.coalesce("violations", F.lit(0)).alias("violations"))
 
 
 @query("SELECT event_id * 8 + 8 AS end_lsn, (row_number() OVER (ORDER BY event_id) - 1) // 500 AS batch FROM events")
@@ -452,8 +466,8 @@ ORDINALS = [(0, 1), (1, 1), (2, 1), (2, 1), (4, 1)]
 @query(f"WITH {I.values('o', ORDINAL_COLUMNS, ORDINALS)} SELECT r.i AS ordinal, count(o.ordinal) AS n FROM range(5) r(i) LEFT JOIN o ON o.ordinal = r.i GROUP BY 1 HAVING count(o.ordinal) <> 1")
 def j3_ordinal_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch rows that did not affect exactly one target row."""
-    got = I.frame(spark, ORDINAL_COLUMNS, ORDINALS).groupBy(F.col("ordinal").cast("bigint").alias("ordinal")).agg(F.count("*").alias("n"))
-    return spark.range(5).select(F.col("id").alias("ordinal")).join(got, "ordinal", "left").select("ordinal", F.coalesce("n", F.lit(0)).alias("n")).where("n <> 1")
+    affected = I.frame(spark, ORDINAL_COLUMNS, ORDINALS).select(F.col("ordinal").cast("bigint").alias("ordinal"))
+    return capabilities.wrong_ordinals(affected, spark.range(5).select(F.col("id").alias("ordinal")))
 
 
 # --- constraints -----------------------------------------------------------------------
@@ -503,10 +517,8 @@ def r3_dependency_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {I.values('d', DEP_COLUMNS, DEPS)} SELECT DISTINCT source AS owner, target AS sequence FROM d WHERE target IN ('seq') AND source IN ('orders', 'enum')")
 def r4_sequence_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences that selected tables own or default to."""
-    deps = I.frame(spark, DEP_COLUMNS, DEPS)
-    selected = spark.createDataFrame([("orders",), ("enum",)], "source string")
-    sequences = spark.createDataFrame([("seq",)], "target string")
-    return deps.join(selected, "source", "left_semi").join(sequences, "target", "left_semi").select(F.col("source").alias("owner"), F.col("target").alias("sequence")).distinct()
+    name = lambda *names: spark.createDataFrame([(n,) for n in names], "name string")
+    return graph.sequence_owners(I.frame(spark, DEP_COLUMNS, DEPS), name("orders", "enum"), name("seq"))
 
 
 # --- scalars -------------------------------------------------------------------------
@@ -573,17 +585,14 @@ OFFSET, WARN = 1000, 1_000_000
 SELECT name, room, CASE WHEN room < {OFFSET} THEN 'error' WHEN room < {WARN} THEN 'warning' ELSE 'ok' END AS severity FROM h""")
 def f8_headroom(spark: SparkSession, sf_dir: str) -> DataFrame:
     room = R.headroom(F.col("current"), F.col("low"), F.col("high"), F.col("increment"))
-    return I.frame(spark, SEQ_COLUMNS, SEQS).withColumn("room", room).select("name", "room", F.when(F.col("room") < OFFSET, "error").when(F.col("room") < WARN, "warning").otherwise("ok").alias("severity"))
+    return I.frame(spark, SEQ_COLUMNS, SEQS).withColumn("room", room).select("name", "room", preflight.sequence_severity(F.col("room"), OFFSET, WARN).alias("severity"))
 
 
 @query(f"""WITH {I.values('s', SEQ_COLUMNS, SEQS)}, v AS (SELECT name, current, CAST(current::HUGEINT + CASE WHEN increment < 0 THEN -{OFFSET} ELSE {OFFSET} END AS DECIMAL(20,0)) AS target FROM s)
 SELECT name, current, target, target > 9223372036854775807 OR target < -9223372036854775808 AS overflows FROM v""")
 def g15_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Absolute target values, ahead by the offset in the sequence's own direction."""
-    target = (F.col("current").cast("decimal(20,0)") + F.when(F.col("increment") < 0, -OFFSET).otherwise(OFFSET)).cast("decimal(20,0)")
-    wide = lambda v: F.lit(v).cast("decimal(20,0)")
-    out = I.frame(spark, SEQ_COLUMNS, SEQS).withColumn("target", target)
-    return out.select("name", "current", "target", ((F.col("target") > wide("9223372036854775807")) | (F.col("target") < wide("-9223372036854775808"))).alias("overflows"))
+    return preflight.sequence_targets(I.frame(spark, SEQ_COLUMNS, SEQS), OFFSET).select("name", "current", "target", "overflows")
 
 
 COUNT_COLUMNS = "n BIGINT, shown VARCHAR"
@@ -611,9 +620,8 @@ ERRS = [(1, "23505", "duplicate key"), (2, "", "broken pipe"), (3, None, "broken
 @query(f"WITH {I.values('e', ERR_COLUMNS, ERRS)} SELECT i, CASE WHEN coalesce(sqlstate, '') <> '' THEN sqlstate ELSE sha256(message) END AS signature, "
        "coalesce(sqlstate, '') LIKE '08%' OR coalesce(sqlstate, '') IN ('57P01', '57P02', '57P03') AS reconnect FROM e")
 def f14_c14_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = F.coalesce("sqlstate", F.lit(""))
     return I.frame(spark, ERR_COLUMNS, ERRS).select(
-        "i", R.failure_signature(F.col("sqlstate"), F.col("message")).alias("signature"), (state.startswith("08") | state.isin("57P01", "57P02", "57P03")).alias("reconnect"))
+        "i", R.failure_signature(F.col("sqlstate"), F.col("message")).alias("signature"), R.connection_lost(F.col("sqlstate")).alias("reconnect"))
 
 
 COLL_COLUMNS = "name VARCHAR, sp VARCHAR, sl VARCHAR, sv VARCHAR, tp VARCHAR, tl VARCHAR, tv VARCHAR"
@@ -624,9 +632,7 @@ COLLS = [("same", "icu", "en-us", "153.1", "icu", "en-us", "153.1"), ("version",
 @query(f"WITH {I.values('c', COLL_COLUMNS, COLLS)} SELECT name, sp <> tp AS provider, lower(sl) <> lower(tl) AS locale, lower(sl) = lower(tl) AND sv <> tv AND sv <> '' AND tv <> '' AS version FROM c")
 def g4_collation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of difference; a version counts only between equal locales."""
-    same = R.canonical_locale(F.col("sl")) == R.canonical_locale(F.col("tl"))
-    return I.frame(spark, COLL_COLUMNS, COLLS).select(
-        "name", (F.col("sp") != F.col("tp")).alias("provider"), (~same).alias("locale"), (same & (F.col("sv") != F.col("tv")) & (F.col("sv") != "") & (F.col("tv") != "")).alias("version"))
+    return preflight.collation_differences(I.frame(spark, COLL_COLUMNS, COLLS))
 
 
 WAL_COLUMNS = "i INT, retained BIGINT, slot_limit BIGINT, max_wal BIGINT, directory BIGINT"
@@ -636,8 +642,7 @@ GROWTH = 3
 
 @query(f"WITH {I.values('w', WAL_COLUMNS, WALS)} SELECT i, CASE WHEN slot_limit >= 0 THEN retained >= slot_limit WHEN max_wal <= 0 OR retained <= max_wal THEN false WHEN directory < 0 THEN retained >= {GROWTH} * max_wal ELSE directory >= {GROWTH} * max_wal END AS alarm FROM w")
 def g16_wal_alarm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r, limit, size, held = (F.col(c) for c in ("retained", "slot_limit", "max_wal", "directory"))
-    alarm = F.when(limit >= 0, r >= limit).when((size <= 0) | (r <= size), False).when(held < 0, r >= GROWTH * size).otherwise(held >= GROWTH * size)
+    alarm = preflight.log_alarm(*(F.col(c) for c in ("retained", "slot_limit", "max_wal", "directory")))
     return I.frame(spark, WAL_COLUMNS, WALS).select("i", alarm.alias("alarm"))
 
 
@@ -647,7 +652,7 @@ RETENTIONS = [(1, 1000000, 5000.0, 10.0, 3600.0), (2, 1000000, 100.0, 10.0, 3600
 
 @query(f"WITH {I.values('r', RETENTION_COLUMNS, RETENTIONS)} SELECT i, CAST(floor(generated / sample_s * keep_s) AS BIGINT) AS required, CAST(floor(generated / sample_s * keep_s) AS BIGINT) > limit_bytes AS warns FROM r")
 def g3_wal_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    need = F.floor(F.col("generated") / F.col("sample_s") * F.col("keep_s")).cast("bigint")
+    need = preflight.required_log(F.col("generated"), F.col("sample_s"), F.col("keep_s"))
     return I.frame(spark, RETENTION_COLUMNS, RETENTIONS).select("i", need.alias("required"), (need > F.col("limit_bytes")).alias("warns"))
 
 
@@ -661,9 +666,11 @@ SEGMENTS = [("s1", 0, 100, T_), ("s2", 100, 200, T_), ("s3", 200, 300, T_), ("s4
        "SELECT name, start_lsn FROM e WHERE newest > 1 AND oldest <= 128")
 def k7_prune_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finalized segments wholly applied, but the newest of them, at most 128 a pass."""
-    ready = I.frame(spark, SEGMENT_COLUMNS, SEGMENTS).where("finalized AND last_end < 400")
-    ranked = ready.withColumn("newest", F.row_number().over(W.orderBy(F.desc("start_lsn")))).withColumn("oldest", F.row_number().over(W.orderBy("start_lsn")))
-    return ranked.where("newest > 1 AND oldest <= 128").select("name", "start_lsn")
+    from ledgerfold.sources.segments import prunable
+
+    rows = I.frame(spark, SEGMENT_COLUMNS, SEGMENTS).collect()
+    gone = prunable([(r.name, r.start_lsn, not r.finalized) for r in rows], {r.name: r.last_end for r in rows}, 400)
+    return spark.createDataFrame([(r.name, r.start_lsn) for r in rows if r.name in gone], "name string, start_lsn bigint")
 
 
 LAG_COLUMNS = "stream VARCHAR, staged VARCHAR, applied VARCHAR"
@@ -683,11 +690,11 @@ ATTEMPTS = [(1, "a"), (2, "a"), (3, "b"), (4, "a"), (5, "a"), (6, "a")]
 @query(f"WITH {I.values('a', ATTEMPT_COLUMNS, ATTEMPTS)}, g AS (SELECT *, sum(CASE WHEN p IS DISTINCT FROM signature THEN 1 ELSE 0 END) OVER (ORDER BY n) AS island FROM (SELECT *, lag(signature) OVER (ORDER BY n) AS p FROM a)) "
        "SELECT n, signature, row_number() OVER (PARTITION BY island ORDER BY n) AS streak, row_number() OVER (PARTITION BY island ORDER BY n) >= 2 AS blocked FROM g")
 def a11_failure_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = W.orderBy("n")
-    island = I.frame(spark, ATTEMPT_COLUMNS, ATTEMPTS).withColumn("p", F.lag("signature").over(w)).withColumn(
-        "island", F.sum(F.when(F.col("p").eqNullSafe(F.col("signature")), 0).otherwise(1)).over(w))
-    streak = F.row_number().over(W.partitionBy("island").orderBy("n")).cast("bigint")
-    return island.select("n", "signature", streak.alias("streak"), (streak >= 2).alias("blocked"))
+    """How often each failure came in a row, recorded in the control state."""
+    control_ = control.ControlStore(I.work_folder(spark, "control"))
+    rows = I.frame(spark, ATTEMPT_COLUMNS, ATTEMPTS).orderBy("n").collect()
+    seen = [(r.n, r.signature, control_.record_failure(r.signature, "")) for r in rows]
+    return spark.createDataFrame([(*x, x[2] >= control.REPEATS) for x in seen], "n int, signature string, streak bigint, blocked boolean")
 
 
 RATE_COLUMNS = "n INT, rows BIGINT, seconds DOUBLE"
@@ -698,9 +705,7 @@ RATES = [(1, 1000, 2.0), (2, 3000, 2.0), (3, 500, 1.0), (4, 8000, 4.0)]
        "SELECT round(rate, 6) AS rate, round(10000 / rate, 6) AS eta_s FROM e ORDER BY n DESC LIMIT 1")
 def a9_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smoothed throughput and the time left, folded in order."""
-    ordered = I.frame(spark, RATE_COLUMNS, RATES).agg(F.array_sort(F.collect_list(F.struct("n", (F.col("rows") / F.col("seconds")).alias("rate")))).alias("xs"))
-    rate = F.aggregate(F.slice("xs", 2, 1 << 30), F.element_at("xs", 1)["rate"], lambda acc, x: acc + 0.3 * (x["rate"] - acc))
-    return ordered.select(rate.alias("rate")).select(F.round("rate", 6).alias("rate"), F.round(F.lit(10000) / F.col("rate"), 6).alias("eta_s"))
+    return verification.smoothed_rate(I.frame(spark, RATE_COLUMNS, RATES), 10_000)
 
 
 STATUS_COLUMNS = "kind VARCHAR, completed BOOLEAN"
@@ -709,7 +714,7 @@ STATUSES = [("part", T_), ("part", T_), ("part", N_), ("index", T_), ("constrain
 
 @query(f"WITH {I.values('s', STATUS_COLUMNS, STATUSES)} SELECT kind, count(CASE WHEN completed THEN 1 END) AS done, count(*) AS total FROM s GROUP BY kind")
 def a1_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.frame(spark, STATUS_COLUMNS, STATUSES).groupBy("kind").agg(F.count_if("completed").alias("done"), F.count("*").alias("total"))
+    return control.status_counts(I.frame(spark, STATUS_COLUMNS, STATUSES))
 
 
 # --- streaming --------------------------------------------------------------------------
@@ -717,7 +722,7 @@ def a1_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(FOLD_SQL)
 def y_stream_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The change log as a file stream, applied in four micro-batches with
+    """The change log as a file stream that grows, applied in micro-batches with
     exactly-once commits; the state must equal that of ``c2_fold_state``."""
     from ledgerfold.plans.versioned import VersionedStore
     from ledgerfold.streaming.apply import change_stream, follow
@@ -725,11 +730,10 @@ def y_stream_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = I.work_folder(spark, "stream")
     log = I.changes(spark, sf_dir)
     span = log.agg(F.max("end_lsn")).first()[0] + 1
-    for i in range(4):
-        log.where((F.col("end_lsn") >= span * i // 4) & (F.col("end_lsn") < span * (i + 1) // 4)).coalesce(1).write.mode("append").parquet(f"{folder}/log")
     store = VersionedStore(spark, f"{folder}/store")
-    store.commit(store.manifest(), {"customer": store.stage("customer", I.snapshot(spark, sf_dir))})
-    stream = change_stream(spark, f"{folder}/log", log.schema, max_files=1)
+    store.commit(store.manifest(), {"customer": store.stage_buckets("customer", I.snapshot(spark, sf_dir), ["c_custkey"], 8)})
     keys, cols = {"customer": ["c_custkey"]}, {"customer": ["c_acctbal", "c_mktsegment"]}
-    follow(stream, store, keys, cols, "g1", f"{folder}/checkpoint").awaitTermination()
+    for i in range(4):  # the log grows, and the stream is started again from its checkpoint
+        log.where((F.col("end_lsn") >= span * i // 4) & (F.col("end_lsn") < span * (i + 1) // 4)).write.mode("append").parquet(f"{folder}/log")
+        follow(change_stream(spark, f"{folder}/log", log.schema), store, keys, cols, "g1", f"{folder}/checkpoint").awaitTermination()
     return store.read("customer").select("c_custkey", "c_acctbal", "c_mktsegment")

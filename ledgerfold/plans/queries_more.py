@@ -8,10 +8,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+from ledgerfold.functions import catalog
 from ledgerfold.functions import render as R
-from ledgerfold.operators import diff, fold, graph, parts, sampling
+from ledgerfold.operators import capabilities, diff, fold, graph, parts, sampling
+from ledgerfold.plans import control, preflight, verification
 from ledgerfold.plans import inputs as I
-from ledgerfold.plans.queries import FINDING_COLUMNS, FINDINGS, N_, T_, query
+from ledgerfold.plans.queries import BUDGET, BUDGET_SQL, FINDING_COLUMNS, FINDINGS, HEAP_COLUMNS, HEAPS, N_, T_, WINDOWS, query
+from ledgerfold.sources import changes
 
 # --- projections and predicates ---------------------------------------------------
 
@@ -22,9 +25,7 @@ COLUMNS = [("items", 1, "id", N_), ("items", 2, "note", N_), ("items", 3, "note_
 @query(f"WITH {I.values('c', COLUMN_COLUMNS, COLUMNS)} SELECT table_name, coalesce(string_agg(CASE WHEN NOT generated THEN name END, ',' ORDER BY ord), '') AS columns, count(CASE WHEN NOT generated THEN 1 END) = 0 AS generated_only FROM c GROUP BY 1")
 def p1_column_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated columns are never copied or applied."""
-    own = F.filter(F.array_sort(F.collect_list(F.struct("ord", "name", "generated"))), lambda x: ~x["generated"])
-    return I.frame(spark, COLUMN_COLUMNS, COLUMNS).groupBy("table_name").agg(own.alias("own")).select(
-        "table_name", F.array_join(F.transform("own", lambda x: x["name"]), ",").alias("columns"), (F.size("own") == 0).alias("generated_only"))
+    return changes.writable_columns(I.frame(spark, COLUMN_COLUMNS, COLUMNS)).select("table_name", F.array_join("columns", ",").alias("columns"), "generated_only")
 
 
 @query("SELECT '[\"' || n_nationkey || '\"]' AS key, md5(CAST(n_nationkey AS VARCHAR) || chr(31) || n_name || chr(31) || n_regionkey) AS digest FROM nation")
@@ -40,7 +41,7 @@ LEFT, RIGHT = [(1, "x", None), (2, "", "y"), (3, None, None), (4, "q", "r")], [(
 def p9_identity_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows found by all their columns, null-safe; empty is not null."""
     left, right = I.frame(spark, ROW_COLUMNS, LEFT).alias("l"), I.frame(spark, ROW_COLUMNS, RIGHT).alias("r")
-    return left.join(right, F.col("l.a").eqNullSafe(F.col("r.a")) & F.col("l.b").eqNullSafe(F.col("r.b"))).select(F.col("l.id").alias("id"), F.col("r.id").alias("found"))
+    return left.join(right, capabilities.same_row("l", "r", ["a", "b"])).select(F.col("l.id").alias("id"), F.col("r.id").alias("found"))
 
 
 SET_COLUMNS = "change INT, name VARCHAR, is_key BOOLEAN, cell VARCHAR, changed BOOLEAN"
@@ -50,8 +51,7 @@ SETS = [(1, "id", T_, "t", N_), (1, "note", N_, "u", N_), (1, "qty", N_, "t", T_
 @query(f"WITH {I.values('s', SET_COLUMNS, SETS)} SELECT change, coalesce(string_agg(CASE WHEN cell <> 'u' AND NOT (is_key AND NOT changed) THEN name END, ',' ORDER BY name), '') AS set_list FROM s GROUP BY 1")
 def p10_set_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns an update sets: no unchanged cells, no unchanged key columns."""
-    keep = (F.col("cell") != "u") & ~(F.col("is_key") & ~F.col("changed"))
-    return I.frame(spark, SET_COLUMNS, SETS).groupBy("change").agg(F.array_join(F.array_sort(F.collect_list(F.when(keep, F.col("name")))), ",").alias("set_list"))
+    return changes.set_list(I.frame(spark, SET_COLUMNS, SETS)).select("change", F.array_join("columns", ",").alias("set_list"))
 
 
 ENTRY_COLUMNS = "line VARCHAR, dump_id BIGINT, kind VARCHAR, phase VARCHAR"
@@ -76,8 +76,7 @@ MESSAGES = [(10, "cut", N_), (20, "cut", T_), (30, "other", N_), (40, "cut", N_)
 @query(f"WITH {I.values('m', MESSAGE_COLUMNS, MESSAGES)} SELECT lsn AS commit_lsn, lsn AS end_lsn, CAST(0 AS BIGINT) AS changes FROM m WHERE prefix = 'cut' AND NOT transactional")
 def p12_boundary_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boundary messages are empty transactions at their position."""
-    return I.frame(spark, MESSAGE_COLUMNS, MESSAGES).where((F.col("prefix") == "cut") & ~F.col("transactional")).select(
-        F.col("lsn").alias("commit_lsn"), F.col("lsn").alias("end_lsn"), F.lit(0).cast("bigint").alias("changes"))
+    return changes.boundary_transactions(I.frame(spark, MESSAGE_COLUMNS, MESSAGES), "cut")
 
 
 # --- joins on catalogues ---------------------------------------------------------------
@@ -87,7 +86,7 @@ def p12_boundary_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j4_unknown_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes whose relation is not announced: each is a divergence."""
     known = spark.createDataFrame([("click",), ("view",)], "relation string")
-    return I.multi_changes(spark, sf_dir).join(F.broadcast(known), "relation", "left_anti").groupBy("relation").agg(F.count("*").alias("n"))
+    return changes.unknown_relations(I.multi_changes(spark, sf_dir), known).groupBy("relation").agg(F.count("*").alias("n"))
 
 
 PROGRESS_COLUMNS = "name VARCHAR, done BIGINT"
@@ -98,13 +97,13 @@ STOCK = [("orders", 40), ("items", 7)]
 
 @query(f"WITH {I.values('s', STOCK_COLUMNS, STOCK)}, {I.values('p', PROGRESS_COLUMNS, PROGRESS)} SELECT s.name, total, coalesce(done, 0) AS done FROM s LEFT JOIN p ON p.name = s.name")
 def j6_status_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.frame(spark, STOCK_COLUMNS, STOCK).join(I.frame(spark, PROGRESS_COLUMNS, PROGRESS), "name", "left").select("name", "total", F.coalesce("done", F.lit(0)).alias("done"))
+    return control.progress_of(I.frame(spark, STOCK_COLUMNS, STOCK), I.frame(spark, PROGRESS_COLUMNS, PROGRESS))
 
 
 @query(f"WITH {I.values('s', STOCK_COLUMNS, STOCK)}, {I.values('p', PROGRESS_COLUMNS, PROGRESS)} SELECT name, done FROM p WHERE name IN (SELECT name FROM s)")
 def j8_recorded_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded relations that still exist."""
-    return I.frame(spark, PROGRESS_COLUMNS, PROGRESS).join(I.frame(spark, STOCK_COLUMNS, STOCK), "name", "left_semi")
+    return control.still_there(I.frame(spark, PROGRESS_COLUMNS, PROGRESS), I.frame(spark, STOCK_COLUMNS, STOCK))
 
 
 COVER_COLUMNS = "relation VARCHAR, have VARCHAR, need VARCHAR"
@@ -114,7 +113,7 @@ COVERS = [("a", "id,day", "id"), ("b", "id", "id,day"), ("c", "x,y", "y,x")]
 @query(f"WITH {I.values('c', COVER_COLUMNS, COVERS)} SELECT relation, len(list_filter(string_split(need, ','), lambda x: NOT list_contains(string_split(have, ','), x))) = 0 AS usable FROM c")
 def j9_key_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A recorded key serves a verification key if it has all its columns."""
-    return I.frame(spark, COVER_COLUMNS, COVERS).select("relation", (F.size(F.array_except(F.split("need", ","), F.split("have", ","))) == 0).alias("usable"))
+    return I.frame(spark, COVER_COLUMNS, COVERS).select("relation", capabilities.key_covers(F.split("have", ","), F.split("need", ",")).alias("usable"))
 
 
 # --- aggregates ------------------------------------------------------------------------
@@ -125,13 +124,17 @@ RUNS = [("a", T_, T_, None), ("b", T_, T_, "b was not compared"), ("c", N_, T_,
 
 @query(f"WITH {I.values('r', RUN_COLUMNS, RUNS)} SELECT bool_and(converged) AS converged, bool_and(complete) AS complete, string_agg(DISTINCT warning, ';') AS warnings FROM r")
 def a4_run_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.frame(spark, RUN_COLUMNS, RUNS).agg(
-        F.bool_and("converged").alias("converged"), F.bool_and("complete").alias("complete"), F.array_join(F.array_sort(F.collect_set("warning")), ";").alias("warnings"))
+    """A run is as good as its worst table; what was warned of is told once."""
+    rows = I.frame(spark, RUN_COLUMNS, RUNS).collect()
+    summary = verification.roll_up([verification.TableResult(r.table_name, converged=r.converged, complete=r.complete, warnings=[r.warning] if r.warning else []) for r in rows])
+    return spark.createDataFrame([(summary["converged"], summary["complete"], ";".join(summary["warnings"]))], "converged boolean, complete boolean, warnings string")
 
 
-@query("SELECT c_mktsegment, count(DISTINCT c_nationkey) AS heaps FROM customer GROUP BY 1")
+@query(f"""WITH {I.values('h0', HEAP_COLUMNS, HEAPS)}, {BUDGET_SQL} SELECT table_name, count(DISTINCT leaf) AS heaps FROM h GROUP BY 1""")
 def a8_distinct_heaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.countDistinct("c_nationkey").alias("heaps"))
+    """Heaps that the sample windows of each table read."""
+    windows = sampling.sample_windows(sampling.leaf_budgets(I.frame(spark, HEAP_COLUMNS, HEAPS), BUDGET), WINDOWS)
+    return sampling.heaps_read(windows)
 
 
 # --- apply rules -----------------------------------------------------------------------
@@ -143,10 +146,7 @@ CAPS = [("plain", "r", N_, 0, 0, 0, 0, 0), ("view", "v", N_, 0, 0, 0, 0, 0), ("r
 @query(f"WITH {I.values('c', CAP_COLUMNS, CAPS)} SELECT relation, kind = 'r' AND NOT rls AND triggers = 0 AND checks = 0 AND generated = 0 AND partial = 0 AND custom = 0 AS foldable FROM c")
 def c5_capability_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations whose changes may be regrouped; the others are ordered barriers."""
-    plain = (F.col("kind") == "r") & ~F.col("rls")
-    for c in ("triggers", "checks", "generated", "partial", "custom"):
-        plain = plain & (F.col(c) == 0)
-    return I.frame(spark, CAP_COLUMNS, CAPS).select("relation", plain.alias("foldable"))
+    return capabilities.foldable(I.frame(spark, CAP_COLUMNS, CAPS))
 
 
 TUPLE_COLUMNS = "change INT, kind VARCHAR, old_key BIGINT, new_key BIGINT"
@@ -156,8 +156,8 @@ TUPLES = [(1, "I", None, 5), (2, "U", None, 5), (3, "U", 5, 6), (4, "D", 6, None
 @query(f"WITH {I.values('t', TUPLE_COLUMNS, TUPLES)} SELECT change, CASE kind WHEN 'U' THEN coalesce(old_key, new_key) WHEN 'D' THEN old_key END AS where_key, coalesce(new_key, old_key) AS sampled_key FROM t")
 def c10_v7_predicate_and_sample_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The key that a change is found by, and the one that is sampled for it."""
-    where = F.when(F.col("kind") == "U", F.coalesce("old_key", "new_key")).when(F.col("kind") == "D", F.col("old_key"))
-    return I.frame(spark, TUPLE_COLUMNS, TUPLES).select("change", where.alias("where_key"), F.coalesce("new_key", "old_key").alias("sampled_key"))
+    old, new = F.col("old_key"), F.col("new_key")
+    return I.frame(spark, TUPLE_COLUMNS, TUPLES).select("change", changes.where_key(F.col("kind"), old, new).alias("where_key"), changes.sampled_key(old, new).alias("sampled_key"))
 
 
 @query("""SELECT CASE WHEN c_custkey % 10 = 0 THEN c_custkey + 10000000 ELSE c_custkey END AS c_custkey, CASE WHEN c_custkey % 10 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer""")
@@ -177,7 +177,10 @@ GUARDS = [(None, "g1", N_), ("g1", "g1", T_), ("g1", "g2", T_), (None, "g1", T_)
 @query(f"WITH {I.values('g', GUARD_COLUMNS, GUARDS)} SELECT stored, given, copied, CASE WHEN stored IS NULL THEN copied ELSE stored <> given END AS fatal FROM g")
 def c19_generation_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Progress of another stream, or none after a finished copy, is fatal."""
-    return I.frame(spark, GUARD_COLUMNS, GUARDS).withColumn("fatal", F.when(F.col("stored").isNull(), F.col("copied")).otherwise(F.col("stored") != F.col("given")))
+    from ledgerfold.plans.versioned import generation_fatal
+
+    rows = I.frame(spark, GUARD_COLUMNS, GUARDS).collect()
+    return spark.createDataFrame([(*r, generation_fatal(r.stored, r.given, r.copied)) for r in rows], "stored string, given string, copied boolean, fatal boolean")
 
 
 INDEX_COLUMNS = "name VARCHAR, columns VARCHAR"
@@ -186,7 +189,7 @@ INDEXES = [("a", "id,day"), ("b", "x")]
 
 @query(f"WITH {I.values('i', INDEX_COLUMNS, INDEXES)} SELECT name, o AS ord, string_split(columns, ',')[o] AS col FROM i, unnest(generate_series(1, len(string_split(columns, ',')))) AS g(o)")
 def w10_ordinality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.frame(spark, INDEX_COLUMNS, INDEXES).select("name", F.posexplode(F.split("columns", ",")).alias("p", "col")).select("name", (F.col("p") + 1).cast("bigint").alias("ord"), "col")
+    return catalog.index_columns(I.frame(spark, INDEX_COLUMNS, INDEXES))
 
 
 @query(f"WITH {I.values('f', FINDING_COLUMNS, FINDINGS)} SELECT id, severity, row_number() OVER (ORDER BY id) AS turn FROM f UNION ALL SELECT 'zz', 'info', (SELECT count(*) FROM f) + 1")
@@ -203,7 +206,17 @@ FILES = [("c", 30, T_), ("a", 10, N_), ("b", 30, N_)]
 
 @query(f"WITH {I.values('f', FILE_COLUMNS, FILES)} SELECT name, row_number() OVER (ORDER BY start_lsn, partial) AS turn FROM f")
 def t6_segment_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.frame(spark, FILE_COLUMNS, FILES).select("name", F.row_number().over(W.orderBy("start_lsn", "partial")).cast("bigint").alias("turn"))
+    """Segment files in the order of their starts, finalized before partial."""
+    from ledgerfold.sources import segments, shared
+
+    folder = I.work_folder(spark, "listing")
+    files, names = shared.shared_folder(folder), {}
+    for name, start, partial in FILES:
+        file = f"{start:016x}.seg" + (".partial" if partial else "")
+        names[file] = name
+        files.create(file, b"")
+    found = [names[path.rpartition("/")[2]] for path, _, _ in segments.list_segments(folder)]
+    return spark.createDataFrame([(n, i + 1) for i, n in enumerate(found)], "name string, turn bigint")
 
 
 TYPE_COLUMNS = "source VARCHAR, target VARCHAR"
@@ -226,7 +239,7 @@ BOUNDS = [(-9223372036854775807, 9223372036854775807, 4), (0, 99, 8), (5, 5, 2)]
 @query(f"WITH {I.values('b', BOUND_COLUMNS, BOUNDS)} SELECT lo, hi, n, CAST((hi::HUGEINT - lo + 1 + n - 1) // n AS DECIMAL(20,0)) AS width FROM b")
 def f7_range_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Widths of key ranges over the whole 64-bit range, without overflow."""
-    return I.frame(spark, BOUND_COLUMNS, BOUNDS).withColumn("width", F.expr("(cast(hi as decimal(25,0)) - cast(lo as decimal(25,0)) + cast(n as decimal(25,0))) div cast(n as decimal(25,0))").cast("decimal(20,0)"))
+    return I.frame(spark, BOUND_COLUMNS, BOUNDS).withColumn("width", parts.range_width(F.col("lo"), F.col("hi"), F.col("n")))
 
 
 CELL_COLUMNS = "oid INT, hex VARCHAR, shown VARCHAR"
@@ -236,23 +249,14 @@ CELLS = [(16, "01", "t"), (21, "FFFE", "-2"), (23, "0000002A", "42"), (20, "FFFF
 @query(f"WITH {I.values('c', CELL_COLUMNS, CELLS)} SELECT oid, hex, shown FROM c")
 def f10_binary_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binary cells as text by type; an unknown type gives none."""
-    h = F.col("hex")
-
-    def number(bits: int):
-        value = F.conv(h, 16, 10).cast("decimal(20,0)")
-        wrap = F.lit(str(1 << bits)).cast("decimal(20,0)")
-        return F.when(value >= F.lit(str(1 << (bits - 1))).cast("decimal(20,0)"), value - wrap).otherwise(value).cast("decimal(20,0)").cast("string")
-
-    shown = (
-        F.when(F.col("oid") == 16, F.when(h == "01", "t").otherwise("f")).when(F.col("oid") == 21, number(16)).when(F.col("oid") == 23, number(32))
-        .when(F.col("oid") == 20, number(64)).when(F.col("oid") == 25, F.decode(F.unhex(h), "utf-8")).when(F.col("oid") == 17, F.concat(F.lit("\\x"), F.lower(h))))
-    return I.frame(spark, CELL_COLUMNS, CELLS).select("oid", "hex", shown.alias("shown"))
+    return I.frame(spark, CELL_COLUMNS, CELLS).select("oid", "hex", changes.binary_text(F.col("oid"), F.unhex("hex")).alias("shown"))
 
 
 @query("SELECT sha256('cluster-1/shop') AS source, sha256('cluster-1/shop' || chr(10) || 'shop.*') AS generation, substr(sha256('cluster-1/shop'), 1, 16) AS name")
 def f13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = F.lit("cluster-1/shop")
-    return spark.range(1).select(F.sha2(source, 256).alias("source"), F.sha2(F.concat(source, F.lit("\nshop.*")), 256).alias("generation"), F.substring(F.sha2(source, 256), 1, 16).alias("name"))
+    source = "cluster-1/shop"
+    row = (control.source_fingerprint(source), control.generation_of(source, "shop.*"), control.stream_name(source))
+    return spark.createDataFrame([row], "source string, generation string, name string")
 
 
 TOOL_COLUMNS = "line VARCHAR, major INT"
@@ -294,12 +298,12 @@ def v4_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sources and sinks -------------------------------------------------------------------
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders")
+@query("SELECT * FROM orders")
 def k2_snapshot_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table copied part by part with markers, committed once, and read back."""
     from ledgerfold.plans.versioned import VersionedStore, copy_snapshot
 
-    source = I.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    source = I.table(spark, sf_dir, "orders")
     low, high = parts.key_bounds(source, "o_orderkey").first()
     store = VersionedStore(spark, I.work_folder(spark, "copy"))
     copy_snapshot(store, "orders", source, parts.key_parts("orders", "o_orderkey", low, high, 4 << 20, 1 << 20, 4))
@@ -308,20 +312,20 @@ def k2_snapshot_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH c AS ({I.MULTI_SQL}) SELECT 'log.' || relation AS relation, kind, count(*) AS n, sum(end_lsn)::BIGINT AS lsns FROM c GROUP BY 1, 2")
 def s12_segment_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The change log written to checksummed segment files, read by the data source."""
+    """The change log written to checksummed segment files by tasks, read by the data
+    source."""
     from ledgerfold.sources import segments
 
     folder = I.work_folder(spark, "segments")
-    writer = segments.SegmentWriter(folder, rotate_bytes=1 << 20)
-    oids: dict[str, int] = {}
-    columns = [{"name": "k", "type_oid": 20, "is_key": True}, {"name": "v", "type_oid": 701, "is_key": False}]
-    for r in I.multi_changes(spark, sf_dir).orderBy("end_lsn").toLocalIterator():
-        oid = oids.setdefault(r.relation, 1000 + len(oids))
-        row = [("t", str(r.k).encode()), ("t", str(r.v).encode())]
-        change = {"oid": oid, "kind": r.kind, "old": row if r.kind == "D" else None, "new": row if r.kind in "IU" else None, "cascade": False, "restart": False}
-        writer.append({"commit_lsn": r.end_lsn - 1, "end_lsn": r.end_lsn, "commit_us": 0, "changes": [change],
-                       "relations": [{"oid": oid, "namespace": "log", "name": r.relation, "identity": "d", "columns": columns}]})
-    writer.close()
+    text = lambda c: F.struct(F.lit("t").alias("kind"), F.encode(F.col(c).cast("string"), "utf-8").alias("data"))
+    row = F.array(text("k"), text("v"))
+    columns = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(o).cast("bigint").alias("type_oid"), F.lit(k).alias("is_key")) for n, o, k in (("k", 20, True), ("v", 701, False))])
+    rows = I.multi_changes(spark, sf_dir).select(
+        F.concat(F.lit("log."), "relation").alias("relation"), F.pmod(F.crc32(F.col("relation").cast("binary")), F.lit(1 << 31)).cast("bigint").alias("oid"),
+        (F.col("end_lsn") - 1).alias("commit_lsn"), "end_lsn", F.lit(0).cast("bigint").alias("commit_us"), "seq", "kind",
+        F.when(F.col("kind") == "D", row).alias("old"), F.when(F.col("kind").isin("I", "U"), row).alias("new"), columns.alias("columns"),
+        F.lit(False).alias("truncate_cascade"), F.lit(False).alias("truncate_restart"))
+    segments.write_segments(rows, folder, files=4).collect()  # a row a file
     spark.dataSource.register(segments.SegmentSource)
     return spark.read.format("change_segments").option("path", folder).load().groupBy("relation", "kind").agg(F.count("*").alias("n"), F.sum("end_lsn").alias("lsns"))
 
@@ -331,7 +335,7 @@ def k4_generated_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table without writable columns: as many rows as the source has, their
     columns computed."""
     n = I.table(spark, sf_dir, "nation").count()
-    return spark.range(n).select(F.col("id").alias("row_number"), (F.col("id") * 2).alias("doubled"))
+    return capabilities.generated_rows(spark, n, row_number=F.col("id"), doubled=F.col("id") * 2)
 
 
 SLOT_COLUMNS = "batch INT, relation VARCHAR, slot INT, k BIGINT"
@@ -340,7 +344,7 @@ SLOTS = [(1, "a", 1, 10), (1, "a", 2, 11), (2, "a", 1, 12), (2, "b", 1, 20), (3,
 
 @query(f"WITH {I.values('s', SLOT_COLUMNS, SLOTS)} SELECT relation, slot, arg_max(k, batch) AS k FROM s GROUP BY 1, 2")
 def k12_sample_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.frame(spark, SLOT_COLUMNS, SLOTS).groupBy("relation", "slot").agg(F.max_by("k", "batch").alias("k"))
+    return sampling.upsert_slots(I.frame(spark, SLOT_COLUMNS, SLOTS))
 
 
 REPLAY_COLUMNS = "arrival INT, end_lsn BIGINT"
@@ -350,8 +354,10 @@ REPLAYS = [(1, 10), (2, 20), (3, 10), (4, 20), (5, 30), (6, 25), (7, 40)]
 @query(f"WITH {I.values('r', REPLAY_COLUMNS, REPLAYS)}, m AS (SELECT *, max(end_lsn) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM r) SELECT arrival, end_lsn FROM m WHERE seen IS NULL OR end_lsn > seen")
 def y4_k6_replay_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions at or before the last one kept are repeats after a reconnect."""
-    seen = F.max("end_lsn").over(W.orderBy("arrival").rowsBetween(W.unboundedPreceding, -1))
-    return I.frame(spark, REPLAY_COLUMNS, REPLAYS).withColumn("seen", seen).where("seen IS NULL OR end_lsn > seen").select("arrival", "end_lsn")
+    from ledgerfold.sources.segments import fresh_transactions
+
+    arrivals = [(r.arrival, r.end_lsn) for r in I.frame(spark, REPLAY_COLUMNS, REPLAYS).orderBy("arrival").collect()]
+    return spark.createDataFrame(list(fresh_transactions(arrivals)), "arrival int, end_lsn bigint")
 
 
 # --- control ---------------------------------------------------------------------------
@@ -363,22 +369,20 @@ LEAST, MOST = 64 << 20, 16 << 30
 
 @query(f"WITH {I.values('m', MEMORY_COLUMNS, MEMORIES)} SELECT memory, workers, greatest({LEAST}, least({MOST}, memory // 2 // workers)) AS work_memory FROM m")
 def g6_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.frame(spark, MEMORY_COLUMNS, MEMORIES).withColumn("work_memory", F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.expr("memory div 2 div workers"))))
+    rows = I.frame(spark, MEMORY_COLUMNS, MEMORIES).collect()
+    return spark.createDataFrame([(*r, control.work_memory(r.memory, r.workers)) for r in rows], "memory bigint, workers bigint, work_memory bigint")
 
 
 @query("SELECT a.i AS now, b.i AS wanted, b.i - a.i IN (0, 1) AS allowed FROM range(10) a(i), range(10) b(i)")
 def g11_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phases go forward by exactly one; the same again is nothing."""
-    from ledgerfold.plans.control import PHASES
-
-    n = len(PHASES)
-    pairs = spark.range(n * n).select(F.expr(f"id div {n}").alias("now"), (F.col("id") % n).alias("wanted"))
-    return pairs.withColumn("allowed", (F.col("wanted") - F.col("now")).isin(0, 1))
+    pairs = [(i, j, control.allowed(a, b)) for i, a in enumerate(control.PHASES) for j, b in enumerate(control.PHASES)]
+    return spark.createDataFrame(pairs, "now bigint, wanted bigint, allowed boolean")
 
 
 @query("SELECT i AS attempt, CAST(100 * pow(2, i) AS BIGINT) AS wait_ms FROM range(5) r(i)")
 def g17_retry_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(5).select(F.col("id").alias("attempt"), (100 * F.pow(F.lit(2.0), F.col("id"))).cast("bigint").alias("wait_ms"))
+    return spark.createDataFrame([(i, round(1000 * w)) for i, w in enumerate(control.retry_waits(5))], "attempt bigint, wait_ms bigint")
 
 
 TIMEOUT_COLUMNS = "side VARCHAR, name VARCHAR, ms BIGINT"
@@ -387,4 +391,5 @@ TIMEOUTS = [("source", "statement_timeout", 30000), ("target", "idle_session_tim
 
 @query(f"WITH {I.values('t', TIMEOUT_COLUMNS, TIMEOUTS)} SELECT side || '-' || replace(name, '_', '-') AS id, 'warning' AS severity FROM t WHERE ms <> 0")
 def g3_timeout_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.frame(spark, TIMEOUT_COLUMNS, TIMEOUTS).where("ms <> 0").select(F.concat("side", F.lit("-"), F.replace(F.col("name"), F.lit("_"), F.lit("-"))).alias("id"), F.lit("warning").alias("severity"))
+    settings = I.frame(spark, TIMEOUT_COLUMNS, TIMEOUTS).select("side", "name", F.col("ms").cast("string").alias("value"))
+    return preflight.check_timeouts({"settings": settings}).select("id", "severity")
\ No newline at end of file

@@ -4,12 +4,15 @@ second stratum of the keys that changes touched."""
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerfold.functions.render import key_identity
 from ledgerfold.operators.diff import candidates, full_diff, keyed_digests, lookup
 from ledgerfold.operators.sampling import sample_rows
 
@@ -23,6 +26,7 @@ class TableResult:
     complete: bool = True
     in_flight: int = 0
     unchecked: int = 0
+    deletes: int = 0
     differences: list[tuple[str, str]] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
 
@@ -56,7 +60,7 @@ def verify_table(name: str, source: Callable[[], DataFrame], target: Callable[[i
     columns = source().columns
     sample = sample_rows(source(), order or key[0], budget, windows, max(1, budget // windows)).drop("window").checkpoint()
     out.rows = sample.count()
-    estimated = estimated if estimated is not None else source().count()
+    estimated = estimated if estimated is not None else source().count()  # from the files' footers
     out.coverage = min(out.rows / estimated, 1.0) if estimated else 1.0
     left = keyed_digests(sample, key, columns)
     right = lookup(left.select("key"), keyed_digests(target(None), key, columns), ["key"])
@@ -72,6 +76,69 @@ def verify_table(name: str, source: Callable[[], DataFrame], target: Callable[[i
     return out
 
 
+def smoothed_rate(rates: DataFrame, left: int, alpha: float = 0.3) -> DataFrame:
+    """Smoothed throughput, folded in order, and the seconds that ``left`` rows take.
+    ``rates``: ``n, rows, seconds``, one row a measurement of one run."""
+    ordered = rates.agg(F.array_sort(F.collect_list(F.struct("n", (F.col("rows") / F.col("seconds")).alias("rate")))).alias("xs"))
+    rate = F.aggregate(F.slice("xs", 2, 1 << 30), F.element_at("xs", 1)["rate"], lambda acc, x: acc + alpha * (x["rate"] - acc))
+    return ordered.select(rate.alias("rate")).select(F.round("rate", 6).alias("rate"), F.round(F.lit(left) / F.col("rate"), 6).alias("eta_s"))
+
+
+def verify_changes(name: str, sample: DataFrame, source: Callable[[], DataFrame], target: Callable[[int | None], DataFrame], key: list[str],
+                   dropped: bool = False, recorded_key: list[str] | None = None, most: int = 1000, **hooks) -> TableResult:
+    """The second stratum: the keys that sampled changes touched, compared on both
+    sides.  ``sample``: ``kind`` and the key columns.  Deleted keys are looked for
+    like the others (both sides must lack them) and counted; a relation that is gone
+    warns; a recorded key that does not cover the verification key is skipped."""
+    out = TableResult(f"{name} (changes)")
+    if dropped:
+        out.warnings.append(f"{name} is gone; its recorded changes were not compared")
+        return out
+    if recorded_key is not None and not set(key) <= set(recorded_key):
+        out.warnings.append(f"{name}: recorded keys ({', '.join(recorded_key)}) do not cover the key ({', '.join(key)})")
+        return out
+    out.deletes = sample.where("kind = 'D'").count()
+    keys = sample.select(key_identity(key).alias("key")).distinct().checkpoint()
+    out.rows, out.coverage = keys.count(), 1.0
+    columns = source().columns
+    sides = [lookup(keys, keyed_digests(df, key, columns), ["key"]) for df in (source(), target(None))]
+    found = full_diff(*sides).checkpoint()
+    total = found.count()
+    if total:
+        stays = recheck(source, target, candidates(found, most), key, columns=columns, **hooks)
+        out.unchecked = max(0, total - most)
+        out.differences = [(r.key, r.kind) for r in stays.orderBy("key", "kind").collect()]  # at most ``most`` rows
+        out.in_flight = min(total, most) - len(out.differences)
+        out.converged = not out.differences and not out.unchecked
+    return out
+
+
+def timed(name: str, spark, work: Callable[[], TableResult], seconds: float) -> TableResult:
+    """A table's comparison, cut short after so many seconds: then it is incomplete,
+    and so not converged.  Its jobs are cancelled."""
+    tag, done = f"verify-{uuid.uuid4().hex}", {}
+
+    def run():
+        spark.addTag(tag)
+        try:
+            done["result"] = work()
+        except Exception as e:  # noqa: BLE001
+            done["error"] = e
+        finally:
+            spark.removeTag(tag)
+
+    thread = InheritableThread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if thread.is_alive():
+        spark.interruptTag(tag)
+        thread.join(10)
+        return TableResult(name, complete=False, converged=False, warnings=[f"{name} was cut short after {seconds:g} s"])
+    if "error" in done:
+        raise done["error"]
+    return done["result"]
+
+
 def roll_up(results: list[TableResult]) -> dict:
     """Coverage of the worst table, and whether everything agreed and was finished."""
     return {

@@ -5,8 +5,11 @@ it grows) is a sequence of frames: payload length and CRC-32C as little-endian
 32-bit numbers, then the payload of one transaction.  A transaction is described by
 its own payload, so every frame can be decoded alone.
 
-``SegmentSource`` ("change_segments") reads a folder of them as rows of changes:
-one partition a file, rows streamed, only what is durable.
+``SegmentSource`` ("change_segments") reads a folder of them as rows of changes, in a
+batch or as a stream: one partition a file, changes streamed one by one, only what is
+durable, without the files that were applied.  ``write_segments`` writes them from
+tasks, a file for each range of positions; ``SegmentWriter`` appends to one as a
+receiver does.  Folders are paths or URIs.
 """
 
 from __future__ import annotations
@@ -14,8 +17,13 @@ from __future__ import annotations
 import os
 import struct
 from collections.abc import Iterator
+from itertools import groupby
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+
+from ledgerfold.sources.shared import list_files, open_file, publish, shared_folder
 
 #: Fixed values of the payload format: magic, versions, change and cell kinds.
 MAGIC = b"PGMC"
@@ -43,14 +51,86 @@ def _crc_table() -> list[int]:
     return table
 
 
-_CRC = _crc_table()
+_CRC = np.array(_crc_table(), np.uint32)
+
+
+def _advance(crc: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """The states of all lanes after one more byte of each."""
+    return crc >> np.uint32(8) ^ _CRC[(crc ^ data) & np.uint32(255)]
+
+
+def crc32c_many(payloads: list[bytes]) -> np.ndarray:
+    """The checksums of many payloads, byte by byte over all of them at once: the
+    longest first, so that at every byte the payloads that still have one lead."""
+    sizes = np.array([len(p) for p in payloads])
+    order = np.argsort(-sizes, kind="stable")
+    sizes = sizes[order]
+    flat = np.frombuffer(b"".join(payloads), np.uint8)
+    starts = (np.cumsum([0, *[len(p) for p in payloads]])[:-1])[order] if len(payloads) else np.zeros(0, int)
+    crc = np.full(len(payloads), 0xFFFFFFFF, np.uint32)
+    left = len(payloads)
+    for at in range(int(sizes[0]) if len(sizes) else 0):
+        while left and sizes[left - 1] <= at:
+            left -= 1
+        if left < LANES:  # few long ones remain: each by itself
+            break
+        crc[:left] = _advance(crc[:left], flat[starts[:left] + at].astype(np.uint32))
+    else:
+        at = int(sizes[0]) if len(sizes) else 0
+    for i in range(left):
+        crc[i] = _crc_long(int(crc[i]), flat[starts[i] + at : starts[i] + sizes[i]])
+    out = np.empty(len(payloads), np.uint32)
+    out[order] = crc ^ np.uint32(0xFFFFFFFF)
+    return out
+
+
+#: Payloads from which a step over all of them beats one after the other.
+LANES = 8
+
+
+def _matrix_times(matrix: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A linear map of 32-bit words (the images of the single bits) applied."""
+    out = np.zeros_like(x)
+    for bit in range(32):
+        out ^= np.where(x >> np.uint32(bit) & np.uint32(1), matrix[bit], np.uint32(0))
+    return out
+
+
+def _zeros_map(n: int) -> np.ndarray:
+    """What ``n`` zero bytes make of a state, by repeated squaring."""
+    one = np.array([1 << b for b in range(32)], np.uint32)
+    power = _advance(one, np.zeros(32, np.uint32))
+    result = one
+    while n:
+        if n & 1:
+            result = _matrix_times(power, result)
+        power = _matrix_times(power, power)
+        n >>= 1
+    return result
+
+
+def _crc_long(crc: int, data: np.ndarray) -> int:
+    """The state after one long run of bytes: lanes of equal length side by side,
+    joined by what the bytes behind a lane make of its state."""
+    lanes = min(1024, len(data) // 64)
+    if lanes < 2:
+        for b in data.tolist():
+            crc = crc >> 8 ^ int(_CRC[(crc ^ b) & 255])
+        return crc
+    width = len(data) // lanes
+    states = np.zeros(lanes, np.uint32)
+    states[0] = crc
+    block = data[: lanes * width].reshape(lanes, width)
+    for i in range(width):
+        states = _advance(states, block[:, i].astype(np.uint32))
+    shift, out = _zeros_map(width), np.zeros(1, np.uint32)
+    for state in states:
+        out = _matrix_times(shift, out) ^ state
+    return _crc_long(int(out[0]), data[lanes * width :])
 
 
 def crc32c(data: bytes) -> int:
-    crc = 0xFFFFFFFF
-    for b in data:
-        crc = crc >> 8 ^ _CRC[(crc ^ b) & 255]
-    return crc ^ 0xFFFFFFFF
+    return int(crc32c_many([data])[0])
 
 
 # --- payload -------------------------------------------------------------------
@@ -129,8 +209,8 @@ class _Payload:
         return out
 
 
-def decode(payload: bytes) -> dict:
-    p = _Payload(payload)
+def decode_head(p: _Payload) -> tuple[dict, int, int]:
+    """A payload's transaction without its changes, their number and the version."""
     if p.take(4) != MAGIC:
         raise CorruptLog("not a transaction payload")
     version, commit, end, seconds, nanos = p.unpack("BQQqI")
@@ -145,18 +225,29 @@ def decode(payload: bytes) -> dict:
             kind, flags = p.unpack("IB")
             columns.append({"name": p.sized().decode(), "type_oid": kind, "is_key": bool(flags & 1)})
         relations.append({"oid": oid, "namespace": namespace, "name": name, "identity": chr(identity), "columns": columns})
-    changes = []
-    for _ in range(p.count(7)):
+    head = {"commit_lsn": commit, "end_lsn": end, "commit_us": seconds * 1_000_000 + nanos // 1000, "relations": relations}
+    return head, p.count(7), version
+
+
+def decode_changes(p: _Payload, count: int, version: int) -> Iterator[dict]:
+    """The changes of a payload one by one: a large transaction is never held as
+    objects, only as its bytes."""
+    for _ in range(count):
         oid, code = p.unpack("IB")
         if code not in CHANGE_KINDS:
             raise CorruptLog(f"bad change kind {code}")
         options = p.unpack("B")[0] if version >= 2 and CHANGE_KINDS[code] == "T" else 0
         if options & ~3:
             raise CorruptLog("bad truncate options")
-        changes.append({"oid": oid, "kind": CHANGE_KINDS[code], "old": p.cells(), "new": p.cells(), "cascade": bool(options & 1), "restart": bool(options & 2)})
-    if p.at != len(payload):
+        yield {"oid": oid, "kind": CHANGE_KINDS[code], "old": p.cells(), "new": p.cells(), "cascade": bool(options & 1), "restart": bool(options & 2)}
+    if p.at != len(p.data):
         raise CorruptLog("trailing bytes")
-    return {"commit_lsn": commit, "end_lsn": end, "commit_us": seconds * 1_000_000 + nanos // 1000, "relations": relations, "changes": changes}
+
+
+def decode(payload: bytes) -> dict:
+    p = _Payload(payload)
+    head, count, version = decode_head(p)
+    return head | {"changes": list(decode_changes(p, count, version))}
 
 
 # --- files ---------------------------------------------------------------------
@@ -176,38 +267,85 @@ def segment_name(name: str) -> tuple[int, bool] | None:
 
 def list_segments(folder: str) -> list[tuple[str, int, bool]]:
     """(path, start, partial) by start; finalized before partial."""
-    found = [(os.path.join(folder, n), *s) for n in os.listdir(folder) if (s := segment_name(n))]
+    found = [(path, *s) for path, _ in list_files(folder) if (s := segment_name(os.path.basename(path)))]
     return sorted(found, key=lambda x: (x[1], x[2]))
 
 
-def read_segment(path: str, partial: bool, durable: int | None = None) -> Iterator[dict]:
-    """The transactions of a file.  A torn tail ends a partial file; in a
-    finalized one it is corruption.  Order is checked in both."""
-    last_commit = last_end = -1
-    with open(path, "rb") as source:
-        while head := source.read(8):
-            problem, tx = None, None
-            if len(head) < 8:
-                problem = "short frame header"
+def needed(found: list[tuple[str, int, bool]], after: int, upto: int | None = None) -> list[tuple[str, int, bool]]:
+    """The files that can hold transactions that end after ``after`` and by ``upto``:
+    one whose successor starts at or before ``after`` can not."""
+    later = [start for _, start, _ in found[1:]] + [None]
+    return [x for x, following in zip(found, later, strict=True) if (following is None or following > after) and (upto is None or x[1] <= upto)]
+
+
+def open_segment(path: str):
+    """The file, also if it was finalized since it was listed."""
+    try:
+        return open_file(path)
+    except FileNotFoundError:
+        return open_file(path.removesuffix(".partial"))
+
+
+#: Bytes of frames whose checksums are computed together.
+CHECKED_TOGETHER = 4 << 20
+
+
+def frames(source) -> Iterator[tuple[bytes | None, str | None]]:
+    """(payload, problem) of a file's frames; a problem ends them."""
+    held: list[tuple[bytes, int]] = []
+    size, problem = 0, None
+    while True:
+        head = source.read(8)
+        payload = b""
+        if head and len(head) < 8:
+            problem = "short frame header"
+        elif head:
+            length, want = struct.unpack("<II", head)
+            payload = source.read(length)
+            if len(payload) < length:
+                problem = "short payload"
             else:
-                length, want = struct.unpack("<II", head)
-                payload = source.read(length)
-                if len(payload) < length:
-                    problem = "short payload"
-                elif crc32c(payload) != want:
-                    problem = "checksum mismatch"
-                else:
-                    tx = decode(payload)
-                    if tx["commit_lsn"] <= last_commit or tx["end_lsn"] <= last_end or tx["end_lsn"] < tx["commit_lsn"]:
-                        problem = "positions out of order"
+                held.append((payload, want))
+                size += length
+        if problem or not head or size >= CHECKED_TOGETHER:
+            for (data, want), got in zip(held, crc32c_many([d for d, _ in held]), strict=True):
+                if want != got:
+                    yield None, "checksum mismatch"
+                    return
+                yield data, None
+            held, size = [], 0
+            if problem:
+                yield None, problem
+            if problem or not head:
+                return
+
+
+def read_payloads(path: str, partial: bool, durable: int | None = None) -> Iterator[tuple[dict, _Payload, int, int]]:
+    """(head, payload, number of changes, version) of a file's transactions.  A torn
+    tail ends a partial file; in a finalized one it is corruption.  Order is checked
+    in both."""
+    last_commit = last_end = -1
+    with open_segment(path) as source:
+        for data, problem in frames(source):
+            if problem is None:
+                p = _Payload(data)
+                head, count, version = decode_head(p)
+                if head["commit_lsn"] <= last_commit or head["end_lsn"] <= last_end or head["end_lsn"] < head["commit_lsn"]:
+                    problem = "positions out of order"
             if problem:
                 if partial:
                     return
                 raise CorruptLog(f"{os.path.basename(path)}: {problem}")
-            if durable is not None and tx["end_lsn"] > durable:
+            if durable is not None and head["end_lsn"] > durable:
                 return
-            last_commit, last_end = tx["commit_lsn"], tx["end_lsn"]
-            yield tx
+            last_commit, last_end = head["commit_lsn"], head["end_lsn"]
+            yield head, p, count, version
+
+
+def read_segment(path: str, partial: bool, durable: int | None = None) -> Iterator[dict]:
+    """The transactions of a file, whole."""
+    for head, p, count, version in read_payloads(path, partial, durable):
+        yield head | {"changes": list(decode_changes(p, count, version))}
 
 
 def recover(folder: str) -> int:
@@ -276,20 +414,39 @@ class SegmentWriter:
         self.out = None
 
 
+def prunable(found: list[tuple[str, int, bool]], ends: dict[str, int], applied: int, most: int = 128) -> list[str]:
+    """Finalized segments wholly before the applied position, but the newest of
+    them, at most so many a pass, oldest first."""
+    done = [name for name, _, partial in sorted(found, key=lambda x: x[1]) if not partial and name in ends and ends[name] < applied]
+    return done[:-1][:most]
+
+
 def prune(folder: str, applied: int, most: int = 128) -> list[str]:
-    """Remove finalized segments wholly before the applied position, but the
-    newest of them; returns the removed paths."""
-    done = []
-    for path, _, partial in list_segments(folder):
-        ends = [tx["end_lsn"] for tx in read_segment(path, partial)] if not partial else []
-        if ends and ends[-1] < applied:
-            done.append(path)
-    gone = done[:-1][:most]
+    """Remove the prunable segments; returns their paths.  A segment's end is only
+    read where its successor does not already start beyond the position."""
+    found, ends = list_segments(folder), {}
+    for path, start, partial in found:
+        if not partial and start < applied:
+            last = [head["end_lsn"] for head, *_ in read_payloads(path, partial)]
+            if last:
+                ends[path] = last[-1]
+    gone = prunable(found, ends, applied, most)
+    files = shared_folder(folder)
     for path in gone:
-        os.remove(path)
+        files.delete(os.path.basename(path))
     return gone
 
 
+def fresh_transactions(arrivals):
+    """Those of (arrival, end position) pairs that come after all kept before: after
+    a reconnect the source sends again what it has no acknowledgement for."""
+    last = -1
+    for arrival, end in arrivals:
+        if end > last:
+            last = end
+            yield arrival, end
+
+
 # --- Spark ---------------------------------------------------------------------
 
 CELLS = "array<struct<kind:string,data:binary>>"
@@ -300,33 +457,69 @@ SCHEMA = (
 
 
 class SegmentFile(InputPartition):
-    def __init__(self, path: str, partial: bool):
-        self.path, self.partial = path, partial
+    def __init__(self, path: str, partial: bool, after: int, durable: int | None):
+        self.path, self.partial, self.after, self.durable = path, partial, after, durable
+
+
+def segment_rows(partition: SegmentFile):
+    for head, p, count, version in read_payloads(partition.path, partition.partial, partition.durable):
+        if head["end_lsn"] <= partition.after:
+            continue
+        known = {r["oid"]: r for r in head["relations"]}
+        for seq, c in enumerate(decode_changes(p, count, version)):
+            r = known[c["oid"]]
+            yield (f"{r['namespace']}.{r['name']}", c["oid"], head["commit_lsn"], head["end_lsn"], head["commit_us"], seq, c["kind"], c["old"], c["new"],
+                   [(x["name"], x["type_oid"], x["is_key"]) for x in r["columns"]], c["cascade"], c["restart"])
+
+
+def _partitions(options: dict, after: int, upto: int | None) -> list[SegmentFile]:
+    return [SegmentFile(p, partial, after, upto) for p, _, partial in needed(list_segments(options["path"]), after, upto)]
 
 
 class SegmentReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.folder = options["path"].removeprefix("file://")
-        self.after = int(options.get("after", -1))
-        self.durable = int(options["durable"]) if "durable" in options else None
+        self.options = options
 
     def partitions(self):
-        return [SegmentFile(p, partial) for p, _, partial in list_segments(self.folder)]
+        upto = int(self.options["durable"]) if "durable" in self.options else None
+        return _partitions(self.options, int(self.options.get("after", -1)), upto)
 
     def read(self, partition: SegmentFile):
-        for tx in read_segment(partition.path, partition.partial, self.durable):
-            if tx["end_lsn"] <= self.after:
-                continue
-            known = {r["oid"]: r for r in tx["relations"]}
-            for seq, c in enumerate(tx["changes"]):
-                r = known[c["oid"]]
-                yield (f"{r['namespace']}.{r['name']}", c["oid"], tx["commit_lsn"], tx["end_lsn"], tx["commit_us"], seq, c["kind"], c["old"], c["new"],
-                       [(x["name"], x["type_oid"], x["is_key"]) for x in r["columns"]], c["cascade"], c["restart"])
+        return segment_rows(partition)
+
+
+class SegmentStreamReader(DataSourceStreamReader):
+    """Offsets are end positions: a micro-batch is what was appended since."""
+
+    def __init__(self, options: dict):
+        self.options = options
+
+    def initialOffset(self):
+        return {"end": int(self.options.get("after", -1))}
+
+    def latestOffset(self):
+        last = int(self.options.get("after", -1))
+        for path, _, partial in reversed(list_segments(self.options["path"])):
+            ends = [head["end_lsn"] for head, *_ in read_payloads(path, partial)]
+            if ends:  # an empty partial file has its end in the one before
+                last = max(last, ends[-1])
+                break
+        upto = int(self.options["durable"]) if "durable" in self.options else last
+        return {"end": min(last, upto)}
+
+    def partitions(self, start: dict, end: dict):
+        return _partitions(self.options, start["end"], end["end"])
+
+    def read(self, partition: SegmentFile):
+        return segment_rows(partition)
+
+    def commit(self, end: dict):
+        pass
 
 
 class SegmentSource(DataSource):
-    """``spark.read.format("change_segments")`` with options ``path``, ``after``
-    (changes already applied are skipped) and ``durable``."""
+    """``spark.read.format("change_segments")``, or ``readStream``, with options
+    ``path``, ``after`` (changes already applied are skipped) and ``durable``."""
 
     @classmethod
     def name(cls):
@@ -337,3 +530,60 @@ class SegmentSource(DataSource):
 
     def reader(self, schema):
         return SegmentReader(dict(self.options))
+
+    def streamReader(self, schema):
+        return SegmentStreamReader(dict(self.options))
+
+
+def write_segments(changes: DataFrame, folder: str, files: int, rotate_bytes: int = ROTATE_BYTES) -> DataFrame:
+    """Write rows of SCHEMA as segment files, each from the task that holds its range
+    of positions; a transaction's changes are in one range.  Returns ``path,
+    transactions`` of the written files."""
+
+    def run(batches):
+        def rows():
+            for batch in batches:
+                yield from batch.to_pylist()
+
+        def file_of(first: int):
+            final = f"{folder.rstrip('/')}/{first:016x}.seg"
+            return final, open_file(f"{final}.writing", "wb")
+
+        import pyarrow as pa
+
+        out, final, size, count, done = None, None, 0, 0, []
+        as_cells = lambda xs: None if xs is None else [(c["kind"], c["data"]) for c in xs]
+        for _, group in groupby(rows(), key=lambda r: r["end_lsn"]):
+            group = list(group)
+            relations = {r["oid"]: {"oid": r["oid"], "namespace": r["relation"].partition(".")[0], "name": r["relation"].partition(".")[2], "identity": "d", "columns": r["columns"]} for r in group}
+            payload = encode({
+                "commit_lsn": group[0]["commit_lsn"], "end_lsn": group[0]["end_lsn"], "commit_us": group[0]["commit_us"], "relations": list(relations.values()),
+                "changes": [{"oid": r["oid"], "kind": r["kind"], "old": as_cells(r["old"]), "new": as_cells(r["new"]),
+                             "cascade": r["truncate_cascade"], "restart": r["truncate_restart"]} for r in group]})
+            if out is None:
+                final, out = file_of(group[0]["commit_lsn"])
+                held = []
+            held.append(payload)
+            size, count = size + len(payload), count + 1
+            if len(held) >= 4096 or size >= rotate_bytes:
+                _flush(out, held)
+                held = []
+            if size >= rotate_bytes:
+                out.close()
+                publish(f"{final}.writing", final)
+                done.append((final, count))
+                out, size, count = None, 0, 0
+        if out is not None:
+            _flush(out, held)
+            out.close()
+            publish(f"{final}.writing", final)
+            done.append((final, count))
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], names=["path", "transactions"])
+
+    dealt = changes.repartitionByRange(files, "end_lsn").sortWithinPartitions("end_lsn", "seq")
+    return dealt.mapInArrow(run, "path string, transactions bigint")
+
+
+def _flush(out, payloads: list[bytes]) -> None:
+    for payload, crc in zip(payloads, crc32c_many(payloads), strict=True):
+        out.write(struct.pack("<II", len(payload), int(crc)) + payload)

@@ -49,10 +49,3 @@ def drain(store: VersionedStore, query: StreamingQuery, end: int, stall: float =
         time.sleep(poll)
     query.stop()
     return store.manifest()
-
-
-def check_order(batch: DataFrame) -> None:
-    """Raise if a transaction's commit follows its end."""
-    bad = batch.where(F.col("end_lsn") < F.col("commit_lsn")).limit(1).collect()
-    if bad:
-        raise DivergenceError(f"positions out of order: {bad[0].asDict()}")

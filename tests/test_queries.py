@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from ledgerfold.plans import queries_more  # noqa: F401  (registers its queries)
+from ledgerfold.plans import queries_more, queries_path  # noqa: F401  (register their queries)
 from ledgerfold.plans.queries import ORACLE, QUERIES
 
 

@@ -150,3 +150,25 @@ def test_near_duplicates(docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
     kept = near_dedup.one_of_each(docs)
     assert kept.columns == docs.columns and ids(kept.collect()) == [None, 1, 2, 3, 4, 5, 7, 8]
+
+
+def test_pipeline_on_odd_tables(spark, docs, empty, benchmark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing columns in every table,
+    then empty tables."""
+    import corpus_pipeline
+
+    more = docs.unionByName(docs.where("doc_id = 1").withColumn("doc_id", F.lit(20).cast("bigint")))
+    known = labels(spark, [(1, 1, 0), (7, 1, 1), (None, 0, 1), (1, 1, 0), (8, 0, None), (2, 0, 0), (4, 0, 0), (5, 0, 0)])
+    for name, (d, l, b) in {"odd": (more, known, benchmark.where("item_id = 1")), "bare": (empty, known.where("false"), benchmark.where("false"))}.items():
+        folder = f"{tmp_path}/{name}"
+        for part, df in (("documents", d), ("labels", l), ("benchmark", b)):
+            df.write.parquet(f"{folder}/{part}.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        if name == "bare":
+            assert got == []
+            continue
+        # 1, 6 and 20 hold the benchmark's words; 6 and 20 are copies of 1 besides.
+        assert set(ids(got)) <= {None, 2, 3, 4, 5, 7, 8} and len(got) >= 4
+        assert all(r.n_tokens >= 1 for r in got)
+        stage = corpus_pipeline.near_dedup(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+        assert ids(stage.collect()) == [None, 1, 2, 3, 4, 5, 7, 8] and stage.columns == docs.columns

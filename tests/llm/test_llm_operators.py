@@ -494,6 +494,21 @@ def test_media_round_trip_and_damage(spark, sf_dir, documents):
         whole = media.padded(raw)
         assert (got[i].n_bytes, got[i].payload_sha256) == (len(raw), hashlib.sha256(whole).hexdigest())
         assert got[i].tail_crc32 == zlib.crc32(whole[-64:]) and media.decode_png(media.encode_png(raw)) == (whole, len(raw))
+    # The stored images, parsed by the format's own rules.
+    for r in media.read_archives(spark, path).collect():
+        image, at, chunks = bytes(r.media), 8, {}
+        assert image[:8] == b"\x89PNG\r\n\x1a\n"
+        while at < len(image):
+            n, kind = int.from_bytes(image[at : at + 4], "big"), image[at + 4 : at + 8]
+            body = image[at + 8 : at + 8 + n]
+            assert int.from_bytes(image[at + 8 + n : at + 12 + n], "big") == zlib.crc32(kind + body)
+            chunks[kind] = chunks.get(kind, b"") + body
+            at += 12 + n
+        rows = zlib.decompress(chunks[b"IDAT"])
+        samples = b"".join(rows[k + 1 : k + 65] for k in range(0, len(rows), 65))
+        assert not any(rows[k] for k in range(0, len(rows), 65)) and chunks[b"IHDR"][:10] == (64).to_bytes(4, "big") + (len(samples) // 64).to_bytes(4, "big") + b"\x08\x00"
+        mine = [g for g in got.values() if g.payload_sha256 == hashlib.sha256(samples).hexdigest() and g.media_sha256 == hashlib.sha256(image).hexdigest()]
+        assert mine and all(g.payload_bytes == len(samples) and g.media_bytes == len(image) and g.feature == media.features(samples) for g in mine)
     local = written[0].archive.removeprefix("file:")
     with open(local, "r+b") as f:  # one member's header
         f.seek(10)

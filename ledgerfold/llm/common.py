@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes handed to a Python worker at once.  Texts reach a megabyte, so
 #: the default of 10,000 rows a batch would not be bounded in memory.
-BATCH_ROWS = 1024
-BATCH_BYTES = 8 << 20
+BATCH_ROWS = 512
+BATCH_BYTES = 4 << 20
 
 #: What a worker process keeps between tasks, by operator.
 CACHES: dict[str, dict] = {}
@@ -102,6 +102,7 @@ def worker_task(run, keeps: str = ""):
     the system after it, as worker processes live on between stages."""
 
     def task(batches):
+        lean_memory()
         for name in [x for x in CACHES if x != keeps]:
             CACHES.pop(name).clear()
         yield from run(batches)
@@ -110,6 +111,25 @@ def worker_task(run, keeps: str = ""):
     return task
 
 
+#: mallopt's numbers of the C library: most arenas, and from which size on an
+#: allocation is mapped, so that freeing it gives it back at once.
+M_ARENA_MAX, M_MMAP_THRESHOLD = -8, -3
+MAPPED_FROM = 1 << 18
+
+
+def lean_memory() -> None:
+    """Let a worker process keep as little freed memory as possible."""
+    if "lean" not in _SHIPPED:
+        _SHIPPED["lean"] = ""
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            libc = ctypes.CDLL("libc.so.6")
+            libc.mallopt(M_ARENA_MAX, 1)
+            libc.mallopt(M_MMAP_THRESHOLD, MAPPED_FROM)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 def give_back() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()

@@ -12,14 +12,21 @@ return the columns of ``documents``.
 5. ``token_shards``: the token ids, written to shard files and read back.
 
 A document with a null ``doc_id`` is judged by its text in stages 1 and 3 as any
-other; duplicates are found among identified documents only.
+other; duplicates are found among identified documents only, so it stays in stage 2;
+stage 5 puts it first.  A null text is empty: it is not toxic beyond the intercept, a
+duplicate of nothing, clean, one character to the mix, and one end id.  Very long
+texts are treated whole in every stage.  Rows that repeat an identifier are one
+document from stage 2 on; of documents with equal texts the one with the smallest
+identifier stays.  Ties do not decide anything else.  Empty tables give no rows, an
+empty benchmark or no labels of both classes leave everything clean or to the seed
+lexicon.  Further columns go through stages 1 to 4, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerfold.llm.common import cut, table
+from ledgerfold.llm.common import cut, discard, table
 from ledgerfold.llm.decontaminate import clean_documents
 from ledgerfold.llm.mixing import mixed_documents
 from ledgerfold.llm.near_dedup import one_of_each
@@ -58,9 +65,12 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        written: list[str] = []
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}", written)
+        discard(spark, before)  # what the stage before wrote is read
+        before = written
     return docs
 
 

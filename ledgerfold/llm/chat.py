@@ -22,7 +22,7 @@ The loss mask covers the assistant turns' texts.
 Defined results: a null text or role is empty; turns are ordered by ``turn`` (null
 first), then role and text; repeated turns are kept; a null ``conv_id`` is one
 conversation of its own; an empty table gives no rows; further columns are
-ignored.  A conversation is one row of the result, so its turns do come together;
+ignored; very long texts are rendered whole.  A conversation is one row of the result, so its turns do come together;
 they are gathered once, after a map-side projection to the three columns needed.
 """
 

@@ -14,7 +14,9 @@ Defined results: a null payload is empty, a null URL the empty text; repeated ro
 are records of their own at different offsets; an empty table has no archives and
 no findings; further columns are ignored.  A record is reported as ``missing``
 (in the first replica only), ``extra`` (in the second only) or ``payload`` (same
-place, another digest); a root that exists on one side only mismatches.
+place, another digest); a root that exists on one side only mismatches.  A very long
+page is one record, alone in its range, and is hashed whole.  Rows with one
+identifier are ordered by their input partition and place.
 """
 
 from __future__ import annotations

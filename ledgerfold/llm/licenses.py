@@ -17,7 +17,8 @@ caller): no shuffle, no join, no Python.
 
 Defined results: a null or empty text has no sentences and no licence; repeated
 rows give repeated results; an empty table gives no rows; further columns are
-ignored; a null identifier stays null.
+ignored; a null identifier stays null; texts are cut whole, however long; of known
+sentences that begin together the longest counts, of rules of one length the first.
 """
 
 from __future__ import annotations

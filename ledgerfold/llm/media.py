@@ -10,7 +10,9 @@ each member independently, and streams Arrow batches of bounded size.
 Defined results: a null text is empty; an empty payload is one row of zeros; equal
 payloads give equal stored forms, features and digests, since nothing else enters
 an image; repeated identifiers give repeated rows; a null identifier is kept; an
-empty table gives empty archives and no rows; further columns are ignored.  A
+empty table gives empty archives and no rows; further columns are ignored; a very
+long text is one member, stored whole; members keep their rows' order, so there are
+no ties.  A
 member that cannot be read after ``attempts`` tries gives a row with its error and
 null content; the other members of the archive are not affected.
 """

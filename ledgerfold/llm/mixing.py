@@ -120,8 +120,10 @@ def schedule(weights: dict[str, int], blocks: dict[str, list[int]], end: int | N
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_column: str = "doc_id", source_column: str = "source",
-        text_column: str = "text", alpha: float = ALPHA, blocks: int = BLOCKS, max_streams: int = MAX_STREAMS) -> DataFrame:
-    """``id, source, stream, key, size, block, slot, kept`` of every row."""
+        text_column: str = "text", alpha: float = ALPHA, blocks: int = BLOCKS, max_streams: int = MAX_STREAMS,
+        read: list[str] | None = None) -> DataFrame:
+    """``id, source, stream, key, size, block, slot, kept`` of every row.  ``read``:
+    gets the path of the table that the result reads."""
     spark, scratch = docs.sparkSession, []
     rows = docs.select(
         F.col(id_column).alias("id"), F.coalesce(F.col(source_column).cast("string"), F.lit("")).alias("source"),
@@ -158,7 +160,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_column: str
         .join(starts, ["stream", "range"])
         .select("id", "source", "stream", "key", "size", F.floor((F.col("base") + F.col("inner")) / block).cast("bigint").alias("block"))
     )
-    placed = cut(placed, "mix-placed")
+    placed = cut(placed, "mix-placed", read)
     discard(spark, scratch)
     if not sizes:
         return placed.selectExpr("*", "cast(null as bigint) as slot", "false as kept")
@@ -180,11 +182,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     stream are a prefix of its hash order, so one bound for each stream is enough
     and the texts are not shuffled."""
     spark = docs.sparkSession
-    placed = mix(docs, **options)
+    read: list[str] = []
+    placed = mix(docs, read=read, **options)
     ident = F.coalesce(F.col("id").cast("string"), F.lit(""))
     # At most max_streams + 1 rows; the names of streams of their own are the sources'.
     bounds = placed.where("kept").groupBy("stream").agg(F.max(F.struct(F.col("key"), ident.alias("id"))).alias("last"))
     last = {r.stream: (r.last.key, r.last.id) for r in bounds.collect()}
+    discard(spark, read)
     if not last:
         return docs.where(F.lit(False))
     id_column, source_column, weights = options.get("id_column", "doc_id"), options.get("source_column", "source"), options.get("weights")

@@ -441,16 +441,17 @@ def long_links(members: DataFrame, classes: DataFrame, sets: DataFrame, comps: D
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS,
-                    similarity: int = SIMILARITY, log=lambda *_: None) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row."""
+                    similarity: int = SIMILARITY, log=lambda *_: None, read: list[str] | None = None) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row.  ``read``: gets the
+    paths of the tables that the result reads."""
     spark = docs.sparkSession
     python_ready(spark)
     scratch: list[str] = []  # what only this function reads
-    sketched = cut(sketches(docs, id_column, text_column, words), "sketches")
+    sketched = cut(sketches(docs, id_column, text_column, words), "sketches", read)
     by_class = ["h1", "h2", "n"]
     classes = cut(
         sketched.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy(*by_class)
-        .agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch")), "classes")
+        .agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch")), "classes", read)
 
     keyed = cut(posted(classes, frequent_values(classes)), "postings", scratch)
     postings = keyed.select("rep", "n", F.explode("keys").alias("key"))
@@ -491,7 +492,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     log("long links", more)
     if not more.isEmpty():
         comps = components(links.union(more), scratch)
-    comps = cut(comps.unionByName(none), "components")
+    comps = cut(comps.unionByName(none), "components", read)
     discard(spark, scratch)
 
     of_class = classes.select(*by_class, "rep").join(comps, "rep", "left").select(*by_class, F.coalesce("comp", "rep").alias("component"))
@@ -505,7 +506,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
     """The documents that represent their components, with their columns; rows
     that repeat an identifier are one document."""
-    found = cut(near_duplicates(docs, id_column=id_column, **options), "near-duplicates")
+    read: list[str] = []
+    found = cut(near_duplicates(docs, id_column=id_column, read=read, **options), "near-duplicates")
+    discard(docs.sparkSession, read)
     named = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_and("kept").alias("kept"))
     named = cut(named.where((F.col("rows") > 1) | ~F.col("kept")), "copies").withColumnRenamed("doc_id", id_column)
     kept = bounded_join(docs, named.where(~F.col("kept")).select(id_column), "left_anti")

@@ -26,8 +26,11 @@ finds one document by Bloom filter, binary search of the block index and one
 block.
 
 Defined results: a null text is empty (it has the end id alone); repeated
-identifiers are kept, in text order; an empty table writes one empty shard;
-further columns are ignored.  All rows of one identifier go to one shard.
+identifiers are kept, in text order (ties are equal rows); an empty table writes one
+empty shard; further columns are ignored; very long texts are encoded whole.  All
+rows of one identifier go to one shard.  Beyond ``MAX_SHARDS`` shards their size
+grows with the table instead of their number: a shard is written from a sorted
+stream, so its size bounds no memory.
 """
 
 from __future__ import annotations

@@ -173,6 +173,12 @@ def bounded_join(left: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return left.join(ids, [c for c in ids.columns if c in left.columns], how)
 
 
+def if_small(written: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if its rows were counted to be few: the rows
+    joined to it need not meet by its key then, of which one may hold a third."""
+    return F.broadcast(written) if written.count() <= BROADCAST_IDS else written
+
+
 def full_sets(docs: DataFrame, ids: DataFrame, id_column: str, text_column: str, words: int) -> DataFrame:
     """``rep, set`` of the documents with these identifiers, read again."""
 
@@ -317,7 +323,7 @@ def block_pairs(members: DataFrame, lengths: DataFrame, block: int, elements: in
     parts = F.ceil(F.greatest(F.col("len") / block, F.col("size") / elements)).cast("bigint")
     # One entry for each band of a list; bands grow geometrically, so there are few.
     bands = lengths.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("band", parts.alias("parts")))).alias("bands"))
-    own = members.join(bands, "key").withColumn("part", F.col("band") * BAND_BLOCKS + F.pmod(F.xxhash64("rep"), F.expr("bands[band]")))
+    own = members.join(F.broadcast(bands) if lengths.count() <= BROADCAST_IDS else bands, "key").withColumn("part", F.col("band") * BAND_BLOCKS + F.pmod(F.xxhash64("rep"), F.expr("bands[band]")))
     blocks = "transform(sequence(0L, coalesce(bands[band + {0}], 0L)), x -> if(x < bands[band + {0}], (band + {0}) * {1}L + x, null))"
     others = F.array_compact(F.concat(*[F.expr(blocks.format(d, BAND_BLOCKS)) for d in (-1, 0, 1)]))
     others = own.withColumn("other", F.explode(others)).drop("bands")
@@ -419,7 +425,7 @@ def long_links(members: DataFrame, classes: DataFrame, sets: DataFrame, comps: D
     at = at.drop("size")
     keyed = members.groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_set("key")).alias("keys"))  # as many as a class posts at most
     # What a comparison needs is joined before members are dealt to block pairs.
-    whole = at.join(lengths.select("key").distinct(), "key", "left_semi").join(keyed, "rep").join(classes.select("rep", "sketch"), "rep").join(sets, "rep")
+    whole = at.join(if_small(cut(lengths.select("key").distinct(), "long-keys", scratch)), "key", "left_semi").join(keyed, "rep").join(classes.select("rep", "sketch"), "rep").join(sets, "rep")
     dealt = block_pairs(whole, lengths, BLOCK, BLOCK_ELEMENTS)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -456,9 +462,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     keyed = cut(posted(classes, frequent_values(classes)), "postings", scratch)
     postings = keyed.select("rep", "n", F.explode("keys").alias("key"))
     lengths = postings.groupBy("key").agg(F.count("*").alias("len")).where(F.col("len") > 1)
-    lists = cut(postings.join(lengths, "key"), "lists", scratch)
-
-    short = lists.where(F.col("len") <= LIST)
+    # Long lists, few and each with many members, are told apart first, so that no
+    # task gets all members of one.
+    often = if_small(cut(lengths.where(F.col("len") > LIST), "long-lengths", scratch))
+    long = cut(postings.join(often, "key").select("key", "rep", "n"), "long", scratch)
+    rare = postings.join(often.select("key"), "key", "left_anti")
+    short = cut(rare.join(lengths.where(F.col("len") <= LIST), "key"), "short", scratch)
     left, right = short.select("key", F.col("rep").alias("a"), F.col("n").alias("na")), short.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"))
     near_size = (100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
     pairs = (
@@ -468,10 +477,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     # A linked pair of sets this large that meets in short lists only does so in OVERLAP of them.
     longest = next(n for n in range(4, 10_000) if prefix(n, similarity) > POSTED)
     pairs = cut(pairs.where((F.col("least") < longest) | (F.col("overlap") >= OVERLAP)).select("a", "b", "overlap"), "pairs", scratch)
-    long = lists.where(F.col("len") > LIST).select("key", "rep", "n")
     banded = long.withColumn("band", size_band("n", similarity))
-    hubs = banded.groupBy("key", "band").agg(F.min("rep").alias("a"), F.min_by("n", "rep").alias("na"))
-    stars = banded.join(hubs, ["key", "band"]).where((F.col("a") < F.col("rep")) & (100 * F.least("na", "n") >= similarity * F.greatest("na", "n")))
+    hubs = cut(banded.groupBy("key", "band").agg(F.min("rep").alias("a"), F.min_by("n", "rep").alias("na")), "hubs", scratch)
+    stars = banded.join(if_small(hubs), ["key", "band"]).where((F.col("a") < F.col("rep")) & (100 * F.least("na", "n") >= similarity * F.greatest("na", "n")))
     stars = stars.groupBy(F.col("rep").alias("b")).agg(F.min("a").alias("a")).select("a", "b", F.lit(0).cast("bigint").alias("overlap"))
 
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("rep")).union(long.select("rep")).distinct()

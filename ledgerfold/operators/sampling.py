@@ -45,8 +45,8 @@ def sample_rows(df: DataFrame, order: str, rows: int, windows: int, per_window:
 
     Only the beginnings of the windows are read: ranges that should hold HEADROOM
     times the rows at the table's mean density, as predicates on the key that reach
-    the scan.  Windows that turn out sparser are read on in ranges twice as long
-    until they have their rows or end."""
+    the scan.  Windows that turn out sparser are read again in ranges four times
+    as long until they have their rows or end."""
     most = min(per_window, rows)
     low, high, total = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
     window = lambda w: F.lit(w).cast("bigint").alias("window")
@@ -63,19 +63,20 @@ def sample_rows(df: DataFrame, order: str, rows: int, windows: int, per_window:
             out = out | ((F.col(order) >= starts[w]) & (F.col(order) < starts[w] + min(upto, width)))
         return out
 
-    ends = {}  # how far each window is read
-    open_ = list(starts)
-    while open_ and reach < width:
-        counted = df.where(inside(open_, reach)).groupBy(number.alias("window")).agg(F.count("*").alias("n")).collect()  # a row a window
-        full = {r.window for r in counted if r.n >= most}
-        ends |= {w: reach for w in open_ if w in full}
-        open_, reach = [w for w in open_ if w not in full], reach * 2
-    ends |= {w: width for w in open_}
-    read = F.lit(False)
-    for upto in set(ends.values()):
-        read = read | inside([w for w, e in ends.items() if e == upto], upto)
     rank = F.row_number().over(W.partitionBy("window").orderBy(order))
-    return df.where(read).withColumn("window", number).withColumn("rn", rank).where(F.col("rn") <= most).drop("rn")
+    first = lambda d: d.withColumn("window", number).withColumn("rn", rank).where(F.col("rn") <= most).drop("rn")
+    out, open_ = None, list(starts)
+    while open_ and reach < width:
+        read = first(df.where(inside(open_, reach))).persist()  # some HEADROOM times the sample at most
+        full = {r.window for r in read.groupBy("window").agg(F.count("*").alias("n")).collect() if r.n >= most}  # a row a window
+        if full:
+            done = read.where(F.col("window").isin(*full))
+            out = done if out is None else out.unionByName(done)
+        open_, reach = [w for w in open_ if w not in full], reach * 4
+    if open_:
+        rest = first(df.where(inside(open_, width)))
+        out = rest if out is None else out.unionByName(rest)
+    return out
 
 
 def coverage(rows: Column, estimated: Column) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql.types import StructType
 
 from ledgerfold.functions.render import row_digest
 from ledgerfold.operators.fold import (
-    DivergenceError, check_order, first_misfit, fold, full_identity, has_truncate, live_changes, ordered_fold, split_key_changes)
+    DivergenceError, check_order, first_misfit, fold, full_identity, live_changes, ordered_fold, split_key_changes)
 from ledgerfold.sources.shared import shared_folder
 
 EMPTY = {"version": 0, "remote_lsn": 0, "generation": None, "tables": {}}
@@ -181,13 +181,28 @@ def _touched(changes: DataFrame, entry: dict) -> list[int] | None:
     return [r.b for r in changes.where("kind <> 'T'").select(bucket_of(entry["by"], entry["buckets"]).alias("b")).distinct().collect()]  # at most ``buckets``
 
 
-def _apply_keyed(store: VersionedStore, base: dict, name: str, changes: DataFrame, key: list[str], values: list[str], foldable: bool) -> dict:
+def _summary(changes: DataFrame, keys: dict[str, list[str]]) -> dict:
+    """What a batch holds, by relation: ``last`` position, whether there are
+    ``truncates``, key ``moves``, and moves that leave columns unchanged
+    (``carries``).  One aggregation, a row a relation."""
+    moved = F.lit(False)
+    for name, key in keys.items():
+        for k in key:
+            if f"old_{k}" in changes.columns:
+                moved = moved | ((F.col("relation") == name) & (F.col("kind") == "U") & F.col(f"old_{k}").isNotNull() & ~F.col(f"old_{k}").eqNullSafe(F.col(k)))
+    moved = F.coalesce(moved, F.lit(False))
+    rows = changes.groupBy("relation").agg(
+        F.max("end_lsn").alias("last"), F.bool_or(F.col("kind") == "T").alias("truncates"), F.bool_or(moved).alias("moves"),
+        F.bool_or(moved & (F.size("toast") > 0)).alias("carries")).collect()
+    return {r.relation: r for r in rows}
+
+
+def _apply_keyed(store: VersionedStore, base: dict, name: str, changes: DataFrame, key: list[str], values: list[str], foldable: bool, holds) -> dict:
     entry = store.entry(name, base) | {"key": key}
     entry.setdefault("by", key)
     old = [c for c in (f"old_{k}" for k in key) if c in changes.columns]
-    moves = bool(old) and not changes.where(F.greatest(*[F.when(~F.col(o).eqNullSafe(F.col(o[4:])) & F.col(o).isNotNull(), 1).otherwise(0) for o in old], F.lit(0)) == 1).isEmpty()
-    carries = moves and not changes.where((F.col("kind") == "U") & (F.size("toast") > 0)).isEmpty()
-    if has_truncate(changes):
+    moves, carries = holds.moves, holds.carries
+    if holds.truncates:
         live = live_changes(changes).drop("cleared")
         schema = store.base(name, base).schema
         empty = store.spark.createDataFrame([], schema)
@@ -215,11 +230,11 @@ def _apply_keyed(store: VersionedStore, base: dict, name: str, changes: DataFram
     return entry
 
 
-def _apply_full(store: VersionedStore, base: dict, name: str, changes: DataFrame, columns: list[str]) -> dict:
+def _apply_full(store: VersionedStore, base: dict, name: str, changes: DataFrame, columns: list[str], holds) -> dict:
     """A relation whose rows are known only as a whole: deletes and updates name the
     old row by all its columns (``old_<column>``), and must find exactly one."""
     entry = store.entry(name, base)
-    if has_truncate(changes):
+    if holds.truncates:
         schema = store.base(name, base).schema
         empty = store.spark.createDataFrame([], schema)
         entry = {"base": {"all": store.stage(name, empty)}, "deltas": [], "buckets": 0}
@@ -257,20 +272,20 @@ def apply_batch(store: VersionedStore, changes: DataFrame, keys: dict[str, list[
     check_generation(base["generation"], generation)
     fresh = changes.where(F.col("end_lsn") > base["remote_lsn"]).persist()
     try:
-        last = fresh.agg(F.max("end_lsn")).first()[0]
-        if last is None:
+        found = _summary(fresh, keys)
+        if not found:
             return base
         check_order(fresh)
-        touched = [r.relation for r in fresh.select("relation").distinct().collect()]  # relation names of one batch
         tables = {}
-        for name in sorted(touched):
+        for name, holds in sorted(found.items()):
             if name not in keys:
                 raise DivergenceError(f"change of unknown relation {name}")
             own = fresh.where(F.col("relation") == name)
             if keys[name]:
-                tables[name] = _apply_keyed(store, base, name, own, keys[name], values[name], (foldable or {}).get(name, True))
+                tables[name] = _apply_keyed(store, base, name, own, keys[name], values[name], (foldable or {}).get(name, True), holds)
             else:
-                tables[name] = _apply_full(store, base, name, own, values[name])
+                tables[name] = _apply_full(store, base, name, own, values[name], holds)
+        last = max(h.last for h in found.values())
         return store.commit(base, tables, last, generation)
     finally:
         fresh.unpersist()

@@ -170,61 +170,78 @@ def encode(tx: dict) -> bytes:
     return b"".join(out)
 
 
+_U32, _CHANGE, _HEAD, _RELATION = (struct.Struct("<" + form) for form in ("I", "IB", "BQQqI", "IB"))
+
+
 class _Payload:
     def __init__(self, data: bytes):
         self.data, self.at = data, 0
 
     def take(self, n: int) -> bytes:
-        if self.at + n > len(self.data):
+        end = self.at + n
+        if end > len(self.data):
             raise CorruptLog("payload ends early")
-        self.at += n
-        return self.data[self.at - n : self.at]
+        out = self.data[self.at : end]
+        self.at = end
+        return out
 
-    def unpack(self, form: str):
-        return struct.unpack("<" + form, self.take(struct.calcsize("<" + form)))
+    def unpack(self, form: struct.Struct):
+        return form.unpack(self.take(form.size))
+
+    def byte(self) -> int:
+        return self.take(1)[0]
 
     def count(self, least: int) -> int:
         """A count that the rest of the payload can hold, so it bounds memory."""
-        (n,) = self.unpack("I")
+        n = int.from_bytes(self.take(4), "little")
         if n * least > len(self.data) - self.at:
             raise CorruptLog(f"count {n} is larger than the payload")
         return n
 
     def sized(self) -> bytes:
-        return self.take(self.unpack("I")[0])
+        return self.take(int.from_bytes(self.take(4), "little"))
 
     def cells(self):
-        (present,) = self.unpack("B")
+        present = self.byte()
         if present > 1:
             raise CorruptLog("bad tuple mark")
         if not present:
             return None
         out = []
         for _ in range(self.count(1)):
-            (code,) = self.unpack("B")
-            if code not in CELL_KINDS:
-                raise CorruptLog(f"bad cell kind {code}")
-            kind = CELL_KINDS[code]
+            kind = CELL_KINDS.get(self.byte())
+            if kind is None:
+                raise CorruptLog("bad cell kind")
             out.append((kind, self.sized() if kind in "tb" else None))
         return out
 
+    def relations(self) -> list[dict]:
+        out = []
+        for _ in range(self.count(17)):
+            oid, identity = self.unpack(_RELATION)
+            namespace, name = self.sized().decode(), self.sized().decode()
+            columns = []
+            for _ in range(self.count(9)):
+                kind, flags = self.unpack(_RELATION)
+                columns.append({"name": self.sized().decode(), "type_oid": kind, "is_key": bool(flags & 1)})
+            out.append({"oid": oid, "namespace": namespace, "name": name, "identity": chr(identity), "columns": columns})
+        return out
+
 
-def decode_head(p: _Payload) -> tuple[dict, int, int]:
-    """A payload's transaction without its changes, their number and the version."""
+def decode_head(p: _Payload, known: tuple[bytes, list[dict]] | None = None) -> tuple[dict, int, int]:
+    """A payload's transaction without its changes, their number and the version.
+    ``known``: the bytes of a description of relations that was read before, and what
+    it says; a log repeats the same one in most of its transactions."""
     if p.take(4) != MAGIC:
         raise CorruptLog("not a transaction payload")
-    version, commit, end, seconds, nanos = p.unpack("BQQqI")
+    version, commit, end, seconds, nanos = p.unpack(_HEAD)
     if version not in READABLE or nanos >= 1_000_000_000:
         raise CorruptLog("unknown version or bad time")
-    relations = []
-    for _ in range(p.count(17)):
-        oid, identity = p.unpack("IB")
-        namespace, name = p.sized().decode(), p.sized().decode()
-        columns = []
-        for _ in range(p.count(9)):
-            kind, flags = p.unpack("IB")
-            columns.append({"name": p.sized().decode(), "type_oid": kind, "is_key": bool(flags & 1)})
-        relations.append({"oid": oid, "namespace": namespace, "name": name, "identity": chr(identity), "columns": columns})
+    if known and p.data.startswith(known[0], p.at):
+        relations = known[1]
+        p.at += len(known[0])
+    else:
+        relations = p.relations()
     head = {"commit_lsn": commit, "end_lsn": end, "commit_us": seconds * 1_000_000 + nanos // 1000, "relations": relations}
     return head, p.count(7), version
 
@@ -233,13 +250,14 @@ def decode_changes(p: _Payload, count: int, version: int) -> Iterator[dict]:
     """The changes of a payload one by one: a large transaction is never held as
     objects, only as its bytes."""
     for _ in range(count):
-        oid, code = p.unpack("IB")
-        if code not in CHANGE_KINDS:
+        oid, code = p.unpack(_CHANGE)
+        kind = CHANGE_KINDS.get(code)
+        if kind is None:
             raise CorruptLog(f"bad change kind {code}")
-        options = p.unpack("B")[0] if version >= 2 and CHANGE_KINDS[code] == "T" else 0
+        options = p.byte() if version >= 2 and kind == "T" else 0
         if options & ~3:
             raise CorruptLog("bad truncate options")
-        yield {"oid": oid, "kind": CHANGE_KINDS[code], "old": p.cells(), "new": p.cells(), "cascade": bool(options & 1), "restart": bool(options & 2)}
+        yield {"oid": oid, "kind": kind, "old": p.cells(), "new": p.cells(), "cascade": bool(options & 1), "restart": bool(options & 2)}
     if p.at != len(p.data):
         raise CorruptLog("trailing bytes")
 
@@ -325,11 +343,14 @@ def read_payloads(path: str, partial: bool, durable: int | None = None) -> Itera
     tail ends a partial file; in a finalized one it is corruption.  Order is checked
     in both."""
     last_commit = last_end = -1
+    known = None
     with open_segment(path) as source:
         for data, problem in frames(source):
             if problem is None:
                 p = _Payload(data)
-                head, count, version = decode_head(p)
+                head, count, version = decode_head(p, known)
+                if known is None or head["relations"] is not known[1]:
+                    known = (data[4 + _HEAD.size : p.at - 4], head["relations"])  # up to the number of changes
                 if head["commit_lsn"] <= last_commit or head["end_lsn"] <= last_end or head["end_lsn"] < head["commit_lsn"]:
                     problem = "positions out of order"
             if problem:
@@ -461,15 +482,63 @@ class SegmentFile(InputPartition):
         self.path, self.partial, self.after, self.durable = path, partial, after, durable
 
 
+#: Changes of an Arrow batch that the source hands over.
+BATCH_CHANGES = 8192
+
+
+class _Cells:
+    """Tuples of cells as one Arrow column, built from flat lists."""
+
+    def __init__(self):
+        self.kinds, self.data, self.ends, self.missing = [], [], [0], []
+
+    def add(self, cells) -> None:
+        self.missing.append(cells is None)
+        for kind, data in cells or ():
+            self.kinds.append(kind)
+            self.data.append(data)
+        self.ends.append(len(self.kinds))
+
+    def array(self):
+        import pyarrow as pa
+
+        flat = pa.StructArray.from_arrays([pa.array(self.kinds, pa.string()), pa.array(self.data, pa.binary())], names=["kind", "data"])
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), flat, mask=pa.array(self.missing, pa.bool_()))
+
+
 def segment_rows(partition: SegmentFile):
+    """Arrow batches of a file's changes."""
+    import pyarrow as pa
+
+    def batch():
+        flat = [c for cs in described for c in cs]
+        ends = np.cumsum([0, *map(len, described)]).astype(np.int32)
+        columns = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(
+            [pa.array([c["name"] for c in flat], pa.string()), pa.array([c["type_oid"] for c in flat], pa.int64()), pa.array([c["is_key"] for c in flat], pa.bool_())],
+            names=["name", "type_oid", "is_key"]))
+        numbers = zip(*plain, strict=True)
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.bool_())
+        relation, oid, commit, end, us, seq, kind, cascade, restart = (pa.array(list(x), t) for x, t in zip(numbers, kinds, strict=True))
+        return pa.RecordBatch.from_arrays(
+            [relation, oid, commit, end, us, seq, kind, old.array(), new.array(), columns, cascade, restart],
+            names=["relation", "oid", "commit_lsn", "end_lsn", "commit_us", "seq", "kind", "old", "new", "columns", "truncate_cascade", "truncate_restart"])
+
+    plain, described, old, new = [], [], _Cells(), _Cells()
     for head, p, count, version in read_payloads(partition.path, partition.partial, partition.durable):
         if head["end_lsn"] <= partition.after:
             continue
-        known = {r["oid"]: r for r in head["relations"]}
+        known = {r["oid"]: (f"{r['namespace']}.{r['name']}", r["columns"]) for r in head["relations"]}
         for seq, c in enumerate(decode_changes(p, count, version)):
-            r = known[c["oid"]]
-            yield (f"{r['namespace']}.{r['name']}", c["oid"], head["commit_lsn"], head["end_lsn"], head["commit_us"], seq, c["kind"], c["old"], c["new"],
-                   [(x["name"], x["type_oid"], x["is_key"]) for x in r["columns"]], c["cascade"], c["restart"])
+            name, columns = known[c["oid"]]
+            plain.append((name, c["oid"], head["commit_lsn"], head["end_lsn"], head["commit_us"], seq, c["kind"], c["cascade"], c["restart"]))
+            described.append(columns)
+            old.add(c["old"])
+            new.add(c["new"])
+            if len(plain) == BATCH_CHANGES:
+                yield batch()
+                plain, described, old, new = [], [], _Cells(), _Cells()
+    if plain:
+        yield batch()
 
 
 def _partitions(options: dict, after: int, upto: int | None) -> list[SegmentFile]:

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerfold.llm.common import cut, discard, table
+from ledgerfold.llm.common import cut, discard, shrink_heaps, table
 from ledgerfold.llm.decontaminate import clean_documents
 from ledgerfold.llm.mixing import mixed_documents
 from ledgerfold.llm.near_dedup import one_of_each
@@ -39,18 +39,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shrink_heaps(spark)
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shrink_heaps(spark)
     return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shrink_heaps(spark)
     return mixed_documents(docs)
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shrink_heaps(spark)
     return encode_documents(docs)
 
 

@@ -139,6 +139,14 @@ def give_back() -> None:
         pass
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Let executors collect their garbage between two stages, so that their heaps,
+    grown to the bound by the stage before, leave memory to the next one's Python
+    workers.  A row a task; that some executor gets none does no harm."""
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def cache(name: str) -> dict:
     return CACHES.setdefault(name, {})
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 ORDER = ("end_lsn", "seq")
 
@@ -167,41 +168,92 @@ def ordered_fold(target: DataFrame, changes: DataFrame, key: list[str] | str, va
         known.setdefault(key[0], "old_key")
     before = F.to_json(F.array(*[(F.coalesce(F.col(known[k]), F.col(k)) if k in known else F.col(k)).cast("string") for k in key]))
     log = changes.withColumn("lf_k", own).withColumn("lf_was", F.when(F.col("kind") == "U", before).otherwise(own))
+    labels = _move_groups(log) if known else None
+    if labels is None:
+        group = lambda df: df.withColumn("lf_g", F.col("lf_k"))
+    else:
+        group = lambda df: df.join(labels, "lf_k", "left").withColumn("lf_g", F.coalesce("lf_g", "lf_k"))
+    columns = [*key, *values]
+    schema = StructType([StructField(f.name, f.dataType) for f in target.select(*columns).schema])  # a change may set null
+    left = group(target.select(own.alias("lf_k"), *columns))
+    right = group(log.select("lf_k", "lf_was", "kind", "toast", *ORDER, *[F.col(c).cast(schema[c].dataType).alias(c) for c in columns]))
+    # A group's rows of the target have no position and come before its changes.
+    both = left.unionByName(right, allowMissingColumns=True).repartition("lf_g").sortWithinPartitions("lf_g", *ORDER)
+    return both.mapInArrow(_replayer(columns), schema)
+
+
+def _move_groups(log: DataFrame) -> DataFrame | None:
+    """``lf_k, lf_g``: the smallest key that moves connect with each key that moves
+    touch; None where nothing moves."""
     moves = log.where(F.col("lf_was") != F.col("lf_k")).select(F.col("lf_was").alias("a"), F.col("lf_k").alias("b"))
     edges = moves.union(moves.select("b", "a")).distinct().checkpoint()
+    if edges.isEmpty():
+        return None
     labels = edges.groupBy(F.col("a").alias("lf_k")).agg(F.least(F.col("lf_k"), F.min("b")).alias("lf_g"))
-    while not edges.isEmpty():
+    while True:
         near = edges.join(labels.withColumnRenamed("lf_k", "b"), "b").groupBy(F.col("a").alias("lf_k")).agg(F.min("lf_g").alias("m"))
         after = labels.join(near, "lf_k").select("lf_k", F.least("lf_g", "m").alias("lf_g"), (F.col("m") < F.col("lf_g")).alias("moved")).checkpoint()
         labels = after.select("lf_k", "lf_g")
         if after.where("moved").isEmpty():
-            break
-    group = lambda df: df.join(labels, "lf_k", "left").withColumn("lf_g", F.coalesce("lf_g", "lf_k"))
-    columns = [*key, *values]
-    schema = target.select(*columns).schema
-
-    def replay(_, base, log):
-        import pandas as pd
-
-        rows = dict(zip(base["lf_k"], base[columns].itertuples(index=False, name=None), strict=True))
-        at = {c: i for i, c in enumerate(columns)}
-        log = log.sort_values(list(ORDER))
-        for r, new in zip(log[["lf_k", "lf_was", "kind", "toast", *ORDER]].itertuples(index=False), log[columns].itertuples(index=False, name=None), strict=True):
-            if (r.lf_was in rows) == (r.kind == "I"):
-                raise DivergenceError(f"change at {r.end_lsn}/{r.seq} does not affect exactly one row")
-            old = rows.pop(r.lf_was, None)
-            if r.kind != "D":
-                if r.lf_k in rows:
-                    raise DivergenceError(f"change at {r.end_lsn}/{r.seq} moves to a key that is taken")
-                new = list(new)
-                for c in r.toast if r.toast is not None and old is not None else ():
-                    new[at[c]] = old[at[c]]
-                rows[r.lf_k] = tuple(new)
-        return pd.DataFrame(list(rows.values()), columns=columns)
-
-    left = group(target.select(own.alias("lf_k"), *columns)).groupBy("lf_g")
-    right = group(log.select("lf_k", "lf_was", "kind", "toast", *ORDER, *columns)).groupBy("lf_g")
-    return left.cogroup(right).applyInPandas(replay, schema)
+            return labels
+
+
+def _replayer(columns: list[str]):
+    """Replays Arrow batches of many groups one after the other.
+
+    Only keys and kinds become Python objects: a row of the state is the place, or
+    the place of each column, of the input row that it was set by.  What is held is a
+    batch and the state of the group at hand."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        table, group, rows = None, None, {}
+
+        def taken(places) -> pa.Table:
+            if not any(isinstance(x, tuple) for x in places):
+                return table.take(pa.array(places, pa.int64()))
+            each = zip(*[x if isinstance(x, tuple) else (x,) * len(columns) for x in places], strict=True)
+            return pa.table([c.take(pa.array(at, pa.int64())) for c, at in zip(table.columns, each, strict=True)], names=columns)
+
+        for batch in batches:
+            kept = taken(list(rows.values())) if rows else None
+            rows = {k: i for i, k in enumerate(rows)}
+            before = len(rows)
+            table = pa.Table.from_batches([batch]).select(columns)
+            if kept is not None:
+                table = pa.concat_tables([kept.cast(table.schema), table]).combine_chunks()
+            text = lambda c: batch.column(c).to_numpy(zero_copy_only=False).tolist()  # noqa: E731, B023
+            toast = batch.column("toast")
+            ends = np.cumsum(toast.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+            unchanged, start, done = toast.flatten().to_pylist(), 0, []
+            for i, (g, k, was, kind, end) in enumerate(zip(text("lf_g"), text("lf_k"), text("lf_was"), text("kind"), ends, strict=True), before):
+                if g != group:
+                    done.extend(rows.values())
+                    group, rows = g, {}
+                left_alone, start = unchanged[start:end], end
+                if kind is None:
+                    rows[k] = i
+                    continue
+                at = lambda: "/".join(str(batch.column(c)[i - before].as_py()) for c in ORDER)  # noqa: E731, B023
+                if (was in rows) == (kind == "I"):
+                    raise DivergenceError(f"change at {at()} does not affect exactly one row")
+                old = rows.pop(was, None)
+                if kind != "D":
+                    if k in rows:
+                        raise DivergenceError(f"change at {at()} moves to a key that is taken")
+                    if left_alone and old is not None:
+                        old = old if isinstance(old, tuple) else (old,) * len(columns)
+                        rows[k] = tuple(o if c in left_alone else i for c, o in zip(columns, old, strict=True))
+                    else:
+                        rows[k] = i
+            if done:
+                yield from taken(done).combine_chunks().to_batches()
+        if rows:
+            yield from taken(list(rows.values())).combine_chunks().to_batches()
+
+    return run
 
 
 def full_identity(target: DataFrame, changes: DataFrame, digest: str = "digest") -> tuple[DataFrame, DataFrame]:

@@ -87,6 +87,28 @@ def test_key_change_with_unchanged_columns(spark):
     assert {r.k for r in fold.checked_fold(base, split, ["k"], ["v", "w"]).collect()} == {6, 2, 9}
 
 
+def test_ordered_fold_replays_many_groups_in_one_call(spark):
+    """No call and no pair of Pandas frames a key; groups over the borders of batches;
+    large and absent integers as they are."""
+    big = 2**60 + 1
+    base = spark.range(300).select(F.col("id").alias("k"), (F.col("id") + big).alias("v"), F.lit("w").alias("w"))
+    rows = [("r", 10 * i + t, 0, kind, k, v, f"{i}/{t}", toast, was) for i in range(300) for t, (kind, k, v, toast, was) in enumerate([
+        ("U", i, None, ["v"], None), ("U", i + 1000, None, ["v"] if i % 2 else [], i), ("D", i + 1000, None, [], None), ("I", i, big + 7 if i % 3 else None, [], None), ("U", i + 2000, None, ["v"], i)])]
+    log = spark.createDataFrame(rows, CHANGE.replace("v string", "v bigint") + ", old_k bigint")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = fold.ordered_fold(base, log, ["k"], ["v", "w"])
+        assert {tuple(r) for r in out.collect()} == {(i + 2000, big + 7 if i % 3 else None, f"{i}/4") for i in range(300)}
+        half = fold.ordered_fold(base, log.where("end_lsn % 10 < 2"), ["k"], ["v", "w"])
+        assert {tuple(r) for r in half.collect()} == {(i + 1000, i + big if i % 2 else None, f"{i}/1") for i in range(300)}
+        with pytest.raises(Exception, match="change at 2992/0 does not affect exactly one row"):
+            fold.ordered_fold(base, log.where("end_lsn <> 2991"), ["k"], ["v", "w"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "CoGroups" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_full_identity_finds_missing_and_double_rows(spark):
     base = spark.createDataFrame([("a",), ("a",), ("b",)], "digest string")
     log = spark.createDataFrame([("a", 1, 0, "D"), ("b", 2, 0, "D"), ("b", 3, 0, "D"), ("c", 4, 0, "I")], "digest string, end_lsn bigint, seq int, kind string")

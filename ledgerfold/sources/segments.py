@@ -17,10 +17,10 @@ from __future__ import annotations
 import os
 import struct
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ledgerfold.sources.shared import list_files, open_file, publish, shared_folder
@@ -153,21 +153,27 @@ def _cells(cells) -> bytes:
     return b"".join(out)
 
 
+def _relation(r: dict) -> bytes:
+    out = [struct.pack("<I", r["oid"]), r["identity"].encode("latin-1"), _sized(r["namespace"].encode()), _sized(r["name"].encode()), struct.pack("<I", len(r["columns"]))]
+    for c in r["columns"]:
+        out += [struct.pack("<IB", c["type_oid"], int(c["is_key"])), _sized(c["name"].encode())]
+    return b"".join(out)
+
+
+def _payload(commit: int, end: int, commit_us: int, relations: list[bytes], changes: list[bytes]) -> bytes:
+    """A payload of encoded relations and changes (three pieces a change)."""
+    seconds, micros = divmod(commit_us, 1_000_000)
+    head = [MAGIC, _HEAD.pack(VERSION, commit, end, seconds, micros * 1000), _U32.pack(len(relations))]
+    return b"".join([*head, *relations, _U32.pack(len(changes) // 3), *changes])
+
+
 def encode(tx: dict) -> bytes:
     """The payload of a transaction; equal transactions give equal bytes."""
-    seconds, micros = divmod(tx["commit_us"], 1_000_000)
-    out = [MAGIC, struct.pack("<BQQqI", VERSION, tx["commit_lsn"], tx["end_lsn"], seconds, micros * 1000), struct.pack("<I", len(tx["relations"]))]
-    for r in tx["relations"]:
-        out += [struct.pack("<I", r["oid"]), r["identity"].encode("latin-1"), _sized(r["namespace"].encode()), _sized(r["name"].encode()), struct.pack("<I", len(r["columns"]))]
-        for c in r["columns"]:
-            out += [struct.pack("<IB", c["type_oid"], int(c["is_key"])), _sized(c["name"].encode())]
-    out.append(struct.pack("<I", len(tx["changes"])))
+    out = []
     for c in tx["changes"]:
-        out.append(struct.pack("<IB", c["oid"], CHANGE_CODES[c["kind"]]))
-        if c["kind"] == "T":
-            out.append(bytes([c["cascade"] | c["restart"] << 1]))
-        out += [_cells(c["old"]), _cells(c["new"])]
-    return b"".join(out)
+        options = bytes([c["cascade"] | c["restart"] << 1]) if c["kind"] == "T" else b""
+        out += [_CHANGE.pack(c["oid"], CHANGE_CODES[c["kind"]]), options, _cells(c["old"]) + _cells(c["new"])]
+    return _payload(tx["commit_lsn"], tx["end_lsn"], tx["commit_us"], [_relation(r) for r in tx["relations"]], out)
 
 
 _U32, _CHANGE, _HEAD, _RELATION = (struct.Struct("<" + form) for form in ("I", "IB", "BQQqI", "IB"))
@@ -202,17 +208,30 @@ class _Payload:
         return self.take(int.from_bytes(self.take(4), "little"))
 
     def cells(self):
+        data, at, end = self.data, self.at + 1, len(self.data)
         present = self.byte()
         if present > 1:
             raise CorruptLog("bad tuple mark")
         if not present:
             return None
+        n, at = self.count(1), at + 4
         out = []
-        for _ in range(self.count(1)):
-            kind = CELL_KINDS.get(self.byte())
+        for _ in range(n):
+            if at >= end:
+                raise CorruptLog("payload ends early")
+            kind = CELL_KINDS.get(data[at])
+            at += 1
             if kind is None:
                 raise CorruptLog("bad cell kind")
-            out.append((kind, self.sized() if kind in "tb" else None))
+            if kind in "tb":
+                start = at + 4
+                at = start + int.from_bytes(data[at:start], "little")
+                if start > end or at > end:
+                    raise CorruptLog("payload ends early")
+                out.append((kind, data[start:at]))
+            else:
+                out.append((kind, None))
+        self.at = at
         return out
 
     def relations(self) -> list[dict]:
@@ -506,39 +525,63 @@ class _Cells:
         return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), flat, mask=pa.array(self.missing, pa.bool_()))
 
 
-def segment_rows(partition: SegmentFile):
-    """Arrow batches of a file's changes."""
-    import pyarrow as pa
+class ChangeRows:
+    """Rows of SCHEMA as Arrow batches; a relation's columns are described once a
+    batch."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.plain, self.described, self.places, self.at, self.old, self.new = [], [], {}, [], _Cells(), _Cells()
+
+    def __len__(self) -> int:
+        return len(self.plain)
+
+    def add(self, tx: dict, name: str, columns: list[dict], seq: int, c: dict) -> None:
+        place = self.places.get(id(columns))
+        if place is None:
+            place = self.places[id(columns)] = len(self.described)
+            self.described.append(columns)  # also keeps the list, and so its id
+        self.at.append(place)
+        self.plain.append((name, c["oid"], tx["commit_lsn"], tx["end_lsn"], tx["commit_us"], seq, c["kind"], c["cascade"], c["restart"]))
+        self.old.add(c["old"])
+        self.new.add(c["new"])
+
+    def batch(self):
+        """What was added since the last batch."""
+        import pyarrow as pa
 
-    def batch():
-        flat = [c for cs in described for c in cs]
-        ends = np.cumsum([0, *map(len, described)]).astype(np.int32)
+        flat = [c for cs in self.described for c in cs]
+        ends = np.cumsum([0, *map(len, self.described)]).astype(np.int32)
         columns = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(
             [pa.array([c["name"] for c in flat], pa.string()), pa.array([c["type_oid"] for c in flat], pa.int64()), pa.array([c["is_key"] for c in flat], pa.bool_())],
-            names=["name", "type_oid", "is_key"]))
-        numbers = zip(*plain, strict=True)
+            names=["name", "type_oid", "is_key"])).take(pa.array(self.at, pa.int32()))
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.bool_())
+        numbers = zip(*self.plain, strict=True) if self.plain else ((),) * len(kinds)
         relation, oid, commit, end, us, seq, kind, cascade, restart = (pa.array(list(x), t) for x, t in zip(numbers, kinds, strict=True))
-        return pa.RecordBatch.from_arrays(
-            [relation, oid, commit, end, us, seq, kind, old.array(), new.array(), columns, cascade, restart],
+        out = pa.RecordBatch.from_arrays(
+            [relation, oid, commit, end, us, seq, kind, self.old.array(), self.new.array(), columns, cascade, restart],
             names=["relation", "oid", "commit_lsn", "end_lsn", "commit_us", "seq", "kind", "old", "new", "columns", "truncate_cascade", "truncate_restart"])
+        self.clear()
+        return out
+
 
-    plain, described, old, new = [], [], _Cells(), _Cells()
+def segment_rows(partition: SegmentFile):
+    """Arrow batches of a file's changes."""
+    rows = ChangeRows()
+    named = None, {}
     for head, p, count, version in read_payloads(partition.path, partition.partial, partition.durable):
         if head["end_lsn"] <= partition.after:
             continue
-        known = {r["oid"]: (f"{r['namespace']}.{r['name']}", r["columns"]) for r in head["relations"]}
+        if head["relations"] is not named[0]:
+            named = head["relations"], {r["oid"]: (f"{r['namespace']}.{r['name']}", r["columns"]) for r in head["relations"]}
         for seq, c in enumerate(decode_changes(p, count, version)):
-            name, columns = known[c["oid"]]
-            plain.append((name, c["oid"], head["commit_lsn"], head["end_lsn"], head["commit_us"], seq, c["kind"], c["cascade"], c["restart"]))
-            described.append(columns)
-            old.add(c["old"])
-            new.add(c["new"])
-            if len(plain) == BATCH_CHANGES:
-                yield batch()
-                plain, described, old, new = [], [], _Cells(), _Cells()
-    if plain:
-        yield batch()
+            rows.add(head, *named[1][c["oid"]], seq, c)
+            if len(rows) == BATCH_CHANGES:
+                yield rows.batch()
+    if len(rows):
+        yield rows.batch()
 
 
 def _partitions(options: dict, after: int, upto: int | None) -> list[SegmentFile]:
@@ -604,16 +647,101 @@ class SegmentSource(DataSource):
         return SegmentStreamReader(dict(self.options))
 
 
+#: Changes of a file that ``write_segments`` writes, about.
+CHANGES_A_FILE = 100_000
+#: Values looked at for each part that a range is cut into.
+LOOKED_AT = 64
+
+
+def parts_for(rows: int, each: int, least: int = 1) -> int:
+    """Parts of about ``each`` rows, so that their number grows with the input."""
+    return max(least, -(-rows // each))
+
+
+def cuts(df: DataFrame, column: str, rows: int, parts: int) -> list[int]:
+    """Values of a column that cut its ``rows`` rows into about equal parts.  They
+    are values that occur, and are chosen from some by their hash: what is looked at
+    decides where parts end, not what is in them."""
+    some = df.where(F.pmod(F.xxhash64(column), F.lit(max(1, rows // (parts * LOOKED_AT)))) == 0)
+    found = sorted(tuple(r) for r in some.groupBy(column).count().collect())
+    share, seen, out = sum(n for _, n in found) / parts, 0, []
+    for value, n in found:
+        if seen >= share * (len(out) + 1):
+            out.append(value)
+        seen += n
+    return out
+
+
+def part_of(column: str, at: list[int]):
+    """The number of the part that a value is in."""
+    at = np.array(at, np.int64)
+    return F.pandas_udf(lambda x: type(x)(np.searchsorted(at, x.to_numpy(), side="right")).astype("int32"), "int", F.PandasUDFType.SCALAR)(column)
+
+
+def _flat(batch, column: str) -> tuple[list, list, list[int], list[bool]]:
+    """Kinds, data, ends and presence of a column of cells."""
+    cells = batch.column(column)
+    flat = cells.flatten()
+    ends = np.cumsum(cells.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+    return *(flat.field(n).to_numpy(zero_copy_only=False).tolist() for n in ("kind", "data")), ends, cells.is_valid().to_numpy(zero_copy_only=False).tolist()
+
+
+def _tuples(batch, column: str) -> list[bytes]:
+    """``_cells`` of a whole column."""
+    kinds, data, ends, present = _flat(batch, column)
+    one = [_cells([c])[5:] for c in zip(kinds, data, strict=True)]
+    starts = [0, *ends[:-1]]
+    return [b"\1" + _U32.pack(end - start) + b"".join(one[start:end]) if there else b"\0" for start, end, there in zip(starts, ends, present, strict=True)]
+
+
+def _descriptions(batch, told: dict) -> list[bytes]:
+    """The encoded relation of every row, by what describes it (``told``)."""
+    columns = batch.column("columns")
+    ends = np.cumsum(columns.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+    fields = [columns.flatten().field(n).to_numpy(zero_copy_only=False).tolist() for n in ("name", "type_oid", "is_key")]
+    out, start = [], 0
+    for relation, oid, end in zip(batch.column("relation").to_pylist(), batch.column("oid").to_pylist(), ends, strict=True):
+        key = relation, oid, *(tuple(f[start:end]) for f in fields)
+        if key not in told:
+            namespace, _, name = relation.partition(".")
+            told[key] = _relation({"oid": oid, "namespace": namespace, "name": name, "identity": "d",
+                                   "columns": [{"name": n, "type_oid": t, "is_key": k} for n, t, k in zip(*key[2:], strict=True)]})
+        out.append(told[key])
+        start = end
+    return out
+
+
+def payloads(batches) -> Iterator[tuple[int, bytes]]:
+    """(commit position, payload) of the transactions in Arrow batches of rows of
+    SCHEMA, in their order; each is what ``encode`` makes of it."""
+    told: dict = {}
+    head, relations, changes = None, {}, []
+
+    def whole() -> tuple[int, bytes]:
+        return head[1], _payload(head[1], head[0], head[2], list(relations.values()), changes)
+
+    for batch in batches:
+        heads = zip(*(batch.column(c).to_pylist() for c in ("end_lsn", "commit_lsn", "commit_us")), strict=True)
+        rest = zip(*(batch.column(c).to_pylist() for c in ("oid", "kind", "truncate_cascade", "truncate_restart")), strict=True)
+        for at, (oid, kind, cascade, restart), described, old, new in zip(heads, rest, _descriptions(batch, told), _tuples(batch, "old"), _tuples(batch, "new"), strict=True):
+            if head is None or at[0] != head[0]:
+                if head is not None:
+                    yield whole()
+                head, relations, changes = at, {}, []
+            relations[oid] = described
+            changes += [_CHANGE.pack(oid, CHANGE_CODES[kind]), bytes([cascade | restart << 1]) if kind == "T" else b"", old + new]
+    if head is not None:
+        yield whole()
+
+
 def write_segments(changes: DataFrame, folder: str, files: int, rotate_bytes: int = ROTATE_BYTES) -> DataFrame:
     """Write rows of SCHEMA as segment files, each from the task that holds its range
-    of positions; a transaction's changes are in one range.  Returns ``path,
-    transactions`` of the written files."""
+    of positions; a transaction's changes are in one range.  There are ``files``
+    ranges, or one for each CHANGES_A_FILE if these are more.  The positions are read
+    twice before: ``changes`` should be a table.  Returns ``path, transactions`` of
+    the written files."""
 
     def run(batches):
-        def rows():
-            for batch in batches:
-                yield from batch.to_pylist()
-
         def file_of(first: int):
             final = f"{folder.rstrip('/')}/{first:016x}.seg"
             return final, open_file(f"{final}.writing", "wb")
@@ -621,16 +749,9 @@ def write_segments(changes: DataFrame, folder: str, files: int, rotate_bytes: in
         import pyarrow as pa
 
         out, final, size, count, done = None, None, 0, 0, []
-        as_cells = lambda xs: None if xs is None else [(c["kind"], c["data"]) for c in xs]
-        for _, group in groupby(rows(), key=lambda r: r["end_lsn"]):
-            group = list(group)
-            relations = {r["oid"]: {"oid": r["oid"], "namespace": r["relation"].partition(".")[0], "name": r["relation"].partition(".")[2], "identity": "d", "columns": r["columns"]} for r in group}
-            payload = encode({
-                "commit_lsn": group[0]["commit_lsn"], "end_lsn": group[0]["end_lsn"], "commit_us": group[0]["commit_us"], "relations": list(relations.values()),
-                "changes": [{"oid": r["oid"], "kind": r["kind"], "old": as_cells(r["old"]), "new": as_cells(r["new"]),
-                             "cascade": r["truncate_cascade"], "restart": r["truncate_restart"]} for r in group]})
+        for commit, payload in payloads(batches):
             if out is None:
-                final, out = file_of(group[0]["commit_lsn"])
+                final, out = file_of(commit)
                 held = []
             held.append(payload)
             size, count = size + len(payload), count + 1
@@ -649,7 +770,9 @@ def write_segments(changes: DataFrame, folder: str, files: int, rotate_bytes: in
             done.append((final, count))
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], names=["path", "transactions"])
 
-    dealt = changes.repartitionByRange(files, "end_lsn").sortWithinPartitions("end_lsn", "seq")
+    rows = changes.count()
+    at = cuts(changes, "end_lsn", rows, parts_for(rows, CHANGES_A_FILE, files))
+    dealt = changes.repartitionById(len(at) + 1, part_of("end_lsn", at)).sortWithinPartitions("end_lsn", "seq")
     return dealt.mapInArrow(run, "path string, transactions bigint")
 
 

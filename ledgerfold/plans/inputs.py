@@ -32,6 +32,12 @@ def work_folder(spark: SparkSession, label: str) -> str:
     return f"{root.removeprefix('file://').rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """What is computed once, and read from a table by all that comes after."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def literal(value) -> str:
     if value is None:
         return "NULL"

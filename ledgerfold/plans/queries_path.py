@@ -38,25 +38,33 @@ def messages_of(changes: DataFrame) -> DataFrame:
     """Three messages a change, each a transaction: ``oid, kind, end_lsn, old, new,
     unchanged`` with cells as texts, ``unchanged`` the places that an update leaves."""
 
-    def cells(row, unchanged=()):
-        out = struct.pack(">H", len(row))
-        for i, x in enumerate(row):
-            out += b"u" if i in unchanged else b"n" if x is None else b"t" + struct.pack(">i", len(x.encode())) + x.encode()
-        return out
+    def tuples(batch, column):
+        """A column's tuples as bytes, none for those that are not there."""
+        rows, kept = batch.column(column), batch.column("unchanged")
+        texts = (None if x is None else x.encode() for x in rows.flatten().to_numpy(zero_copy_only=False).tolist())
+        flat = [b"n" if x is None else b"t" + struct.pack(">i", len(x)) + x for x in texts]
+        skipped = kept.to_pylist() if column == "new" and kept.null_count < len(kept) else [None] * len(rows)
+        start = 0
+        for n, places in zip(rows.value_lengths().to_pylist(), skipped, strict=True):
+            if n is None:
+                yield None
+                continue
+            own, start = flat[start : start + n], start + n
+            for i in places or ():
+                if i < n:
+                    own[i] = b"u"
+            yield struct.pack(">H", n) + b"".join(own)
 
     def run(batches):
+        heads = {(k, oid): k.encode() + struct.pack(">I", oid) for k in "IUD" for oid in RELATIONS}
+        marks = {oid: b"O" if identity == "f" else b"K" for oid, (_, identity, _) in RELATIONS.items()}
         for batch in batches:
             number, data = [], []
-            for r in batch.to_pylist():
-                commit, end, mark = r["end_lsn"] - 1, r["end_lsn"], b"O" if RELATIONS[r["oid"]][1] == "f" else b"K"
-                body = r["kind"].encode() + struct.pack(">I", r["oid"])
-                if r["old"] is not None:
-                    body += mark + cells(r["old"])
-                if r["new"] is not None:
-                    body += b"N" + cells(r["new"], r["unchanged"] or ())
-                for i, m in enumerate((b"B" + struct.pack(">QqI", commit, 0, 1), body, b"C" + struct.pack(">BQQq", 0, commit, end, 0))):
-                    number.append(end * 4 + i)
-                    data.append(m)
+            plain = zip(*(batch.column(c).to_pylist() for c in ("oid", "kind", "end_lsn")), strict=True)
+            for (oid, kind, end), old, new in zip(plain, tuples(batch, "old"), tuples(batch, "new"), strict=True):
+                body = heads[kind, oid] + (b"" if old is None else marks[oid] + old) + (b"" if new is None else b"N" + new)
+                number += (end * 4, end * 4 + 1, end * 4 + 2)
+                data += (b"B" + struct.pack(">QqI", end - 1, 0, 1), body, b"C" + struct.pack(">BQQq", 0, end - 1, end, 0))
             yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(data, pa.binary())], names=["number", "data"])
 
     return changes.select("oid", "kind", "end_lsn", "old", "new", "unchanged").mapInArrow(run, "number bigint, data binary")
@@ -102,10 +110,10 @@ def s10_s11_c11_messages_to_tables(spark: SparkSession, sf_dir: str) -> DataFram
     I.checkpointed(spark)
     folder = I.work_folder(spark, "path")
     capture(spark, sf_dir).write.parquet(f"{folder}/capture")
-    rows = messages.change_rows(messages.captured(spark, f"{folder}/capture"), tasks=4)
+    rows = I.stored(messages.change_rows(messages.captured(spark, f"{folder}/capture"), tasks=4), f"{folder}/rows")
     segments.write_segments(rows, f"{folder}/log", files=4).collect()  # a row a file
     spark.dataSource.register(segments.SegmentSource)
-    log = spark.read.format("change_segments").option("path", f"{folder}/log").load().persist()
+    log = I.stored(spark.read.format("change_segments").option("path", f"{folder}/log").load(), f"{folder}/read")
     store = VersionedStore(spark, f"{folder}/store")
     sides = {
         "public.customer": (I.snapshot(spark, sf_dir), ["c_custkey"], ["c_acctbal", "c_mktsegment"]),
@@ -117,7 +125,6 @@ def s10_s11_c11_messages_to_tables(spark: SparkSession, sf_dir: str) -> DataFram
         one = changes.typed_changes(log, name, df.schema, key, values)
         typed = one if typed is None else typed.unionByName(one, allowMissingColumns=True)
     apply_batch(store, typed, {n: key for n, (_, key, _) in sides.items()}, {n: values for n, (_, _, values) in sides.items()}, "g1")
-    log.unpersist()
     out = lambda name, k, v, amount: store.read(name).select(F.lit(name).alias("relation"), F.col(k).cast("string").alias("k"), F.col(v).alias("v"), amount.cast("double").alias("amount"))
     return out("public.customer", "c_custkey", "c_mktsegment", F.col("c_acctbal")).unionByName(
         out("public.nation", "n_nationkey", "n_name", F.col("n_regionkey"))).unionByName(out("public.region", "r_regionkey", "r_name", F.lit(None)))

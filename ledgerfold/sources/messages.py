@@ -2,25 +2,25 @@
 
 ``number`` (the order of arrival) and ``data`` (the message's bytes) are all that a
 capture holds; Parquet files of them, or anything else with those columns, are the
-source, in a batch or as a file stream.  Transactions are numbered by the begin
-messages before them, with sums over bands of arrival, and dealt to tasks whole; the
+source, in a batch or as a file stream.  The stream is cut at begin messages into
+parts that grow in number with it, so transactions are dealt to tasks whole; the
 messages that announce relations, of a catalogue's size, go to every task."""
 
 from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerfold.operators.fold import banded
-from ledgerfold.sources.pgoutput import Decoder
-from ledgerfold.sources.segments import SCHEMA
+from ledgerfold.sources.pgoutput import DecodeError, Decoder
+from ledgerfold.sources.segments import BATCH_CHANGES, SCHEMA, ChangeRows, cuts, part_of, parts_for
 
 #: The bytes that begin a message that announces a relation, begins a transaction.
-RELATION, BEGIN = 0x52, 0x42
+RELATION, BEGIN = b"R", b"B"
 #: Announcements that are told to every task.
 MOST_RELATIONS = 1_000_000
+#: Messages that a task decodes, about.
+MESSAGES_A_PART = 300_000
 
 
 def captured(spark: SparkSession, path: str) -> DataFrame:
@@ -29,45 +29,46 @@ def captured(spark: SparkSession, path: str) -> DataFrame:
 
 
 def change_rows(messages: DataFrame, tasks: int, boundary_prefix: str | None = None) -> DataFrame:
-    """The segment source's rows of the transactions in a capture.  A message that
-    the protocol does not allow where it stands fails the job.  The announcements
-    before a transaction are those in force when it began."""
+    """The segment source's rows of the transactions in a capture, decoded by
+    ``tasks`` tasks, or one for each MESSAGES_A_PART if these are more.  A message
+    that the protocol does not allow where it stands fails the job.  The
+    announcements before a transaction are those in force when it began.  The
+    messages are read three times before they are decoded: a capture, not a
+    computation."""
     spark = messages.sparkSession
-    first = F.conv(F.hex(F.substring("data", 1, 1)), 16, 10).cast("int")
-    typed = messages.withColumn("type", first)
-    announced = typed.where(F.col("type") == RELATION).select("number", "data").orderBy("number").limit(MOST_RELATIONS + 1).collect()
+    first = F.substring("data", 1, 1)
+    announced = messages.where(first == F.lit(RELATION)).select("number", "data").orderBy("number").limit(MOST_RELATIONS + 1).collect()
     if len(announced) > MOST_RELATIONS:
         raise ValueError("more announcements than can be told to every task")
     relations = spark.sparkContext.broadcast([(r.number, bytes(r.data)) for r in announced])
-    begun = banded(typed.withColumn("begins", (F.col("type") == BEGIN).cast("bigint")), "number")
-    sums = begun.groupBy("band").agg(F.sum("begins").alias("n"))
-    base = sums.select("band", F.coalesce(F.sum("n").over(W.orderBy("band").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inner = F.sum("begins").over(W.partitionBy("band").orderBy("number").rowsBetween(W.unboundedPreceding, 0))
-    numbered = begun.withColumn("inner", inner).join(base, "band").select("number", "data", (F.col("base") + F.col("inner")).alias("transaction"))
-    cell = pa.list_(pa.struct([("kind", pa.string()), ("data", pa.binary())]))
-    columns = pa.list_(pa.struct([("name", pa.string()), ("type_oid", pa.int64()), ("is_key", pa.bool_())]))
-    schema = pa.schema([
-        ("relation", pa.string()), ("oid", pa.int64()), ("commit_lsn", pa.int64()), ("end_lsn", pa.int64()), ("commit_us", pa.int64()), ("seq", pa.int32()),
-        ("kind", pa.string()), ("old", cell), ("new", cell), ("columns", columns), ("truncate_cascade", pa.bool_()), ("truncate_restart", pa.bool_())])
-    as_cells = lambda xs: None if xs is None else [{"kind": k, "data": d} for k, d in xs]
+    begins = messages.where(first == F.lit(BEGIN)).select("number")
+    held = messages.agg(F.count("*").alias("messages"), F.count_if(first == F.lit(BEGIN)).alias("begins")).first()
+    at = cuts(begins, "number", held.begins, parts_for(held.messages, MESSAGES_A_PART, tasks))
+    last = at[-1] if at else None
 
     def run(batches):
-        decoder, told = Decoder(boundary_prefix), 0
+        decoder, told, number = Decoder(boundary_prefix), 0, None
+        rows, known = ChangeRows(), {}
         for batch in batches:
-            out = []
             for number, data in zip(batch.column("number").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 while told < len(relations.value) and relations.value[told][0] < number:
                     decoder.decode(relations.value[told][1])
                     told += 1
                 tx = decoder.decode(data)
-                known = {r["oid"]: r for r in tx["relations"]} if tx else {}
-                for seq, c in enumerate(tx["changes"] if tx else ()):
-                    r = known[c["oid"]]
-                    out.append({
-                        "relation": f"{r['namespace']}.{r['name']}", "oid": c["oid"], "commit_lsn": tx["commit_lsn"], "end_lsn": tx["end_lsn"],
-                        "commit_us": tx["commit_us"], "seq": seq, "kind": c["kind"], "old": as_cells(c["old"]), "new": as_cells(c["new"]),
-                        "columns": r["columns"], "truncate_cascade": c["cascade"], "truncate_restart": c["restart"]})
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+                if not tx:
+                    continue
+                for r in tx["relations"]:
+                    if known.get(r["oid"], (None,))[0] is not r:
+                        known[r["oid"]] = r, f"{r['namespace']}.{r['name']}"
+                for seq, c in enumerate(tx["changes"]):
+                    r, name = known[c["oid"]]
+                    rows.add(tx, name, r["columns"], seq, c)
+                    if len(rows) >= BATCH_CHANGES:
+                        yield rows.batch()
+        if decoder.current is not None and last is not None and number < last:
+            raise DecodeError("begin inside a transaction")  # the one that the next part begins with
+        if len(rows):
+            yield rows.batch()
 
-    dealt = numbered.repartitionByRange(tasks, "transaction").sortWithinPartitions("transaction", "number")
-    return dealt.select("number", "data").mapInArrow(run, SCHEMA)
+    dealt = messages.select("number", "data").repartitionById(len(at) + 1, part_of("number", at)).sortWithinPartitions("number")
+    return dealt.mapInArrow(run, SCHEMA)

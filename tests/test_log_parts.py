@@ -1,8 +1,11 @@
 """Files and tasks of a log grow in number with it; its bytes stay what they are."""
 
+import struct
+
 import pyarrow as pa
+import pytest
 
-from ledgerfold.sources import segments
+from ledgerfold.sources import messages, pgoutput, segments
 
 
 def log_rows(n: int) -> list[dict]:
@@ -48,3 +51,30 @@ def test_files_grow_with_the_log(spark, tmp_path, monkeypatch):
     spark.dataSource.register(segments.SegmentSource)
     back = spark.read.format("change_segments").option("path", str(tmp_path)).load()
     assert back.orderBy("end_lsn", "seq").collect() == table.orderBy("end_lsn", "seq").collect()
+
+
+def captured(spark, n: int, torn: int | None = None):
+    announced = b"R" + struct.pack(">I", 7) + b"s\0t\0d" + struct.pack(">H", 1) + b"\1a\0" + struct.pack(">Ii", 25, -1)
+    stream = [(-1, announced)]
+    for i in range(n):
+        row = b"I" + struct.pack(">I", 7) + b"N" + struct.pack(">H", 1) + b"t" + struct.pack(">i", 1) + b"x"
+        own = [b"B" + struct.pack(">QqI", i + 1, 0, 1), row, row, b"C" + struct.pack(">BQQq", 0, i + 1, i + 2, 0)]
+        far = 2**60 if i >= n - 2 else 0  # bands of equal width would hold all the others in one
+        stream += [(far + 4 * i + j, m) for j, m in enumerate(own[:3] if i == torn else own)]
+    return spark.createDataFrame([(at, bytearray(m)) for at, m in stream], "number bigint, data binary")
+
+
+def test_tasks_of_a_capture_grow_with_it(spark, monkeypatch):
+    monkeypatch.setattr(messages, "MESSAGES_A_PART", 100)
+    rows = messages.change_rows(captured(spark, 500), tasks=2)
+    sizes = [len(x) for x in rows.select("end_lsn").rdd.glom().collect()]
+    assert sum(sizes) == 1000 and 12 <= len(sizes) <= 21 and max(sizes) < 200
+    assert sorted((r.end_lsn, r.seq) for r in rows.collect()) == [(i + 2, seq) for i in range(500) for seq in (0, 1)]
+
+
+def test_a_torn_transaction_before_a_part_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(messages, "MESSAGES_A_PART", 4)  # a transaction a part, about
+    for torn in (3, 4, 5):
+        with pytest.raises(Exception, match="begin inside a transaction"):
+            messages.change_rows(captured(spark, 40, torn), tasks=1).collect()
+    assert messages.change_rows(captured(spark, 40, 39), tasks=1).count() == 78  # the capture ends in it

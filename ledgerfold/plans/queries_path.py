@@ -137,14 +137,14 @@ def _log(spark: SparkSession, sf_dir: str) -> str:
     """A folder with the customer log as segments."""
     from ledgerfold.sources import messages, segments
 
-    folder = I.work_folder(spark, "segments")
+    folder, work = I.work_folder(spark, "segments"), I.work_folder(spark, "capture")
     own = I.changes(spark, sf_dir)
     text = lambda *cs: F.array(*[c.cast("string") for c in cs])
     rows = own.select(
         F.lit(1).alias("oid"), "kind", "end_lsn", F.when(F.col("kind") == "D", text(F.col("c_custkey"), F.lit(None), F.lit(None))).alias("old"),
         F.when(F.col("kind") != "D", text(F.col("c_custkey"), F.col("c_acctbal"), F.col("c_mktsegment"))).alias("new"), F.lit(None).cast("array<int>").alias("unchanged"))
-    decoded = messages.change_rows(announcements(spark).unionByName(messages_of(rows)), tasks=4)
-    segments.write_segments(decoded, folder, files=8).collect()  # a row a file
+    captured = I.stored(announcements(spark).unionByName(messages_of(rows)), f"{work}/messages")
+    segments.write_segments(I.stored(messages.change_rows(captured, tasks=4), f"{work}/rows"), folder, files=8).collect()  # a row a file
     spark.dataSource.register(segments.SegmentSource)
     return folder
 

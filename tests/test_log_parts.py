@@ -78,3 +78,23 @@ def test_a_torn_transaction_before_a_part_is_refused(spark, monkeypatch):
         with pytest.raises(Exception, match="begin inside a transaction"):
             messages.change_rows(captured(spark, 40, torn), tasks=1).collect()
     assert messages.change_rows(captured(spark, 40, 39), tasks=1).count() == 78  # the capture ends in it
+
+
+@pytest.mark.parametrize("name", ["s14_range_read", "y1_segment_stream"])
+def test_messages_of_a_log_are_made_once(spark, sf_dir, monkeypatch, name):
+    from ledgerfold.plans import inputs, queries_path
+
+    made, make = spark.sparkContext.accumulator(0), queries_path.messages_of
+
+    def counted(changes):
+        def run(batches):
+            for batch in batches:
+                made.add(batch.num_rows)
+                yield batch
+
+        rows = make(changes)
+        return rows.mapInArrow(run, rows.schema)
+
+    monkeypatch.setattr(queries_path, "messages_of", counted)
+    assert getattr(queries_path, name)(spark, sf_dir).count() == 3
+    assert made.value == 3 * inputs.table(spark, sf_dir, "events").count()

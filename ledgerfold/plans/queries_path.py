@@ -5,8 +5,7 @@ from __future__ import annotations
 
 import struct
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerfold.operators import capabilities, constraints, diff, fold, graph, sampling
@@ -38,36 +37,25 @@ def messages_of(changes: DataFrame) -> DataFrame:
     """Three messages a change, each a transaction: ``oid, kind, end_lsn, old, new,
     unchanged`` with cells as texts, ``unchanged`` the places that an update leaves."""
 
-    def tuples(batch, column):
-        """A column's tuples as bytes, none for those that are not there."""
-        rows, kept = batch.column(column), batch.column("unchanged")
-        texts = (None if x is None else x.encode() for x in rows.flatten().to_numpy(zero_copy_only=False).tolist())
-        flat = [b"n" if x is None else b"t" + struct.pack(">i", len(x)) + x for x in texts]
-        skipped = kept.to_pylist() if column == "new" and kept.null_count < len(kept) else [None] * len(rows)
-        start = 0
-        for n, places in zip(rows.value_lengths().to_pylist(), skipped, strict=True):
-            if n is None:
-                yield None
-                continue
-            own, start = flat[start : start + n], start + n
-            for i in places or ():
-                if i < n:
-                    own[i] = b"u"
-            yield struct.pack(">H", n) + b"".join(own)
-
-    def run(batches):
-        heads = {(k, oid): k.encode() + struct.pack(">I", oid) for k in "IUD" for oid in RELATIONS}
-        marks = {oid: b"O" if identity == "f" else b"K" for oid, (_, identity, _) in RELATIONS.items()}
-        for batch in batches:
-            number, data = [], []
-            plain = zip(*(batch.column(c).to_pylist() for c in ("oid", "kind", "end_lsn")), strict=True)
-            for (oid, kind, end), old, new in zip(plain, tuples(batch, "old"), tuples(batch, "new"), strict=True):
-                body = heads[kind, oid] + (b"" if old is None else marks[oid] + old) + (b"" if new is None else b"N" + new)
-                number += (end * 4, end * 4 + 1, end * 4 + 2)
-                data += (b"B" + struct.pack(">QqI", end - 1, 0, 1), body, b"C" + struct.pack(">BQQq", 0, end - 1, end, 0))
-            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(data, pa.binary())], names=["number", "data"])
-
-    return changes.select("oid", "kind", "end_lsn", "old", "new", "unchanged").mapInArrow(run, "number bigint, data binary")
+    def number(x, width: int) -> Column:
+        return F.unhex(F.lpad(F.hex(x), 2 * width, "0"))
+
+    def cell(x: Column) -> Column:
+        """As hexadecimal digits."""
+        return F.when(x.isNull(), "6E").otherwise(F.concat(F.lit("74"), F.lpad(F.hex(F.octet_length(x)), 8, "0"), F.hex(x)))
+
+    def row(mark: Column, cells: str, unchanged=None) -> Column:
+        """A mark and a tuple; nothing for one that is not there."""
+        one = lambda x, i: cell(x) if unchanged is None else F.when(F.array_contains(unchanged, i), "75").otherwise(cell(x))
+        return F.coalesce(F.concat(mark, number(F.size(cells), 2), F.unhex(F.array_join(F.transform(cells, one), ""))), F.lit(b""))
+
+    whole = [oid for oid, (_, identity, _) in RELATIONS.items() if identity == "f"]
+    end, zeros = F.col("end_lsn"), lambda n: F.lit(bytes(n))
+    body = F.concat(F.encode("kind", "utf-8"), number("oid", 4), row(F.when(F.col("oid").isin(whole), F.lit(b"O")).otherwise(F.lit(b"K")), "old"), row(F.lit(b"N"), "new", "unchanged"))
+    begin = F.concat(F.lit(b"B"), number(end - 1, 8), zeros(8), number(F.lit(1), 4))
+    commit = F.concat(F.lit(b"C"), zeros(1), number(end - 1, 8), number(end, 8), zeros(8))
+    three = F.array(*(F.struct((end * 4 + i).alias("number"), data.alias("data")) for i, data in enumerate((begin, body, commit))))
+    return changes.select(F.inline(three))
 
 
 def capture(spark: SparkSession, sf_dir: str) -> DataFrame:

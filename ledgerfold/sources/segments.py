@@ -19,10 +19,13 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from ledgerfold.sources import columns as C
 from ledgerfold.sources.shared import list_files, open_file, publish, shared_folder
 
 #: Fixed values of the payload format: magic, versions, change and cell kinds.
@@ -176,7 +179,10 @@ def encode(tx: dict) -> bytes:
     return _payload(tx["commit_lsn"], tx["end_lsn"], tx["commit_us"], [_relation(r) for r in tx["relations"]], out)
 
 
-_U32, _CHANGE, _HEAD, _RELATION = (struct.Struct("<" + form) for form in ("I", "IB", "BQQqI", "IB"))
+_U32, _CHANGE, _HEAD, _RELATION, _FRAME = (struct.Struct("<" + form) for form in ("I", "IB", "BQQqI", "IB", "II"))
+#: The same as packed types, for columns of them.
+_HEADS = np.dtype([("magic", "S4"), ("version", "u1"), ("commit", "<u8"), ("end", "<u8"), ("seconds", "<i8"), ("nanos", "<u4")])
+_CHANGES = np.dtype([("oid", "<u4"), ("kind", "u1")])
 
 
 class _Payload:
@@ -327,8 +333,9 @@ def open_segment(path: str):
 CHECKED_TOGETHER = 4 << 20
 
 
-def frames(source) -> Iterator[tuple[bytes | None, str | None]]:
-    """(payload, problem) of a file's frames; a problem ends them."""
+def checked(source) -> Iterator[tuple[list[bytes], str | None]]:
+    """Payloads of a file's frames whose checksums were computed together, and the
+    problem behind them, if there is one; it ends them."""
     held: list[tuple[bytes, int]] = []
     size, problem = 0, None
     while True:
@@ -337,7 +344,7 @@ def frames(source) -> Iterator[tuple[bytes | None, str | None]]:
         if head and len(head) < 8:
             problem = "short frame header"
         elif head:
-            length, want = struct.unpack("<II", head)
+            length, want = _FRAME.unpack(head)
             payload = source.read(length)
             if len(payload) < length:
                 problem = "short payload"
@@ -345,41 +352,58 @@ def frames(source) -> Iterator[tuple[bytes | None, str | None]]:
                 held.append((payload, want))
                 size += length
         if problem or not head or size >= CHECKED_TOGETHER:
-            for (data, want), got in zip(held, crc32c_many([d for d, _ in held]), strict=True):
-                if want != got:
-                    yield None, "checksum mismatch"
-                    return
-                yield data, None
+            payloads = [data for data, _ in held]
+            wrong = np.flatnonzero(crc32c_many(payloads) != np.array([want for _, want in held], np.uint32))
+            if len(wrong):
+                yield payloads[: wrong[0]], "checksum mismatch"
+                return
+            yield payloads, problem
             held, size = [], 0
-            if problem:
-                yield None, problem
             if problem or not head:
                 return
 
 
+class Transactions:
+    """What is read of a file, in its order.  A torn tail ends a partial file; in a
+    finalized one it is corruption.  Order is checked in both."""
+
+    def __init__(self, path: str, partial: bool, durable: int | None = None):
+        self.name, self.partial, self.durable = os.path.basename(path), partial, durable
+        self.commit = self.end = -1
+        self.known, self.ended = None, False
+
+    def stop(self, problem: str) -> None:
+        self.ended = True
+        if not self.partial:
+            raise CorruptLog(f"{self.name}: {problem}")
+
+    def of(self, payloads: list[bytes], problem: str | None = None) -> Iterator[tuple[dict, _Payload, int, int]]:
+        """(head, payload, number of changes, version) of the next ones."""
+        for data in payloads:
+            p = _Payload(data)
+            head, count, version = decode_head(p, self.known)
+            if self.known is None or head["relations"] is not self.known[1]:
+                self.known = (data[4 + _HEAD.size : p.at - 4], head["relations"])  # up to the number of changes
+            if head["commit_lsn"] <= self.commit or head["end_lsn"] <= self.end or head["end_lsn"] < head["commit_lsn"]:
+                self.stop("positions out of order")
+                return
+            if self.durable is not None and head["end_lsn"] > self.durable:
+                self.ended = True
+                return
+            self.commit, self.end = head["commit_lsn"], head["end_lsn"]
+            yield head, p, count, version
+        if problem:
+            self.stop(problem)
+
+
 def read_payloads(path: str, partial: bool, durable: int | None = None) -> Iterator[tuple[dict, _Payload, int, int]]:
-    """(head, payload, number of changes, version) of a file's transactions.  A torn
-    tail ends a partial file; in a finalized one it is corruption.  Order is checked
-    in both."""
-    last_commit = last_end = -1
-    known = None
+    """(head, payload, number of changes, version) of a file's transactions."""
+    state = Transactions(path, partial, durable)
     with open_segment(path) as source:
-        for data, problem in frames(source):
-            if problem is None:
-                p = _Payload(data)
-                head, count, version = decode_head(p, known)
-                if known is None or head["relations"] is not known[1]:
-                    known = (data[4 + _HEAD.size : p.at - 4], head["relations"])  # up to the number of changes
-                if head["commit_lsn"] <= last_commit or head["end_lsn"] <= last_end or head["end_lsn"] < head["commit_lsn"]:
-                    problem = "positions out of order"
-            if problem:
-                if partial:
-                    return
-                raise CorruptLog(f"{os.path.basename(path)}: {problem}")
-            if durable is not None and head["end_lsn"] > durable:
+        for payloads, problem in checked(source):
+            yield from state.of(payloads, problem)
+            if state.ended:
                 return
-            last_commit, last_end = head["commit_lsn"], head["end_lsn"]
-            yield head, p, count, version
 
 
 def read_segment(path: str, partial: bool, durable: int | None = None) -> Iterator[dict]:
@@ -519,12 +543,26 @@ class _Cells:
         self.ends.append(len(self.kinds))
 
     def array(self):
-        import pyarrow as pa
-
         flat = pa.StructArray.from_arrays([pa.array(self.kinds, pa.string()), pa.array(self.data, pa.binary())], names=["kind", "data"])
         return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), flat, mask=pa.array(self.missing, pa.bool_()))
 
 
+def change_batch(described: list[tuple[str, list[dict]]], which, oid, commit, end, us, seq, kind, old, new, cascade, restart) -> pa.RecordBatch:
+    """Rows of SCHEMA from their columns; ``which`` of the described relations (name,
+    columns) each is of."""
+    which = pa.array(which, pa.int32())
+    flat = [c for _, cs in described for c in cs]
+    ends = np.cumsum([0, *(len(cs) for _, cs in described)]).astype(np.int32)
+    columns = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(
+        [pa.array([c["name"] for c in flat], pa.string()), pa.array([c["type_oid"] for c in flat], pa.int64()), pa.array([c["is_key"] for c in flat], pa.bool_())],
+        names=["name", "type_oid", "is_key"])).take(which)
+    relation = pa.array([name for name, _ in described], pa.string()).take(which)
+    numbers = [pa.array(x, pa.int64()) for x in (oid, commit, end, us)]
+    return pa.RecordBatch.from_arrays(
+        [relation, *numbers, pa.array(seq, pa.int32()), kind, old, new, columns, pa.array(cascade, pa.bool_()), pa.array(restart, pa.bool_())],
+        names=["relation", "oid", "commit_lsn", "end_lsn", "commit_us", "seq", "kind", "old", "new", "columns", "truncate_cascade", "truncate_restart"])
+
+
 class ChangeRows:
     """Rows of SCHEMA as Arrow batches; a relation's columns are described once a
     batch."""
@@ -539,47 +577,180 @@ class ChangeRows:
         return len(self.plain)
 
     def add(self, tx: dict, name: str, columns: list[dict], seq: int, c: dict) -> None:
-        place = self.places.get(id(columns))
+        place = self.places.get((name, id(columns)))
         if place is None:
-            place = self.places[id(columns)] = len(self.described)
-            self.described.append(columns)  # also keeps the list, and so its id
+            place = self.places[name, id(columns)] = len(self.described)
+            self.described.append((name, columns))  # also keeps the list, and so its id
         self.at.append(place)
-        self.plain.append((name, c["oid"], tx["commit_lsn"], tx["end_lsn"], tx["commit_us"], seq, c["kind"], c["cascade"], c["restart"]))
+        self.plain.append((c["oid"], tx["commit_lsn"], tx["end_lsn"], tx["commit_us"], seq, c["kind"], c["cascade"], c["restart"]))
         self.old.add(c["old"])
         self.new.add(c["new"])
 
     def batch(self):
         """What was added since the last batch."""
-        import pyarrow as pa
-
-        flat = [c for cs in self.described for c in cs]
-        ends = np.cumsum([0, *map(len, self.described)]).astype(np.int32)
-        columns = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(
-            [pa.array([c["name"] for c in flat], pa.string()), pa.array([c["type_oid"] for c in flat], pa.int64()), pa.array([c["is_key"] for c in flat], pa.bool_())],
-            names=["name", "type_oid", "is_key"])).take(pa.array(self.at, pa.int32()))
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.bool_())
-        numbers = zip(*self.plain, strict=True) if self.plain else ((),) * len(kinds)
-        relation, oid, commit, end, us, seq, kind, cascade, restart = (pa.array(list(x), t) for x, t in zip(numbers, kinds, strict=True))
-        out = pa.RecordBatch.from_arrays(
-            [relation, oid, commit, end, us, seq, kind, self.old.array(), self.new.array(), columns, cascade, restart],
-            names=["relation", "oid", "commit_lsn", "end_lsn", "commit_us", "seq", "kind", "old", "new", "columns", "truncate_cascade", "truncate_restart"])
+        oid, commit, end, us, seq, kind, cascade, restart = map(list, zip(*self.plain, strict=True)) if self.plain else ([] for _ in range(8))
+        out = change_batch(self.described, self.at, oid, commit, end, us, seq, pa.array(kind, pa.string()), self.old.array(), self.new.array(), cascade, restart)
         self.clear()
         return out
 
 
+#: Payloads up to so many bytes are decoded side by side.
+SIDE_BY_SIDE = 16 << 10
+#: Different descriptions of relations among payloads decoded side by side.
+MOST_DESCRIBED = 32
+_CELL_PLACES = np.full(256, 255, np.uint8)
+_CELL_PLACES[list(CELL_KINDS)] = [C.KINDS.index(k) for k in CELL_KINDS.values()]
+_CHANGE_NAMES = pa.array(["", *CHANGE_KINDS.values()])
+
+
+def _described(payloads: list[bytes], buffer, at, ends) -> tuple[list[list[dict]], np.ndarray, np.ndarray]:
+    """Relations that payloads describe, which of them each one does, and the places
+    behind."""
+    found, which, after, left = [], np.zeros(len(at), np.int32), at.copy(), np.arange(len(at))
+    while len(left):
+        if len(found) == MOST_DESCRIBED:
+            raise C.Irregular("many descriptions")
+        p = _Payload(payloads[left[0]])
+        p.at = begin = int(at[left[0]] - ends[left[0]]) + len(p.data)
+        relations = p.relations()
+        text = np.frombuffer(p.data[begin : p.at], np.uint8)
+        same = at[left] + len(text) <= ends[left]
+        same[same] = (buffer[at[left[same]][:, None] + np.arange(len(text))] == text).all(axis=1)
+        mine = left[same]
+        which[mine], after[mine] = len(found), at[mine] + len(text)
+        found.append(relations)
+        left = left[~same]
+    return found, which, after
+
+
+def side_by_side(payloads: list[bytes], state: Transactions, after: int) -> pa.RecordBatch:
+    """The changes of the next payloads that end after a position, as ``state.of`` and
+    ``decode_changes`` read them; ``Irregular`` if these should."""
+    ends = np.cumsum([len(p) for p in payloads])
+    at = ends - [len(p) for p in payloads]
+    buffer = np.frombuffer(b"".join(payloads), np.uint8)
+    heads = C.fields(buffer, at, ends, _HEADS)
+    commit, end = heads["commit"], heads["end"]
+    regular = (heads["magic"] == MAGIC) & np.isin(heads["version"], READABLE) & (heads["nanos"] < 1_000_000_000) & (commit <= end) & (end < 1 << 63) & (heads["seconds"] < 1 << 43) & (heads["seconds"] > -(1 << 43))
+    commit, end = commit.astype(np.int64), end.astype(np.int64)
+    if not regular.all() or (np.diff(commit, prepend=state.commit) <= 0).any() or (np.diff(end, prepend=state.end) <= 0).any():
+        raise C.Irregular("not transactions in order")
+    relations, which, at = _described(payloads, buffer, at + _HEADS.itemsize, ends)
+    counts = C.fields(buffer, at, ends, "<u4").astype(np.int64)
+    at = at + 4
+    if (counts * 7 > ends - at).any():
+        raise C.Irregular("more changes than bytes")
+    first, last = np.searchsorted(end, after, side="right"), len(end) if state.durable is None else np.searchsorted(end, state.durable, side="right")
+    own = np.arange(first, max(first, last))
+    steps = []  # the n-th change of each payload that has one
+    for n in range(int(counts[own].max(initial=0))):
+        lanes = own[counts[own] > n]
+        here, stop = at[lanes], ends[lanes]
+        change = C.fields(buffer, here, stop, _CHANGES)
+        here = here + _CHANGES.itemsize
+        options = np.zeros(len(lanes), np.uint8)
+        told = np.flatnonzero((change["kind"] == CHANGE_CODES["T"]) & (heads["version"][lanes] >= 2))
+        options[told] = C.fields(buffer, here[told], stop[told], "u1")
+        here[told] += 1
+        if not np.isin(change["kind"], list(CHANGE_KINDS)).all() or (options > 3).any():
+            raise C.Irregular("an unknown change")
+        sides = []
+        for _ in ("old", "new"):
+            mark = C.fields(buffer, here, stop, "u1")
+            if (mark > 1).any():
+                raise C.Irregular("bad tuple mark")
+            there = mark == 1
+            own_lanes = np.flatnonzero(there)
+            here = here + 1
+            cells = C.fields(buffer, here[own_lanes], stop[own_lanes], "<u4").astype(np.int64)
+            behind, *flat = C.cells_at(buffer, here[own_lanes] + 4, stop[own_lanes], cells, _CELL_PLACES, "<u4")
+            here[own_lanes] = behind
+            sides.append((there, cells, *flat))
+        at[lanes] = here
+        steps.append((lanes, np.full(len(lanes), n), change["oid"], change["kind"], options, sides))
+    if (at[own] != ends[own]).any():
+        raise C.Irregular("trailing bytes")
+    rows = _rows_of_steps(buffer, heads, commit, end, relations, which, steps)
+    if last:
+        state.commit, state.end = int(commit[last - 1]), int(end[last - 1])
+    state.ended = bool(last < len(end))
+    return rows
+
+
+def _rows_of_steps(buffer, heads, commit, end, relations, which, steps) -> pa.RecordBatch:
+    """Rows of SCHEMA, by transaction and change, of what was read step by step."""
+    whole = lambda i, kind: np.concatenate([np.zeros(0, kind), *(s[i] for s in steps)]).astype(kind)
+    tx, seq, oid, kind, options = (whole(i, t) for i, t in enumerate((np.int64, np.int32, np.int64, np.uint8, np.uint8)))
+    order = np.lexsort((seq, tx))
+    sides = []
+    for i in range(2):
+        there = np.concatenate([np.zeros(0, bool), *(s[5][i][0] for s in steps)])
+        counts = np.zeros(len(there), np.int64)
+        counts[there] = np.concatenate([np.zeros(0, np.int64), *(s[5][i][1] for s in steps)])
+        flat = [np.concatenate([np.zeros(0, t), *(s[5][i][k] for s in steps)]) for k, t in ((2, np.uint8), (3, np.int64), (4, np.int64))]
+        if len(steps) > 1:  # cells follow their changes
+            begin, there, counts = (np.cumsum(counts) - counts)[order], there[order], counts[order]
+            cell = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            flat = [f[cell] for f in flat]
+        sides.append(C.cells_column(buffer, there, counts[there], *flat))
+    tx, seq, oid, kind, options = (x[order] for x in (tx, seq, oid, kind, options))
+    described, place = [], {}
+    for n, own in enumerate(relations):
+        for r in own:
+            place[n, r["oid"]] = len(described)
+            described.append((f"{r['namespace']}.{r['name']}", r["columns"]))
+    pairs, at = np.unique(which[tx].astype(np.int64) << 32 | oid, return_inverse=True)
+    try:
+        places = np.array([place[p >> 32, p & 0xFFFFFFFF] for p in pairs.tolist()], np.int32)[at]
+    except KeyError:
+        raise C.Irregular("a change of a relation that is not described") from None
+    us = heads["seconds"] * 1_000_000 + heads["nanos"] // 1000
+    return change_batch(described, places, oid, commit[tx], end[tx], us[tx], seq, _CHANGE_NAMES.take(pa.array(kind)), *sides, options & 1 == 1, options & 2 == 2)
+
+
+def _apart(payloads: list[bytes]) -> Iterator[list[bytes]]:
+    """Runs of small payloads, and large ones alone."""
+    start = 0
+    for i in [i for i, p in enumerate(payloads) if len(p) > SIDE_BY_SIDE]:
+        yield payloads[start:i]
+        yield payloads[i : i + 1]
+        start = i + 1
+    yield payloads[start:]
+
+
 def segment_rows(partition: SegmentFile):
     """Arrow batches of a file's changes."""
     rows = ChangeRows()
     named = None, {}
-    for head, p, count, version in read_payloads(partition.path, partition.partial, partition.durable):
-        if head["end_lsn"] <= partition.after:
-            continue
-        if head["relations"] is not named[0]:
-            named = head["relations"], {r["oid"]: (f"{r['namespace']}.{r['name']}", r["columns"]) for r in head["relations"]}
-        for seq, c in enumerate(decode_changes(p, count, version)):
-            rows.add(head, *named[1][c["oid"]], seq, c)
-            if len(rows) == BATCH_CHANGES:
-                yield rows.batch()
+    state = Transactions(partition.path, partition.partial, partition.durable)
+    with open_segment(partition.path) as source:
+        for payloads, problem in checked(source):
+            for some in _apart(payloads):
+                batch = None
+                if len(some) >= LANES and not state.ended:
+                    try:
+                        batch = side_by_side(some, state, partition.after)
+                    except (C.Irregular, CorruptLog, UnicodeDecodeError):
+                        pass  # read one by one, it says what is wrong
+                if batch is not None:
+                    if len(rows):
+                        yield rows.batch()
+                    for at in range(0, len(batch), BATCH_CHANGES):
+                        yield batch.slice(at, BATCH_CHANGES)
+                elif not state.ended:
+                    for head, p, count, version in state.of(some):
+                        if head["end_lsn"] <= partition.after:
+                            continue
+                        if head["relations"] is not named[0]:
+                            named = head["relations"], {r["oid"]: (f"{r['namespace']}.{r['name']}", r["columns"]) for r in head["relations"]}
+                        for seq, c in enumerate(decode_changes(p, count, version)):
+                            rows.add(head, *named[1][c["oid"]], seq, c)
+                            if len(rows) == BATCH_CHANGES:
+                                yield rows.batch()
+            if problem and not state.ended:
+                state.stop(problem)
+            if state.ended:
+                break
     if len(rows):
         yield rows.batch()
 
@@ -678,58 +849,99 @@ def part_of(column: str, at: list[int]):
     return F.pandas_udf(lambda x: type(x)(np.searchsorted(at, x.to_numpy(), side="right")).astype("int32"), "int", F.PandasUDFType.SCALAR)(column)
 
 
-def _flat(batch, column: str) -> tuple[list, list, list[int], list[bool]]:
-    """Kinds, data, ends and presence of a column of cells."""
-    cells = batch.column(column)
-    flat = cells.flatten()
-    ends = np.cumsum(cells.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
-    return *(flat.field(n).to_numpy(zero_copy_only=False).tolist() for n in ("kind", "data")), ends, cells.is_valid().to_numpy(zero_copy_only=False).tolist()
-
-
-def _tuples(batch, column: str) -> list[bytes]:
+def _tuples(batch, column: str) -> pa.Array:
     """``_cells`` of a whole column."""
-    kinds, data, ends, present = _flat(batch, column)
-    one = [_cells([c])[5:] for c in zip(kinds, data, strict=True)]
-    starts = [0, *ends[:-1]]
-    return [b"\1" + _U32.pack(end - start) + b"".join(one[start:end]) if there else b"\0" for start, end, there in zip(starts, ends, present, strict=True)]
-
-
-def _descriptions(batch, told: dict) -> list[bytes]:
-    """The encoded relation of every row, by what describes it (``told``)."""
+    tuples = batch.column(column)
+    flat, there = tuples.flatten(), tuples.is_valid().to_numpy(zero_copy_only=False)
+    counts = tuples.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    kinds, data = flat.field("kind"), flat.field("data")
+    codes = pc.index_in(kinds, pa.array([CELL_KINDS[i] for i in range(len(CELL_KINDS))])).fill_null(-1).to_numpy().astype(np.int64)
+    has = (codes == CELL_CODES["t"]) | (codes == CELL_CODES["b"])
+    if (codes < 0).any() or (has != data.is_valid().to_numpy(zero_copy_only=False)).any():
+        raise ValueError("a null or unchanged cell has no data, any other one has")
+    data = data.fill_null(b"")
+    sizes = pc.binary_length(data).to_numpy().astype("<u4")
+    cells = C.joined(C.pieces(codes.astype(np.uint8)), C.pieces(sizes[has], has), data)
+    return C.joined(C.pieces(there.astype(np.uint8)), C.pieces(counts[there].astype("<u4"), there), C.grouped(cells, np.concatenate([[0], np.cumsum(counts)])))
+
+
+def _descriptions(batch, told: dict) -> np.ndarray:
+    """Of every row the place in ``told`` of what describes its relation; ``told`` has
+    the encoded relations by that, in order."""
     columns = batch.column("columns")
-    ends = np.cumsum(columns.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
-    fields = [columns.flatten().field(n).to_numpy(zero_copy_only=False).tolist() for n in ("name", "type_oid", "is_key")]
-    out, start = [], 0
-    for relation, oid, end in zip(batch.column("relation").to_pylist(), batch.column("oid").to_pylist(), ends, strict=True):
-        key = relation, oid, *(tuple(f[start:end]) for f in fields)
-        if key not in told:
-            namespace, _, name = relation.partition(".")
-            told[key] = _relation({"oid": oid, "namespace": namespace, "name": name, "identity": "d",
-                                   "columns": [{"name": n, "type_oid": t, "is_key": k} for n, t, k in zip(*key[2:], strict=True)]})
-        out.append(told[key])
-        start = end
-    return out
+    counts = columns.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = columns.flatten()
+    plain = np.zeros(len(flat), [("type", "<i8"), ("key", "u1")])
+    plain["type"], plain["key"] = flat.field("type_oid").to_numpy(), flat.field("is_key").to_numpy(zero_copy_only=False)
+    each = C.grouped(C.joined(C.pieces(plain), C.sized(flat.field("name"))), np.concatenate([[0], np.cumsum(counts)]))
+    key = C.joined(C.pieces(batch.column("oid").to_numpy().astype("<i8")), C.sized(batch.column("relation")), each).dictionary_encode()
+    codes = key.indices.to_numpy()
+    _, rows = np.unique(codes, return_index=True)
+    places = []
+    for text, row in zip(key.dictionary.to_pylist(), rows.tolist(), strict=True):
+        if text not in told:
+            namespace, _, name = batch.column("relation")[row].as_py().partition(".")
+            oid = batch.column("oid")[row].as_py()
+            told[text] = len(told), oid, _relation({"oid": oid, "namespace": namespace, "name": name, "identity": "d", "columns": columns[row].as_py() or []})
+        places.append(told[text][0])
+    return np.array(places, np.int64)[codes]
+
+
+def _payload_column(commit, end, us, relations: list[list[bytes]], counts, changes: pa.Array) -> pa.Array:
+    """``_payload`` of many transactions."""
+    heads = np.zeros(len(commit), _HEADS.descr + [("relations", "<u4")])
+    heads["magic"], heads["version"], heads["commit"], heads["end"] = MAGIC, VERSION, commit, end
+    heads["seconds"], heads["nanos"] = us // 1_000_000, us % 1_000_000 * 1000
+    heads["relations"] = [len(r) for r in relations]
+    return C.joined(C.pieces(heads), pa.array([b"".join(r) for r in relations], pa.large_binary()), C.pieces(counts.astype("<u4")), changes)
 
 
 def payloads(batches) -> Iterator[tuple[int, bytes]]:
     """(commit position, payload) of the transactions in Arrow batches of rows of
     SCHEMA, in their order; each is what ``encode`` makes of it."""
     told: dict = {}
-    head, relations, changes = None, {}, []
+    head, relations, count, changes = None, {}, 0, []  # of the transaction that may go on in the next batch
 
     def whole() -> tuple[int, bytes]:
-        return head[1], _payload(head[1], head[0], head[2], list(relations.values()), changes)
+        lone = C.grouped(pa.array(changes, pa.large_binary()), np.array([0, len(changes)]))
+        text = _payload_column(*(np.array([x]) for x in head), [list(relations.values())], np.array([count]), lone)
+        return int(head[0]), text[0].as_py()
 
     for batch in batches:
-        heads = zip(*(batch.column(c).to_pylist() for c in ("end_lsn", "commit_lsn", "commit_us")), strict=True)
-        rest = zip(*(batch.column(c).to_pylist() for c in ("oid", "kind", "truncate_cascade", "truncate_restart")), strict=True)
-        for at, (oid, kind, cascade, restart), described, old, new in zip(heads, rest, _descriptions(batch, told), _tuples(batch, "old"), _tuples(batch, "new"), strict=True):
-            if head is None or at[0] != head[0]:
-                if head is not None:
-                    yield whole()
-                head, relations, changes = at, {}, []
-            relations[oid] = described
-            changes += [_CHANGE.pack(oid, CHANGE_CODES[kind]), bytes([cascade | restart << 1]) if kind == "T" else b"", old + new]
+        if not len(batch):
+            continue
+        commit, end, us = (batch.column(c).to_numpy() for c in ("commit_lsn", "end_lsn", "commit_us"))
+        kind = pc.index_in(batch.column("kind"), _CHANGE_NAMES).fill_null(0).to_numpy().astype(np.uint8)
+        if (kind == 0).any() or (commit < 0).any() or (end < 0).any():
+            raise ValueError("an unknown kind of change, or a negative position")
+        cut = np.zeros(len(batch), _CHANGES)
+        cut["oid"], cut["kind"] = batch.column("oid").to_numpy(), kind
+        truncates = kind == CHANGE_CODES["T"]
+        cascade, restart = (batch.column(c).filter(pa.array(truncates)).to_numpy(zero_copy_only=False).astype(np.uint8) for c in ("truncate_cascade", "truncate_restart"))
+        rows = C.joined(C.pieces(cut), C.pieces(cascade | restart << 1, truncates), _tuples(batch, "old"), _tuples(batch, "new"))
+        places = _descriptions(batch, told)
+        texts = [(oid, text) for _, oid, text in told.values()]
+        starts = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
+        bounds = np.append(starts, len(batch))
+        own = [[texts[p][1]] for p in places[starts].tolist()]
+        for i in np.flatnonzero(np.minimum.reduceat(places, starts) != np.maximum.reduceat(places, starts)).tolist():
+            own[i] = list(dict(texts[p] for p in places[bounds[i] : bounds[i + 1]].tolist()).values())
+        counts, merged = np.diff(bounds), C.grouped(rows, bounds)
+        first, last = 0, len(starts) - 1
+        if head is not None and end[0] == head[1]:
+            relations.update(texts[p] for p in places[: bounds[1]].tolist())
+            count, first = count + int(counts[0]), 1
+            changes.append(merged[0].as_py())
+        if first > last:
+            continue
+        if head is not None:
+            yield whole()
+        inner = starts[first:last]
+        made = _payload_column(commit[inner], end[inner], us[inner], own[first:last], counts[first:last], merged.slice(first, last - first))
+        yield from zip(commit[inner].tolist(), made.to_pylist(), strict=True)
+        at = starts[last]
+        head, count, changes = (commit[at], end[at], us[at]), int(counts[last]), [merged[last].as_py()]
+        relations = dict(texts[p] for p in places[at:].tolist())
     if head is not None:
         yield whole()
 
@@ -746,18 +958,16 @@ def write_segments(changes: DataFrame, folder: str, files: int, rotate_bytes: in
             final = f"{folder.rstrip('/')}/{first:016x}.seg"
             return final, open_file(f"{final}.writing", "wb")
 
-        import pyarrow as pa
-
-        out, final, size, count, done = None, None, 0, 0, []
+        out, final, size, count, flushed, done = None, None, 0, 0, 0, []
         for commit, payload in payloads(batches):
             if out is None:
                 final, out = file_of(commit)
-                held = []
+                held, flushed = [], 0
             held.append(payload)
             size, count = size + len(payload), count + 1
-            if len(held) >= 4096 or size >= rotate_bytes:
+            if size - flushed >= CHECKED_TOGETHER or size >= rotate_bytes:
                 _flush(out, held)
-                held = []
+                held, flushed = [], size
             if size >= rotate_bytes:
                 out.close()
                 publish(f"{final}.writing", final)
@@ -777,5 +987,5 @@ def write_segments(changes: DataFrame, folder: str, files: int, rotate_bytes: in
 
 
 def _flush(out, payloads: list[bytes]) -> None:
-    for payload, crc in zip(payloads, crc32c_many(payloads), strict=True):
-        out.write(struct.pack("<II", len(payload), int(crc)) + payload)
+    heads = map(_FRAME.pack, map(len, payloads), crc32c_many(payloads).tolist())
+    out.write(b"".join(x for frame in zip(heads, payloads, strict=True) for x in frame))

@@ -896,6 +896,18 @@ def _payload_column(commit, end, us, relations: list[list[bytes]], counts, chang
     return C.joined(C.pieces(heads), pa.array([b"".join(r) for r in relations], pa.large_binary()), C.pieces(counts.astype("<u4")), changes)
 
 
+#: Bytes of rows that payloads are joined from at once, about.
+JOINED = 32 << 20
+
+
+def _slices(batches) -> Iterator[pa.RecordBatch]:
+    """Batches of bounded size."""
+    for batch in batches:
+        rows = max(1, len(batch) * JOINED // max(JOINED, batch.nbytes))
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def payloads(batches) -> Iterator[tuple[int, bytes]]:
     """(commit position, payload) of the transactions in Arrow batches of rows of
     SCHEMA, in their order; each is what ``encode`` makes of it."""
@@ -907,9 +919,7 @@ def payloads(batches) -> Iterator[tuple[int, bytes]]:
         text = _payload_column(*(np.array([x]) for x in head), [list(relations.values())], np.array([count]), lone)
         return int(head[0]), text[0].as_py()
 
-    for batch in batches:
-        if not len(batch):
-            continue
+    for batch in _slices(batches):
         commit, end, us = (batch.column(c).to_numpy() for c in ("commit_lsn", "end_lsn", "commit_us"))
         kind = pc.index_in(batch.column("kind"), _CHANGE_NAMES).fill_null(0).to_numpy().astype(np.uint8)
         if (kind == 0).any() or (commit < 0).any() or (end < 0).any():

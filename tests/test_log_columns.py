@@ -95,6 +95,19 @@ def test_damaged_segments_say_the_same(tmp_path, monkeypatch):
     assert refused > 50
 
 
+def test_payloads_are_joined_from_slices(monkeypatch, tmp_path):
+    made = [t for t in transactions(80) if t["changes"]]
+    path = tmp_path / f"{3:016x}.seg"
+    path.write_bytes(b"".join(frame(segments.encode(t)) for t in made))
+    batches = list(segments.segment_rows(segments.SegmentFile(str(path), False, -1, None)))
+    want = [(t["commit_lsn"], segments.encode(t)) for t in made]
+    for most in (segments.JOINED, 4000, 1):
+        monkeypatch.setattr(segments, "JOINED", most)
+        assert list(segments.payloads(batches)) == want
+    sizes = [b.nbytes for b in segments._slices(batches)]
+    assert len(sizes) == sum(map(len, batches))  # a row each, at the smallest
+
+
 def test_frames_of_a_file_are_checked(monkeypatch):
     monkeypatch.setattr(segments, "CHECKED_TOGETHER", 50)
     data = [bytes([i]) * 20 for i in range(10)]
